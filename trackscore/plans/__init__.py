@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["box_queries"]
+MODULES = ["box_queries", "track_queries"]
 
 
 def all_queries():
