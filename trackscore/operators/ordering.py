@@ -247,9 +247,12 @@ def cumulative_by_value(
         shares = [i / n_buckets for i in range(1, n_buckets)]
         numeric = hist.select(F.col(value).cast("double").alias("v"))
         cuts = sorted(set(numeric.approxQuantile("v", shares, 1.0 / (4 * n_buckets))))
-    bucketed = Bucketizer(
-        splits=[-float("inf"), *cuts, float("inf")], inputCol="_v", outputCol="_bucket"
-    ).transform(hist.withColumn("_v", F.col(value).cast("double"))).drop("_v")
+    if cuts:
+        bucketed = Bucketizer(
+            splits=[-float("inf"), *cuts, float("inf")], inputCol="_v", outputCol="_bucket"
+        ).transform(hist.withColumn("_v", F.col(value).cast("double"))).drop("_v")
+    else:
+        bucketed = hist.withColumn("_bucket", F.lit(0.0))
     totals = bucketed.groupBy(*keys, "_bucket").agg(
         *[combine(c).alias(f"_t_{c}") for c in sums]
     )

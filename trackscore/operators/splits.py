@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import HASH_PREFIX, hash_rank
+from .fingerprint import hash_tree
+from .ordering import hash_rank
 
 
 def grouped_split(
@@ -66,28 +67,10 @@ def split_overlap(split: DataFrame, unit: str) -> DataFrame:
 def split_fingerprint(
     split: DataFrame, unit: str, ordered_by: str | None = None
 ) -> DataFrame:
-    """One digest of the whole assignment, as a two-level hash tree.
+    """One digest of the whole assignment.
 
-    Entries are hashed, counted (copies fold before the shuffle), grouped by the
-    first hex digits of their hash and hashed per group; the root hashes at most
-    4,096 group digests in order. Without ``ordered_by`` row order is ignored;
-    with it, the position is part of every entry.
+    Without ``ordered_by`` row order is ignored; with it, the position is part
+    of every entry.
     """
     parts = ["fold", *([ordered_by] if ordered_by else []), unit]
-    entry = F.sha2(F.concat_ws(":", *[F.col(p).cast("string") for p in parts]), 256)
-    entries = split.groupBy(entry.alias("entry")).agg(F.count(F.lit(1)).alias("copies"))
-    groups = entries.groupBy(F.substring("entry", 1, HASH_PREFIX).alias("prefix")).agg(
-        F.sha2(
-            F.array_join(F.sort_array(F.collect_list(
-                F.concat("entry", F.lit("x"), F.col("copies").cast("string"))
-            )), ","), 256,
-        ).alias("digest"),
-        F.sum("copies").alias("n"),
-    )
-    return groups.agg(
-        F.sha2(
-            F.array_join(F.sort_array(F.collect_list(
-                F.concat("prefix", F.lit(":"), "digest"))), ","), 256,
-        ).alias("sha256"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"),
-    )
+    return hash_tree(split, F.concat_ws(":", *[F.col(p).cast("string") for p in parts]))
