@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["box_queries", "track_queries", "score_queries", "event_queries"]
+MODULES = ["box_queries", "track_queries", "score_queries", "event_queries", "model_queries"]
 
 
 def all_queries():

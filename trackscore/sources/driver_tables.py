@@ -41,7 +41,8 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotation_view(table(spark, sf_dir, "events"))
 
 
-def annotation_view(events: DataFrame) -> DataFrame:
+def annotation_view(events: DataFrame, *extra: str) -> DataFrame:
+    """Annotation columns of an events table or stream; ``extra`` columns pass through."""
     event = F.col("event_id")
 
     def hundredths(value):
@@ -64,6 +65,7 @@ def annotation_view(events: DataFrame) -> DataFrame:
         (event % 500).alias("vec_id"),
         (event % 11 != 0).alias("valid"),
         (event % 13 != 0).alias("has_frame"),
+        *extra,
     )
 
 
