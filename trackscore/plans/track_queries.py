@@ -91,18 +91,16 @@ def store_union(spark, sf):
 
 def key_vector(key: str):
     """A stand-in extractor: a vector computed from the key; every 11th frame has none."""
-    video, frame, x1, _, x2, _ = key.split("|")
+    video, frame, *box = key.split("|")
     if int(frame) % 11 == 0:
         return None
-    base = int(frame) + float(x1) + float(x2) + 0.01 * len(video)
-    return [base + i for i in range(6)]
+    return [*map(float, box), float(len(video))]
 
 
 @query("ensure_features", f""",
 keyed AS (SELECT a.*, {KEY_SQL} AS key, CAST(trunc(timestamp*25) AS INT) AS f FROM annotations a)
 SELECT row_ord, key, f % 11 <> 0 AS valid,
-  CASE WHEN f % 11 <> 0 THEN
-    round((6 * (f + round(x1, 6) + round(x2, 6) + 0.01::DOUBLE * length(video_id)) + 15)::DOUBLE, 1) END AS feature_sum
+  CASE WHEN f % 11 <> 0 THEN round(x1 + y1 + x2 + y2 + length(video_id), 4) END AS feature_sum
 FROM keyed
 """)
 def ensure_features(spark, sf):
@@ -113,7 +111,7 @@ def ensure_features(spark, sf):
     store.ensure(fb.filter_actions(rows).select("key"), path, signature, key_vector)
     found = store.ensure(rows.select("row_ord", "key"), path, signature, key_vector)
     total = F.aggregate("feature", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return found.select("row_ord", "key", "valid", F.round(total, 1).alias("feature_sum"))
+    return found.select("row_ord", "key", "valid", F.round(total, 4).alias("feature_sum"))
 
 
 @query("frame_features", """
