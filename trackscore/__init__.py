@@ -1,3 +1,11 @@
 """trackscore: novelty scoring over object tracks, written as Spark jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to the executors by value, so a job does not
+# depend on the package being installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

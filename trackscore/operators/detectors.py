@@ -277,7 +277,7 @@ def with_history(track: Ordered, steps: int, column: str = "feature") -> DataFra
     names = [f"_lag{k}" for k in range(steps, 0, -1)]
     lagged = track.over_neighbours(
         steps, 0,
-        **{f"_lag{k}": (lambda w, k=k: F.lag(column, k).over(w)) for k in range(steps, 0, -1)},
+        {f"_lag{k}": (lambda w, k=k: F.lag(column, k).over(w)) for k in range(steps, 0, -1)},
     )
     return (
         lagged.rows.where(F.col("pos") >= steps)

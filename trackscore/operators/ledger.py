@@ -92,7 +92,7 @@ def previous_runs(
     chain = ordered(runs, ["run_id"], ["started_at", "entry_ord"], size="n_runs",
                     hot_rows=hot_rows, chunk_rows=chunk_rows)
     chain = chain.over_neighbours(
-        1, 0, previous=lambda w: F.lag(F.struct("config_hash", "started_at")).over(w))
+        1, 0, {"previous": lambda w: F.lag(F.struct("config_hash", "started_at")).over(w)})
     return chain.rows.where(F.col("previous.config_hash") != F.col("config_hash")).select(
         "run_id", "entry_ord", "started_at", "config_hash",
         F.col("previous.config_hash").alias("previous_hash"),

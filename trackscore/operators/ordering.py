@@ -43,7 +43,7 @@ class Ordered:
     def _chunk(self) -> Column:
         return F.floor(F.col(self.pos) / F.lit(self.chunk_rows)).cast("long")
 
-    def over_neighbours(self, before: int, after: int, **exprs) -> "Ordered":
+    def over_neighbours(self, before: int, after: int, exprs: dict) -> "Ordered":
         """Add window expressions that look at most ``before``/``after`` rows away.
 
         Each expression is a function of the ordered window. In the hot plan
@@ -69,10 +69,10 @@ class Ordered:
         return self.with_rows(computed.where(F.col("_chunk") == self._chunk()).drop("_chunk"))
 
     def lag(self, column: str, out: str, k: int = 1) -> "Ordered":
-        return self.over_neighbours(k, 0, **{out: lambda w: F.lag(column, k).over(w)})
+        return self.over_neighbours(k, 0, {out: lambda w: F.lag(column, k).over(w)})
 
     def lead(self, column: str, out: str, k: int = 1) -> "Ordered":
-        return self.over_neighbours(0, k, **{out: lambda w: F.lead(column, k).over(w)})
+        return self.over_neighbours(0, k, {out: lambda w: F.lead(column, k).over(w)})
 
     def running_sum(self, column: str, out: str) -> "Ordered":
         """Sum of ``column`` over the rows up to and including this one."""

@@ -85,10 +85,12 @@ def with_gap_sources(
     gap, margin = ~F.col(valid), seq_len - 1
     return track.over_neighbours(
         margin, margin,
-        _before=lambda w: F.when(
-            gap, F.last(candidate, ignorenulls=True).over(w.rowsBetween(-margin, 0))),
-        _after=lambda w: F.when(
-            gap, F.first(candidate, ignorenulls=True).over(w.rowsBetween(0, margin))),
+        {
+            "_before": lambda w: F.when(
+                gap, F.last(candidate, ignorenulls=True).over(w.rowsBetween(-margin, 0))),
+            "_after": lambda w: F.when(
+                gap, F.first(candidate, ignorenulls=True).over(w.rowsBetween(0, margin))),
+        },
     )
 
 
