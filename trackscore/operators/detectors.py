@@ -44,26 +44,31 @@ def fit_diagonal(df: DataFrame, column: str = "feature") -> tuple[np.ndarray, np
     return np.array([r.mean for r in rows]), np.array([r.variance for r in rows])
 
 
-def gram(df: DataFrame, center: np.ndarray, column: str = "feature") -> DataFrame:
-    """Rows of the centred Gram matrix: (i, row), plus row -1 = [n, sum of norm^4].
+def gram(df: DataFrame, width: int, column: str = "feature") -> DataFrame:
+    """Power sums of the vectors as rows (i, row), from one pass.
 
-    Each task folds its rows into one matrix; matrix rows are then added up
-    across tasks by row number, so no reducer sees whole matrices.
+    Rows 0.. are the Gram matrix; row -1 is the sum, row -2 the sum of
+    |x|^2 x, row -3 is [n, sum of |x|^4]. Each task folds its rows into one
+    matrix; matrix rows are then added up across tasks by row number, so no
+    reducer sees whole matrices.
     """
-    width = len(center)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n, fourth = np.zeros((width, width)), 0, 0.0
+        first, third = np.zeros(width), np.zeros(width)
         for batch in batches:
             if batch.num_rows:
-                x = to_matrix(batch.column(0)) - center
+                x = to_matrix(batch.column(0))
+                norms = np.square(x).sum(axis=1)
                 total += x.T @ x
+                first += x.sum(axis=0)
+                third += norms @ x
                 n += len(x)
-                fourth += float(np.square(np.square(x).sum(axis=1)).sum())
+                fourth += float(np.square(norms).sum())
         if n:
-            rows = [[float(n), fourth], *total.tolist()]
+            rows = [[float(n), fourth], third.tolist(), first.tolist(), *total.tolist()]
             yield pa.RecordBatch.from_pydict(
-                {"i": pa.array(range(-1, width), pa.int32()), "row": pa.array(rows, pa.list_(pa.float64()))}
+                {"i": pa.array(range(-3, width), pa.int32()), "row": pa.array(rows, pa.list_(pa.float64()))}
             )
 
     partials = df.select(column).mapInArrow(partial, "i int, row array<double>")
@@ -71,20 +76,26 @@ def gram(df: DataFrame, center: np.ndarray, column: str = "feature") -> DataFram
         vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"))
 
 
-def fit_gaussian(df: DataFrame, column: str = "feature") -> Gaussian:
-    mean = fit_mean(df, column)
-    rows = {r.i: r.row for r in gram(df, mean, column).collect()}
-    n, fourth = rows[-1]
-    covariance = np.array([rows[i] for i in range(len(mean))]) / n
-    return Gaussian(mean, covariance, int(n), fourth / n)
-
-
-def covariance_table(df: DataFrame, column: str = "feature") -> DataFrame:
-    """Covariance entries (i, j, cov) without leaving Spark."""
-    g = gram(df, fit_mean(df, column), column)
-    n = g.where(F.col("i") == -1).select(F.col("row")[0].alias("n")).first().n
-    return g.where(F.col("i") >= 0).select("i", F.posexplode("row").alias("j", "v")).select(
-        "i", "j", (F.col("v") / F.lit(n)).alias("cov"))
+def fit_gaussian(df: DataFrame, width: int, column: str = "feature") -> Gaussian:
+    """Mean, covariance and centred fourth moment from the power sums."""
+    rows = {r.i: np.array(r.row) for r in gram(df, width, column).collect()}
+    if not rows:
+        raise ValueError("no rows to fit on")
+    n, fourth = rows[-3]
+    mean, third = rows[-1] / n, rows[-2] / n
+    raw = np.array([rows[i] for i in range(width)]) / n
+    square = mean @ mean
+    centred = (
+        fourth / n + 4 * mean @ raw @ mean + square**2 - 4 * mean @ third
+        + 2 * square * np.trace(raw) - 4 * square**2)
+    return Gaussian(mean, raw - np.outer(mean, mean), int(n), float(centred))
+
+
+def covariance_table(spark, state: Gaussian) -> DataFrame:
+    """Covariance entries (i, j, cov): D x D numbers of fitted state."""
+    width = len(state.mean)
+    rows = [(i, j, float(state.covariance[i, j])) for i in range(width) for j in range(width)]
+    return spark.createDataFrame(rows, "i int, j int, cov double")
 
 
 def ridge(state: Gaussian, strength: float = 1e-3) -> np.ndarray:
@@ -286,10 +297,9 @@ def with_history(track: Ordered, steps: int, column: str = "feature") -> DataFra
     )
 
 
-def fit_predictor(history: DataFrame, steps: int, strength: float = 1e-2) -> Predictor:
+def fit_predictor(history: DataFrame, steps: int, width: int, strength: float = 1e-2) -> Predictor:
     """Ridge regression of the next vector on the previous ones, from one Gram matrix."""
-    state = fit_gaussian(history, "joint")
-    width = len(state.mean) // (steps + 1)
+    state = fit_gaussian(history, width * (steps + 1), "joint")
     known = steps * width
     inner = state.covariance[:known, :known]
     penalty = strength * np.trace(inner) / known * np.eye(known)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import TRACK
+from ..session import materialize
 from .ordering import CHUNK_ROWS, HOT_GROUP_ROWS, ordered
 from .tracks import tracks
 
@@ -114,6 +115,7 @@ def _type_of(df: DataFrame, column) -> str:
 
 def detection_delay(truth: DataFrame, events: DataFrame, keys: list[str], **plan) -> DataFrame:
     """Seconds from each truth start to the first event that starts inside it."""
+    events, truth = materialize(events), materialize(truth)
     nearest = as_of(truth, events, keys, "t_start", "t_start", "t_end", "_event", "next", **plan)
     inside = F.col("_event.at") <= F.col("t_end")
     return nearest.select(
@@ -137,8 +139,10 @@ def event_metrics(
 ) -> DataFrame:
     """Event-level detection rate, durations and false events per day.
 
-    ``observed`` gives the seconds watched per camera (``seconds``).
+    ``observed`` gives the seconds watched per camera (``seconds``). Events and
+    truth are read several times, so each is computed once and kept.
     """
+    events, truth = materialize(events), materialize(truth)
     found = matched(truth, events, keys, **plan).agg(
         F.count(F.lit(1)).alias("n_truth"), F.count_if("matched").alias("n_detected"))
     raised = matched(events, truth, keys, **plan).agg(

@@ -195,11 +195,12 @@ def hash_rank(
 
     The digest is uniform, so its first hex digits cut the order into 4,096 even
     buckets. Bucket counts are prefix-summed (at most 4,096 rows) and added to
-    the rank inside the bucket.
+    the rank inside the bucket. (The bucket is made non-null so that no null check
+    on the digest is pushed below the DISTINCT, where it would hash every row.)
     """
     units = df.select(unit).distinct().withColumn(
         "_digest", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(unit).cast("string")), 256)
-    ).withColumn("_bucket", F.substring("_digest", 1, HASH_PREFIX))
+    ).withColumn("_bucket", F.coalesce(F.substring("_digest", 1, HASH_PREFIX), F.lit("")))
     counts = units.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("_bucket").rowsBetween(

@@ -82,7 +82,8 @@ def iou_tracks(
     pointer doubling, in as many rounds as the longest chain has binary digits.
     Every round joins only unresolved boxes, whose pointers are all different.
     """
-    pairs = overlapping_pairs(boxes, min_iou, hot_rows=hot_rows, chunk_rows=chunk_rows)
+    boxes = materialize(boxes)
+    pairs = materialize(overlapping_pairs(boxes, min_iou, hot_rows=hot_rows, chunk_rows=chunk_rows))
     forward = pairs.groupBy("box").agg(
         F.max(F.struct(F.col("iou"), (-F.col("next_box")).alias("n"))).alias("_m")
     ).select("box", (-F.col("_m.n")).alias("next_box"))

@@ -14,7 +14,7 @@ from ..streaming.events import EVENT_SCHEMA, STORE_PROVIDER, stream_events
 from ..streaming.features import start_feature_stream
 from .event_queries import HI, LO, MIN_DURATION, SCORED_SQL
 from .registry import query
-from .track_queries import DIM, KEY_SQL, key_vector, split_feature_windows
+from .track_queries import DIM, KEY_SQL, key_vector, split_feature_windows, video_split
 
 
 @query("vae_loss_terms", f"""
@@ -108,11 +108,12 @@ def vae_scores(spark, sf):
 
 
 def sequence_rows(spark, sf):
-    windows = split_feature_windows(spark, sf)
-    scaled = scaling.apply_scaler(windows, scaling.fit_scaler(windows, "zscore"))
-    whole = tracks.assemble_windows(scaled, "feature")
-    split = splits.grouped_split(dt.annotations(spark, sf), "video_id")
-    return splits.split_windows(whole, split).withColumn("window", F.concat_ws(":", *WINDOW))
+    split = video_split(spark, sf)
+    windows = split_feature_windows(spark, sf, split)
+    scaler = scaling.fit_scaler(split_feature_windows(spark, sf, split, "train"), "zscore")
+    scaled = scaling.apply_scaler(windows, scaler)
+    whole = splits.split_windows(tracks.assemble_windows(scaled, "feature"), split)
+    return whole.withColumn("window", F.concat_ws(":", *WINDOW))
 
 
 @query("sequence_vae_scores")

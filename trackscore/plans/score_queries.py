@@ -12,7 +12,7 @@ from ..session import materialize
 from ..sources import driver_tables as dt
 from .box_queries import split_sql
 from .registry import query
-from .track_queries import featured, normal_rows
+from .track_queries import featured, normal_rows, video_split
 
 DIM = 64
 MODELS = ("euclidean", "mahalanobis")
@@ -77,13 +77,13 @@ SELECT a.dim AS i, b.dim AS j, round(sum(a.d * b.d) / count(*), 8) AS cov
 FROM c a JOIN c b USING (vec_id) GROUP BY ALL
 """, SCORES_VIEWS)
 def covariance(spark, sf):
-    table = od.covariance_table(fit_rows(labelled(spark, sf)))
+    table = od.covariance_table(spark, od.fit_gaussian(fit_rows(labelled(spark, sf)), DIM))
     return table.withColumn("cov", F.round("cov", 8))
 
 
 def _score_all(spark, sf, column_of):
     rows = labelled(spark, sf)
-    state = od.fit_gaussian(fit_rows(rows))
+    state = od.fit_gaussian(fit_rows(rows), DIM)
     return rows.select("vec_id", F.round(column_of(state), 6).alias("score"))
 
 
@@ -104,13 +104,13 @@ def mahalanobis_shrunk(spark, sf):
 
 @query("condition_numbers")
 def condition_numbers(spark, sf):
-    return od.condition_numbers(spark, od.fit_gaussian(fit_rows(labelled(spark, sf))))
+    return od.condition_numbers(spark, od.fit_gaussian(fit_rows(labelled(spark, sf)), DIM))
 
 
 @query("pca_scores")
 def pca_scores(spark, sf):
     rows = labelled(spark, sf)
-    pca = od.principal_components(od.fit_gaussian(fit_rows(rows)), 16)
+    pca = od.principal_components(od.fit_gaussian(fit_rows(rows), DIM), 16)
     return rows.select(
         "vec_id",
         F.round(od.pca_euclidean_score(pca), 6).alias("euclidean"),
@@ -128,15 +128,14 @@ def isolation_forest(spark, sf):
 def histories(spark, sf, steps=3):
     rows = featured(spark, sf, normal_rows(spark, sf)).select(
         "video_id", "target_id", "timestamp", "row_ord", "feature")
-    history = od.with_history(tracks.tracks(rows), steps)
-    split = splits.grouped_split(dt.annotations(spark, sf), "video_id")
-    return splits.split_windows(history, split)
+    rows = splits.split_windows(rows, video_split(spark, sf))
+    return od.with_history(tracks.tracks(rows), steps)
 
 
 @query("lagged_ridge")
 def lagged_ridge(spark, sf):
     rows = histories(spark, sf)
-    model = od.fit_predictor(rows.where(F.col("fold") == "train"), 3)
+    model = od.fit_predictor(rows.where(F.col("fold") == "train"), 3, DIM)
     return rows.select("row_ord", F.round(od.predictor_score(model), 6).alias("score"))
 
 
@@ -144,8 +143,8 @@ def lagged_ridge(spark, sf):
 def residual_mahalanobis(spark, sf):
     rows = histories(spark, sf)
     train = rows.where(F.col("fold") == "train")
-    model = od.fit_predictor(train, 3)
-    state = od.fit_gaussian(train.select(od.residual_vector(model).alias("residual")), "residual")
+    model = od.fit_predictor(train, 3, DIM)
+    state = od.fit_gaussian(train.select(od.residual_vector(model).alias("residual")), DIM, "residual")
     return rows.select("row_ord", od.residual_vector(model).alias("residual")).select(
         "row_ord",
         F.round(od.mahalanobis_score(state.mean, od.ridge(state), "residual"), 6).alias("score"))

@@ -9,7 +9,7 @@ from ..functions import keys as fk
 from ..functions.vectors import zeros
 from ..operators import scaling, splits, store, tracks
 from ..schema import WINDOW
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import driver_tables as dt
 from .box_queries import KEY_SQL, VIDEO_SPLIT
 from .registry import query
@@ -185,10 +185,11 @@ def gap_filled_windows(spark, sf):
         *WINDOW, "i", "filled", "source_pos", F.col("vec_id").alias("source_vec"))
 
 
-def feature_windows(spark, sf):
+def feature_windows(spark, sf, rows=None):
     """Filled windows with their vectors, in long form."""
-    rows = featured(spark, sf, normal_rows(spark, sf)).select(
-        "video_id", "target_id", "timestamp", "row_ord", "valid", "feature")
+    rows = normal_rows(spark, sf) if rows is None else rows
+    kept = ["video_id", "target_id", "timestamp", "row_ord", "valid", "feature"]
+    rows = featured(spark, sf, rows).select(*kept, *[c for c in rows.columns if c == "fold"])
     return tracks.gap_filled_windows(rows, "feature", zeros(DIM), SEQ_LEN, STRIDE)
 
 
@@ -261,9 +262,17 @@ z AS (SELECT dim, avg(x) AS mean, stddev_pop(x) + 1e-8::DOUBLE AS std FROM el WH
 """
 
 
-def split_feature_windows(spark, sf):
-    split = splits.grouped_split(dt.annotations(spark, sf), "video_id")
-    return splits.split_windows(feature_windows(spark, sf), split)
+def video_split(spark, sf):
+    """The video split, computed once: one row per video, read by every later step."""
+    return materialize(splits.grouped_split(dt.annotations(spark, sf), "video_id"))
+
+
+def split_feature_windows(spark, sf, split, fold=None):
+    """Feature windows with their fold; one fold is cut out before any shuffle."""
+    rows = splits.split_windows(normal_rows(spark, sf), split)
+    if fold is not None:
+        rows = scaling.select_fold(rows, fold)
+    return feature_windows(spark, sf, rows)
 
 
 @query("split_window_counts", windows_sql() + f""", {VIDEO_SPLIT}
@@ -283,7 +292,7 @@ def split_window_counts(spark, sf):
 SELECT dim, round(mean, 6) AS mean, round(std, 6) AS std FROM z
 """)
 def zscore_state(spark, sf):
-    windows = scaling.select_fold(split_feature_windows(spark, sf), "train")
+    windows = split_feature_windows(spark, sf, video_split(spark, sf), "train")
     return scaling.fit_zscore(windows).select(
         "dim", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
@@ -293,8 +302,10 @@ SELECT video_id, target_id, start, dim, round(avg((x - mean) / std), 6) AS mean_
 FROM el JOIN z USING (dim) GROUP BY ALL
 """)
 def zscore_windows(spark, sf):
-    windows = split_feature_windows(spark, sf)
-    scaled = scaling.apply_scaler(windows, scaling.fit_scaler(windows, "zscore"))
+    split = video_split(spark, sf)
+    windows = split_feature_windows(spark, sf, split)
+    scaler = scaling.fit_scaler(split_feature_windows(spark, sf, split, "train"), "zscore")
+    scaled = scaling.apply_scaler(windows, scaler)
     return scaled.select(*WINDOW, F.posexplode("feature").alias("dim", "x")).groupBy(
         *WINDOW, "dim").agg(F.round(F.avg("x"), 6).alias("mean_z"))
 
@@ -338,17 +349,17 @@ def window_score(spark, sf):
     Scores need no vectors once the statistics are known, so each annotation row
     is scored first and only that number is ordered, windowed and filled.
     """
-    scaler = scaling.fit_scaler(split_feature_windows(spark, sf), "zscore")
-    return score_windows(spark, sf, scaler)
+    split = video_split(spark, sf)
+    scaler = scaling.fit_scaler(split_feature_windows(spark, sf, split, "train"), "zscore")
+    return score_windows(spark, sf, scaler, split)
 
 
-def score_windows(spark, sf, scaler):
+def score_windows(spark, sf, scaler, split):
     rows = featured(spark, sf, normal_rows(spark, sf)).select(
         "video_id", "target_id", "timestamp", "row_ord", "valid",
         scaling.mean_square_z("feature", scaler).alias("score"))
     empty = F.lit(scaling.mean_square_z_of_zeros(scaler))
     windows = tracks.gap_filled_windows(rows, "score", empty, SEQ_LEN, STRIDE)
-    split = splits.grouped_split(dt.annotations(spark, sf), "video_id")
     per_window = windows.groupBy(*WINDOW).agg(F.round(F.avg("score"), 6).alias("score"))
     return splits.split_windows(per_window, split).select(*WINDOW, "fold", "score")
 
