@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import cumulative_by_value
@@ -145,10 +145,14 @@ def novelty_report(scored: DataFrame, normal: str = "normal") -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
-def two_sided_p(z: pd.Series) -> pd.Series:
+def two_sided_p(z: Column | str) -> Column:
     """Two-sided normal tail of a z statistic (a few result rows only)."""
-    return z.map(lambda v: None if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2)))
+
+    @F.pandas_udf("double")
+    def tail(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
+
+    return tail(z)
 
 
 def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -38,12 +38,15 @@ def read_ledger(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     corrupt = "_corrupt_record"
     wide = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
     try:
-        rows = spark.read.schema(wide).option("mode", "PERMISSIVE").json(path)
+        lines = spark.read.text(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], schema)
-    return rows.where(F.col(corrupt).isNull()).drop(corrupt)
+    parsed = lines.select(F.from_json(
+        "value", wide, {"columnNameOfCorruptRecord": corrupt}).alias("entry"))
+    return parsed.where(F.col(f"entry.{corrupt}").isNull()).select(
+        *[F.col(f"entry.{name}") for name in schema.names])
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
