@@ -35,7 +35,7 @@ def test_positions(skewed, plan):
 def test_lag_lead_and_running(skewed, plan):
     df, frame = skewed
     track = tracks(df, **plan).lag("row_ord", "before", 2).lead("row_ord", "after", 1)
-    track = track.running_sum("action_id", "total").running_max("score", "top").running_min("score", "low")
+    track = track.running(total=("sum", "action_id"), top=("max", "score"), low=("min", "score"))
     got = track.rows.select("row_ord", "before", "after", "total", "top", "low").toPandas()
     got = got.set_index("row_ord").sort_index()
     want = sorted_track(frame)
@@ -55,7 +55,7 @@ def test_running_skips_nulls_across_chunks(skewed):
     rare = F.when(F.col("row_ord") % 97 == 0, F.col("row_ord"))
     results = []
     for plan in ({}, HOT):
-        track = tracks(df.withColumn("rare", rare), **plan).running_max("rare", "seen")
+        track = tracks(df.withColumn("rare", rare), **plan).running(seen=("max", "rare"))
         results.append(track.rows.select("row_ord", "seen").toPandas().sort_values("row_ord").reset_index(drop=True))
     pd.testing.assert_frame_equal(*results)
     assert results[0]["seen"].isna().any() and results[0]["seen"].notna().any()

@@ -30,7 +30,7 @@ def extract_events(
             "_not_high": (F.col("score") < hi).cast("long"),
         }),
         keys, ["timestamp", "row_ord"], **plan)
-    track = track.islands("_low", "_stretch").islands("_not_high", "_run")
+    track = track.running(_stretch=("sum", "_low"), _run=("sum", "_not_high"))
     high = F.col("_not_high") == 0
     runs = track.rows.where(F.col("_low") == 0).groupBy(*keys, "_stretch", "_run").agg(
         F.min(F.when(high, F.col("timestamp"))).alias("start"),
@@ -59,7 +59,7 @@ def truth_manifest(df: DataFrame, **plan) -> DataFrame:
     track = tracks(df, **plan).lag("action_id", "_previous")
     changed = track.with_rows(track.rows.withColumn(
         "_change", (~F.col("_previous").eqNullSafe(F.col("action_id"))).cast("long")))
-    return changed.islands("_change", "_run").rows.groupBy(*TRACK, "_run").agg(
+    return changed.running(_run=("sum", "_change")).rows.groupBy(*TRACK, "_run").agg(
         F.min("timestamp").alias("t_start"), F.max("timestamp").alias("t_end"),
         F.first("action_id").alias("fold"), F.count(F.lit(1)).alias("n_rows"),
     ).select(
@@ -105,7 +105,7 @@ def as_of(
         *keys, (F.col(right_time) * sign).alias("_time"), F.lit(0).alias("_side"),
         F.lit(None).cast(_type_of(left, F.struct(*left.columns))).alias("_left"), at.alias("_near"))
     chain = ordered(lefts.unionByName(rights), keys, ["_time", "_side"], hot_rows=hot_rows, chunk_rows=chunk_rows)
-    chain = chain.running_max("_near", out) if direction == "previous" else chain.running_min("_near", out)
+    chain = chain.running(**{out: ("max" if direction == "previous" else "min", "_near")})
     return chain.rows.where(F.col("_side") == 1).select("_left.*", out)
 
 

@@ -232,7 +232,7 @@ def pareto_front(points: DataFrame, cost: str = "cost", gain: str = "gain") -> D
     at lower cost. That is a running maximum, not an all-pairs comparison.
     """
     best = points.groupBy(cost).agg(F.max(gain).alias("_best"))
-    ranked = cumulative_by_value(best, cost, {"_best": "_cheaper"}, combine=F.max)
+    ranked = cumulative_by_value(best, cost, {"_best": "_cheaper"}, kind="max")
     front = ranked.where(F.col("_cheaper").isNull() | (F.col("_best") > F.col("_cheaper")))
     return points.join(
         front.select(cost, F.col("_best").alias(gain)), [cost, gain], "left_semi")

@@ -23,6 +23,7 @@ from ..session import materialize
 
 HOT_GROUP_ROWS = 1_000_000
 CHUNK_ROWS = 100_000
+MAX_LISTED_GROUPS = 10_000
 
 
 @dataclass(frozen=True)
@@ -74,24 +75,21 @@ class Ordered:
     def lead(self, column: str, out: str, k: int = 1) -> "Ordered":
         return self.over_neighbours(0, k, {out: lambda w: F.lead(column, k).over(w)})
 
-    def running_sum(self, column: str, out: str) -> "Ordered":
-        """Sum of ``column`` over the rows up to and including this one."""
-        return self._running(column, out, F.sum)
+    def running(self, **specs: tuple[str, str]) -> "Ordered":
+        """Running values up to and including each row: ``out=(kind, column)``.
 
-    def running_max(self, column: str, out: str) -> "Ordered":
-        """Largest ``column`` up to and including this row; NULLs are skipped."""
-        return self._running(column, out, F.max)
-
-    def running_min(self, column: str, out: str) -> "Ordered":
-        return self._running(column, out, F.min)
-
-    def _running(self, column: str, out: str, combine) -> "Ordered":
+        ``kind`` is ``sum``, ``max`` or ``min``; NULLs are skipped. In the hot
+        plan all of them share one pass over the chunks and one small table of
+        chunk totals, whose prefix is added to the values inside each chunk.
+        """
+        combine = {out: COMBINE[kind] for out, (kind, _) in specs.items()}
         if not self.hot:
             window = (
                 Window.partitionBy(*self.keys).orderBy(self.pos)
                 .rowsBetween(Window.unboundedPreceding, Window.currentRow)
             )
-            return self.with_rows(self.rows.withColumn(out, combine(column).over(window)))
+            return self.with_rows(self.rows.select(
+                "*", *[combine[out](column).over(window).alias(out) for out, (_, column) in specs.items()]))
         chunked = self.rows.withColumn("_chunk", self._chunk())
         inside = (
             Window.partitionBy(*self.keys, "_chunk").orderBy(self.pos)
@@ -100,26 +98,28 @@ class Ordered:
         earlier = Window.partitionBy(*self.keys).orderBy("_chunk").rowsBetween(
             Window.unboundedPreceding, -1
         )
-        carry = (
-            chunked.groupBy(*self.keys, "_chunk").agg(combine(column).alias("_total"))
-            .select(*self.keys, "_chunk", combine("_total").over(earlier).alias("_carry"))
-        )
-        joined = chunked.withColumn(out, combine(column).over(inside)).join(
-            carry, [*self.keys, "_chunk"]
-        )
-        if combine is F.sum:
-            merged = F.coalesce(
-                F.col(out) + F.col("_carry"), F.col(out), F.col("_carry")
-            )
-        elif combine is F.max:
-            merged = F.greatest(out, "_carry")
-        else:
-            merged = F.least(out, "_carry")
-        return self.with_rows(joined.withColumn(out, merged).drop("_chunk", "_carry"))
+        totals = chunked.groupBy(*self.keys, "_chunk").agg(
+            *[combine[out](column).alias(f"_t_{out}") for out, (_, column) in specs.items()])
+        carry = totals.select(
+            *self.keys, "_chunk", *[combine[out](f"_t_{out}").over(earlier).alias(f"_c_{out}") for out in specs])
+        local = chunked.select(
+            "*", *[combine[out](column).over(inside).alias(f"_l_{out}") for out, (_, column) in specs.items()])
+        joined = local.join(carry, [*self.keys, "_chunk"])
+        merged = [
+            _merge(kind, F.col(f"_l_{out}"), F.col(f"_c_{out}")).alias(out)
+            for out, (kind, _) in specs.items()
+        ]
+        return self.with_rows(joined.select(*self.rows.columns, *merged))
+
 
-    def islands(self, breaks: str, out: str) -> "Ordered":
-        """Number the maximal runs between rows whose ``breaks`` is 1."""
-        return self.running_sum(breaks, out)
+COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
+
+
+def _merge(kind: str, left: Column, right: Column) -> Column:
+    """Combine two partial values, either of which may be NULL."""
+    if kind == "sum":
+        return F.coalesce(left + right, left, right)
+    return F.greatest(left, right) if kind == "max" else F.least(left, right)
 
 
 def ordered(
@@ -135,15 +135,23 @@ def ordered(
 
     ``order`` must be total within a group, so that ranks are reproducible.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot_keys = sizes.where(F.col("_rows") > hot_rows).select(*keys)
-    if hot_keys.isEmpty():
+    hot_groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
+    listed = hot_groups.limit(MAX_LISTED_GROUPS + 1).collect()
+    if not listed:
         return Ordered(_rank_plain(df, keys, order, pos, size), tuple(keys), pos, size, False, chunk_rows)
-    hot_keys = materialize(hot_keys)
-    cold = df.join(hot_keys, keys, "left_anti")
-    hot = df.join(hot_keys, keys, "left_semi")
-    rows = _rank_plain(cold, keys, order, pos, size).unionByName(
-        _rank_by_range(hot, keys, order, pos, size, hot_rows)
+    if len(listed) <= MAX_LISTED_GROUPS:
+        # A short list, small enough for Spark to broadcast.
+        hot_groups = df.sparkSession.createDataFrame(listed, hot_groups.schema)
+    else:
+        hot_groups = materialize(hot_groups)
+    n_hot_rows = hot_groups.agg(F.sum("_rows").alias("n")).first().n
+    n_ranges = max(
+        int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+        -(-n_hot_rows // max(1, hot_rows)) * 2,
+    )
+    hot_keys = hot_groups.select(*keys)
+    rows = _rank_plain(df.join(hot_keys, keys, "left_anti"), keys, order, pos, size).unionByName(
+        _rank_by_range(df.join(hot_keys, keys, "left_semi"), keys, order, pos, size, n_ranges)
     )
     return Ordered(rows, tuple(keys), pos, size, True, chunk_rows)
 
@@ -157,12 +165,7 @@ def _rank_plain(df: DataFrame, keys, order, pos, size) -> DataFrame:
     )
 
 
-def _rank_by_range(df: DataFrame, keys, order, pos, size, target_rows) -> DataFrame:
-    spark = df.sparkSession
-    n_ranges = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        -(-df.count() // max(1, target_rows)) * 2,
-    )
+def _rank_by_range(df: DataFrame, keys, order, pos, size, n_ranges) -> DataFrame:
     # The range number must be read once and kept: two evaluations of a range
     # shuffle may sample different bounds.
     ranged = materialize(
@@ -229,7 +232,7 @@ def cumulative_by_value(
     sums: dict[str, str],
     keys: list[str] | None = None,
     descending: bool = False,
-    combine=F.sum,
+    kind: str = "sum",
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Running totals in order of ``value``, without sorting everything in one task.
@@ -240,7 +243,7 @@ def cumulative_by_value(
     buckets before it. ``sums`` maps an input column to its running column,
     which excludes the current row itself.
     """
-    keys = keys or []
+    keys, combine = keys or [], COMBINE[kind]
     hist = materialize(hist)
     n_buckets = -(-hist.count() // rows_per_bucket)
     cuts = []
@@ -271,11 +274,6 @@ def cumulative_by_value(
     joined = local.join(shifts, [*keys, "_bucket"])
     merged = []
     for column, out in sums.items():
-        left, right = F.col(f"_l_{column}"), F.col(f"_b_{column}")
-        if combine is F.sum:
-            merged.append(F.coalesce(left + right, left, right, F.lit(0)).alias(out))
-        elif combine is F.max:
-            merged.append(F.greatest(left, right).alias(out))
-        else:
-            merged.append(F.least(left, right).alias(out))
+        value_before = _merge(kind, F.col(f"_l_{column}"), F.col(f"_b_{column}"))
+        merged.append((F.coalesce(value_before, F.lit(0)) if kind == "sum" else value_before).alias(out))
     return joined.select(*hist.columns, *merged)

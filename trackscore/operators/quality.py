@@ -17,7 +17,7 @@ def quality_signals(df: DataFrame, **plan) -> DataFrame:
     track = tracks(df, **plan)
     track = track.with_rows(track.rows.withColumn(
         "_seen_at", F.when(F.col("valid"), F.col("pos"))))
-    track = track.running_max("_seen_at", "_last_seen").running_min("timestamp", "_born")
+    track = track.running(_last_seen=("max", "_seen_at"), _born=("min", "timestamp"))
     width, height = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     return track.rows.withColumns({
         "area": width * height,

@@ -197,13 +197,17 @@ def feature_windows(spark, sf, rows=None):
 x AS (SELECT f.video_id, f.target_id, f.start, f.i, f.filled,
   round(list_sum(CAST(e.embedding AS DOUBLE[])), 6) AS total
   FROM filled f JOIN embeddings e ON e.vec_id = f.source_vec)
-SELECT video_id, target_id, start, count(*)::INT AS n_items, list(total ORDER BY i) AS sums FROM x GROUP BY ALL
+SELECT video_id, target_id, start, count(*)::INT AS n_items, count(*) FILTER (filled)::INT AS n_filled,
+  round(sum((i + 1) * total), 4) AS ordered_sum FROM x GROUP BY ALL
 """)
 def assembled_windows(spark, sf):
     whole = tracks.assemble_windows(feature_windows(spark, sf), "feature", "filled")
-    total = F.transform("feature", lambda v: F.round(
+    total = F.transform("feature", lambda v, i: (i + 1) * F.round(
         F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double")), 6))
-    return whole.select(*WINDOW, F.size("feature").alias("n_items"), total.alias("sums"))
+    return whole.select(
+        *WINDOW, F.size("feature").alias("n_items"),
+        F.size(F.filter("filled", lambda f: f)).alias("n_filled"),
+        F.round(F.aggregate(total, F.lit(0.0), lambda a, x: a + x), 4).alias("ordered_sum"))
 
 
 @query("noisy_fill")
