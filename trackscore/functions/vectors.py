@@ -41,6 +41,8 @@ def to_tensor(windows: pa.Array) -> np.ndarray:
 
 def from_tensor(values: np.ndarray) -> pa.Array:
     n, length, width = values.shape
+    if n == 0:
+        return pa.array([], pa.list_(pa.list_(pa.from_numpy_dtype(values.dtype))))
     inner = pa.ListArray.from_arrays(
         pa.array(np.arange(n * length + 1, dtype=np.int32) * width), pa.array(values.ravel())
     )

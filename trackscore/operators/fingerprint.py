@@ -5,31 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import HASH_PREFIX
-
 FIELD_SEPARATOR = "\x1f"
 NULL_MARK = "\x00"
 
 
+# Hex digits that name a group on each level of the tree, leaves first.
+LEVELS = (6, 3)
+
+
 def hash_tree(df: DataFrame, entry: Column, keys: list[str] | None = None) -> DataFrame:
-    """SHA-256 of the multiset of entries of each group, as a two-level tree.
+    """SHA-256 of the multiset of entries of each group, as a tree of digests.
 
-    Copies fold before the shuffle; entries are grouped by the first hex digits
-    of their hash, each group is hashed, and the root hashes at most 4,096 group
-    digests. No task holds a whole group.
+    Copies fold before the shuffle. Entry hashes are uniform: they are grouped by
+    their first six hex digits (16.7 million groups) and each group is hashed,
+    then group digests by their first three, then the at most 4,096 digests left.
+    No task holds a whole group, and a trillion entries stay at some ten
+    thousand per leaf group.
     """
     keys = keys or []
-    entries = df.groupBy(*keys, F.sha2(entry, 256).alias("_entry")).agg(
-        F.count(F.lit(1)).alias("_copies"))
-    item = F.concat("_entry", F.lit("x"), F.col("_copies").cast("string"))
-    parts = entries.groupBy(*keys, F.substring("_entry", 1, HASH_PREFIX).alias("_prefix")).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list(item)), ","), 256).alias("_digest"),
-        F.sum("_copies").alias("_n"),
-    )
-    part = F.concat("_prefix", F.lit(":"), "_digest")
-    return parts.groupBy(*keys).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list(part)), ","), 256).alias("sha256"),
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_items"),
+    level = df.groupBy(*keys, F.sha2(entry, 256).alias("_name")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    level = level.withColumn(
+        "_digest", F.concat("_name", F.lit("x"), F.col("_n").cast("string")))
+    for digits in LEVELS:
+        level = _fold(level, [*keys, F.substring("_name", 1, digits).alias("_name")])
+        level = level.withColumn("_digest", F.concat("_name", F.lit(":"), "_digest"))
+    return _fold(level, keys).select(
+        *keys, F.col("_digest").alias("sha256"), F.coalesce("_n", F.lit(0)).alias("n_items"))
+
+
+def _fold(level: DataFrame, by: list) -> DataFrame:
+    return level.groupBy(*by).agg(
+        F.sha2(F.array_join(F.sort_array(F.collect_list("_digest")), ","), 256).alias("_digest"),
+        F.sum("_n").alias("_n"),
     )
 
 

@@ -188,7 +188,7 @@ def _rank_by_range(df: DataFrame, keys, order, pos, size, n_ranges) -> DataFrame
     )
 
 
-HASH_PREFIX = 3
+HASH_PREFIX = 4
 
 
 def hash_rank(
@@ -196,8 +196,8 @@ def hash_rank(
 ) -> DataFrame:
     """Rank distinct units by the SHA-256 of (seed, unit), without a global sort.
 
-    The digest is uniform, so its first hex digits cut the order into 4,096 even
-    buckets. Bucket counts are prefix-summed (at most 4,096 rows) and added to
+    The digest is uniform, so its first hex digits cut the order into 65,536 even
+    buckets. Bucket counts are prefix-summed (at most 65,536 rows) and added to
     the rank inside the bucket. (The bucket is made non-null so that no null check
     on the digest is pushed below the DISTINCT, where it would hash every row.)
     """
@@ -215,7 +215,7 @@ def hash_rank(
         F.sum("_n").over(everything).alias(total),
     )
     local = Window.partitionBy("_bucket").orderBy("_digest", unit)
-    # The broadcast side has one row per bucket: 4,096 at most.
+    # The broadcast side has one row per bucket: 65,536 at most.
     return units.join(F.broadcast(shifts), "_bucket").select(
         unit,
         (F.row_number().over(local) - 1 + F.col("_before")).cast("long").alias(rank),

@@ -158,23 +158,26 @@ def add_fill_noise(
     def noisy(
         values: pa.Array, noise_at: pa.Array, video: pa.Array, target: pa.Array, start: pa.Array
     ) -> pa.Array:
-        windows = to_tensor(values).astype(np.float32)
-        keys = zip(video.to_pylist(), target.to_pylist(), start.to_pylist())
-        for window, where, key in zip(windows, noise_at.to_pylist(), keys):
-            at = np.flatnonzero(where)
-            if len(at):
-                rng = np.random.default_rng(seed_from_parts(seed, *key, std))
-                draws = rng.standard_normal((len(at), window.shape[1])) * std
-                window[at] += draws.astype(np.float32)
-        return from_tensor(windows)
+        present = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))
+        windows = to_tensor(values.drop_null()).astype(np.float32)
+        gaps, videos, targets, starts = (c.to_pylist() for c in (noise_at, video, target, start))
+        for window, row in zip(windows, present):
+            at = np.flatnonzero(gaps[row])
+            rng = np.random.default_rng(
+                seed_from_parts(seed, videos[row], targets[row], starts[row], std))
+            draws = rng.standard_normal((len(at), window.shape[1])) * std
+            window[at] += draws.astype(np.float32)
+        if len(present) == len(values):
+            return from_tensor(windows)
+        slots = np.full(len(values), None, dtype=object)
+        slots[present] = np.arange(len(present))
+        return from_tensor(windows).take(pa.array(slots.tolist(), pa.int64()))
 
     drawn = F.zip_with("filled", "source_pos", lambda f, at: f & at.isNotNull())
-    has_gap = F.exists(drawn, lambda x: x)
-    changed = noisy(F.col(value), drawn, F.col("video_id"), F.col("target_id"), F.col("start"))
-    return (
-        assembled.where(has_gap).withColumn(value, changed)
-        .unionByName(assembled.where(~has_gap))
-    )
+    # Only windows with a gap are sent to Python; the others stay where they are.
+    gappy = F.when(F.exists(drawn, lambda x: x), F.col(value))
+    changed = noisy(gappy, drawn, F.col("video_id"), F.col("target_id"), F.col("start"))
+    return assembled.withColumn(value, F.coalesce(changed, F.col(value)))
 
 
 def attach_features(rows: DataFrame, store: DataFrame, key: str = "key") -> DataFrame:

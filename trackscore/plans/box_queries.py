@@ -309,16 +309,22 @@ def split_overlap(spark, sf):
 
 
 FINGERPRINT_SQL = """
-e AS (SELECT sha256({entry}) AS entry, count(*) AS copies FROM {source} GROUP BY ALL),
-g AS (SELECT substr(entry, 1, 3) AS prefix, sum(copies) AS n,
-  sha256(string_agg(entry || 'x' || copies, ',' ORDER BY entry || 'x' || copies)) AS digest FROM e GROUP BY ALL)
-SELECT sha256(string_agg(prefix || ':' || digest, ',' ORDER BY prefix || ':' || digest)) AS sha256,
-  CAST(sum(n) AS BIGINT) AS n_items FROM g
+e AS (SELECT {keys}sha256({entry}) AS entry, count(*) AS copies FROM {source} GROUP BY ALL),
+g AS (SELECT {keys}substr(entry, 1, 6) AS name, sum(copies) AS n,
+  sha256(string_agg(entry || 'x' || copies, ',' ORDER BY entry || 'x' || copies)) AS digest FROM e GROUP BY ALL),
+h AS (SELECT {keys}substr(name, 1, 3) AS name, sum(n) AS n,
+  sha256(string_agg(name || ':' || digest, ',' ORDER BY name || ':' || digest)) AS digest FROM g GROUP BY {keys}substr(name, 1, 3))
+SELECT {keys}sha256(string_agg(name || ':' || digest, ',' ORDER BY name || ':' || digest)) AS {digest},
+  CAST(sum(n) AS BIGINT) AS {count} FROM h GROUP BY ALL
 """
 
 
-@query("split_fingerprint", f""", {VIDEO_SPLIT}, """ + FINGERPRINT_SQL.format(
-    entry="fold || ':' || video_id", source="split"))
+def fingerprint_sql(entry: str, source: str, keys: str = "", digest: str = "sha256", count: str = "n_items") -> str:
+    return FINGERPRINT_SQL.format(entry=entry, source=source, keys=keys, digest=digest, count=count)
+
+
+@query("split_fingerprint", f""", {VIDEO_SPLIT}, """ + fingerprint_sql(
+    "fold || ':' || video_id", "split"))
 def split_fingerprint(spark, sf):
     return splits.split_fingerprint(
         splits.grouped_split(dt.annotations(spark, sf), "video_id"), "video_id")
@@ -326,8 +332,8 @@ def split_fingerprint(spark, sf):
 
 @query("ordered_split_fingerprint", f""", {split_sql('annotations', 'row_ord', [('val', 20)])},
 o AS (SELECT s.row_ord, s.fold, a.timestamp FROM split s JOIN annotations a USING (row_ord)), """
-       + FINGERPRINT_SQL.format(
-    entry="fold || ':' || row_ord || ':' || row_ord", source="o"))
+       + fingerprint_sql(
+    "fold || ':' || row_ord || ':' || row_ord", "o"))
 def ordered_split_fingerprint(spark, sf):
     split = splits.row_split(dt.annotations(spark, sf)).withColumn("ordinal", F.col("row_ord"))
     return splits.split_fingerprint(split, "row_ord", ordered_by="ordinal")

@@ -13,6 +13,7 @@ from ..operators import quality, tracks
 from ..operators.ordering import hash_rank
 from ..schema import TRACK, WINDOW
 from ..sources import driver_tables as dt
+from .box_queries import fingerprint_sql
 from .registry import query
 from .track_queries import FILLED_SQL, SEQ_LEN, STRIDE, normal_rows
 
@@ -255,13 +256,8 @@ def config_rows(rows):
     ).select("run_id", F.concat(F.lit("action_"), F.col("action_id").cast("string")).alias("key"), "value")
 
 
-@query("config_hash", CONFIG_SQL + """,
-e AS (SELECT run_id, sha256(key || '=' || value) AS entry, count(*) AS copies FROM config GROUP BY ALL),
-g AS (SELECT run_id, substr(entry, 1, 3) AS prefix, sum(copies) AS n,
-  sha256(string_agg(entry || 'x' || copies, ',' ORDER BY entry || 'x' || copies)) AS digest FROM e GROUP BY ALL)
-SELECT run_id, sha256(string_agg(prefix || ':' || digest, ',' ORDER BY prefix || ':' || digest)) AS config_hash,
-  CAST(sum(n) AS BIGINT) AS n_keys FROM g GROUP BY run_id
-""")
+@query("config_hash", CONFIG_SQL + ", " + fingerprint_sql(
+    "key || '=' || value", "config", "run_id, ", "config_hash", "n_keys"))
 def config_hash(spark, sf):
     return ledger.config_hash(config_rows(dt.annotations(spark, sf)))
 
