@@ -139,3 +139,16 @@ def test_centered_clips(spark, plan):
     for r in tracks.centered_clips(rows, frames, 4, **plan).orderBy("row_ord", "i").collect():
         got.setdefault(r.row_ord, []).append(r.name and int(r.name[4:9]))
     assert got == {0: [3, 4, 5, 6], 1: [7, 8, 9, 9], 2: [0, 0, 0, 0], 3: [None] * 4}
+
+
+def test_weighted_fit_equals_the_fit_over_windows(featured, annotations):
+    rows = featured(missing=(0, 1, 2, 3))
+    filled = tracks.gap_filled_windows(rows, "feature", zeros(DIM), SEQ_LEN, 1)
+    direct = scaling.fit_scaler(filled, "zscore", fit_on="all")
+    named = tracks.gap_filled_windows(
+        rows.withColumn("source", F.col("key")), "source", F.lit(None), SEQ_LEN, 1)
+    vectors = rows.select(F.col("key").alias("source"), "feature").where("feature is not null").distinct()
+    weighted = scaling.fit_zscore_by_key(named, vectors, "source")
+    assert named.where("source is null").count() == 4
+    np.testing.assert_allclose(weighted.a, direct.a)
+    np.testing.assert_allclose(weighted.b, direct.b, rtol=1e-6)

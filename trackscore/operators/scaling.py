@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import from_tensor, matrix_function, row_function, to_tensor
 from ..schema import SCALER_SCHEMA
+from ..session import materialize
 
 EPS = 1e-8
 
@@ -61,6 +62,33 @@ def fit_zscore(windows: DataFrame, column: str = "feature") -> DataFrame:
     )
 
 
+def fit_zscore_by_key(windows: DataFrame, store: DataFrame, key: str, column: str = "feature") -> Scaler:
+    """The same statistics as ``fit_zscore``, without moving vectors into windows.
+
+    ``windows`` (long form) only names the stored vector of each position; NULL
+    stands for zeros. How often each vector is used is counted first (a partial
+    aggregate over narrow rows), then the store is read once and its vectors are
+    summed with those weights.
+    """
+    uses = materialize(windows.groupBy(key).agg(F.count(F.lit(1)).alias("_uses")))
+    zeros = uses.where(F.col(key).isNull()).agg(F.sum("_uses").alias("n")).first().n or 0
+    x, w = F.col("x").cast("double"), F.col("_uses")
+    sums = (
+        store.join(uses, key)
+        .select("_uses", F.posexplode(column).alias("dim", "x"))
+        .groupBy("dim")
+        .agg(F.sum(w).alias("n"), F.sum(w * x).alias("s1"), F.sum(w * x * x).alias("s2"))
+        .collect()
+    )
+    if not sums:
+        raise ValueError("no rows to fit on")
+    sums = sorted(sums)
+    n = np.array([r.n + zeros for r in sums], dtype=np.float64)
+    mean = np.array([r.s1 for r in sums]) / n
+    variance = np.array([r.s2 for r in sums]) / n - np.square(mean)
+    return Scaler("zscore", mean, np.sqrt(np.maximum(variance, 0.0)) + EPS)
+
+
 def fit_scaler(df: DataFrame, kind: str, column: str = "feature", fit_on: str = "train") -> Scaler:
     """Fit and bring the state to the driver: D rows, however large the data."""
     rows = select_fold(df, fit_on)

@@ -15,6 +15,7 @@ from .box_queries import KEY_SQL, VIDEO_SPLIT
 from .registry import query
 
 SEQ_LEN, STRIDE, DIM = 16, 8, 64
+NARROW = ["video_id", "target_id", "timestamp", "row_ord", "valid"]
 
 # The store as the frame-level run leaves it: one row per distinct key of a
 # normal-action annotation, with the vector its row points at.
@@ -350,22 +351,22 @@ FROM el JOIN z USING (dim) GROUP BY ALL
 def window_score(spark, sf):
     """Mean squared z-score per window, statistics fitted on train windows.
 
-    Scores need no vectors once the statistics are known, so each annotation row
-    is scored first and only that number is ordered, windowed and filled.
+    No vector is ever shuffled into a window. The fit counts how often the train
+    windows use each stored vector and sums the store with those weights; the
+    score is computed once per stored vector and only that number is joined to
+    rows, ordered, windowed and filled.
     """
     split = video_split(spark, sf)
-    scaler = scaling.fit_scaler(split_feature_windows(spark, sf, split, "train"), "zscore")
-    return score_windows(spark, sf, scaler, split)
-
-
-def score_windows(spark, sf, scaler, split):
-    rows = featured(spark, sf, normal_rows(spark, sf)).select(
-        "video_id", "target_id", "timestamp", "row_ord", "valid",
-        scaling.mean_square_z("feature", scaler).alias("score"))
+    rows = splits.split_windows(normal_rows(spark, sf), split).select(*NARROW, "vec_id", "fold")
+    vectors = dt.features(spark, sf)
+    named = tracks.gap_filled_windows(
+        scaling.select_fold(rows, "train"), "vec_id", F.lit(None), SEQ_LEN, STRIDE)
+    scaler = scaling.fit_zscore_by_key(named, vectors, "vec_id")
+    scores = vectors.select("vec_id", scaling.mean_square_z("feature", scaler).alias("score"))
+    scored = rows.join(scores, "vec_id", "left").select(*NARROW, "fold", "score")
     empty = F.lit(scaling.mean_square_z_of_zeros(scaler))
-    windows = tracks.gap_filled_windows(rows, "score", empty, SEQ_LEN, STRIDE)
-    per_window = windows.groupBy(*WINDOW).agg(F.round(F.avg("score"), 6).alias("score"))
-    return splits.split_windows(per_window, split).select(*WINDOW, "fold", "score")
+    windows = tracks.gap_filled_windows(scored, "score", empty, SEQ_LEN, STRIDE)
+    return windows.groupBy(*WINDOW, "fold").agg(F.round(F.avg("score"), 6).alias("score"))
 
 
 @query("leakage_check", EMBEDDING_SPLIT_SQL + """,
