@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shardtable, topk
+from . import shardtable, topk, windows
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 
@@ -68,11 +68,40 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored QUALIFY rank <= 10
 """
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 13-word windows that an earlier document has."""
+    cut = windows.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \t-\r]+", " "))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), win AS (
+  SELECT r, doc_id, i, hash(words[i:i + 12]) AS g, words[i:i + 12] AS v
+  FROM w, unnest(range(1, len(words) - 11)) t(i)
+), firsts AS (
+  SELECT g, v, min(doc_id) AS d FROM win GROUP BY g, v HAVING min(doc_id) < max(doc_id)
+), bad AS (
+  SELECT DISTINCT r, i + k AS p FROM win JOIN firsts USING (g, v), range(13) t(k) WHERE d < doc_id
+), gone AS (
+  SELECT r, count(*) AS n, list(p) AS ps FROM bad GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN n IS NULL THEN words
+    ELSE list_filter(words, lambda x, j: NOT list_contains(ps, j)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (r)
+"""
+
 QUERIES = {
     "op4_sharding": op4_sharding,
     "op7_top_k": op7_top_k,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLES = {
     "op4_sharding": OP4_SQL,
     "op7_top_k": OP7_SQL,
+    "op9_substring_dedup": OP9_SQL,
 }
