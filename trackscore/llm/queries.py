@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shardtable, topk, windows
+from . import pathjoin, shardtable, topk, windows
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 
@@ -14,6 +14,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of documents on four-word shingles."""
+    return pathjoin.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4)
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents
+), sets AS (
+  SELECT r, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS s
+  FROM w
+), items AS (
+  SELECT r, unnest(s) AS g FROM sets
+), shared AS (
+  SELECT a.r AS ra, b.r AS rb, count(*) AS n FROM items a JOIN items b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2
+), links AS (
+  SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM shared JOIN sets x ON x.r = ra JOIN sets y ON y.r = rb
+  WHERE 100 * n >= 80 * (len(x.s) + len(y.s) - n)
+), reach(a, b) AS (
+  SELECT DISTINCT doc_id, doc_id FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), least AS (
+  SELECT a, min(b) AS c FROM reach GROUP BY a
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id, coalesce(doc_id = c, true) AS kept
+FROM sets LEFT JOIN least ON a = doc_id
+"""
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard of every document, by its id."""
     return shardtable.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
@@ -96,11 +127,13 @@ FROM w LEFT JOIN gone USING (r)
 """
 
 QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
     "op4_sharding": op4_sharding,
     "op7_top_k": op7_top_k,
     "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLES = {
+    "op2_near_dedup": OP2_SQL,
     "op4_sharding": OP4_SQL,
     "op7_top_k": OP7_SQL,
     "op9_substring_dedup": OP9_SQL,
