@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pathjoin, shardtable, topk, windows
+from . import chains, pathjoin, shardtable, topk, windows
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 
@@ -45,6 +45,24 @@ FROM sets LEFT JOIN least ON a = doc_id
 """
 
 
+#: Order of the chain. A text of low quality tells about toxicity, so it comes first.
+CATEGORIES = ("low_quality", "toxic")
+
+
+def toxicity_chain(spark: SparkSession, sf_dir: str, docs: DataFrame) -> chains.Chain:
+    """A chain fitted on the labelled rows among ``docs``."""
+    labels = table(spark, sf_dir, "labels").select(
+        "doc_id", (F.lit(1) - F.col("quality")).alias("low_quality"), "toxic")
+    return chains.fit(chains.sample(labels, docs), CATEGORIES)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the categories, and the verdict on toxicity, for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = chains.score(docs, toxicity_chain(spark, sf_dir, docs))
+    return scored.select("doc_id", "p_low_quality", "p_toxic", "is_toxic")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard of every document, by its id."""
     return shardtable.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
@@ -128,6 +146,7 @@ FROM w LEFT JOIN gone USING (r)
 
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
     "op7_top_k": op7_top_k,
     "op9_substring_dedup": op9_substring_dedup,
