@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chains, pathjoin, shardtable, topk, windows
+from . import chains, pathjoin, shardtable, templates, topk, windows
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 
@@ -97,6 +97,13 @@ SELECT doc_id, slot, printf('shard-%02d', owner[slot + 1]) AS shard FROM slotted
 """
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that leaked into documents."""
+    leaks = templates.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.groupBy("doc_id", "item_id").agg(
+        F.max("n_tokens").alias("n_tokens"), F.max("exact").alias("exact"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best inner products for every hundredth vector, against all others."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -148,6 +155,7 @@ QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
+    "op6_decontamination": op6_decontamination,
     "op7_top_k": op7_top_k,
     "op9_substring_dedup": op9_substring_dedup,
 }
