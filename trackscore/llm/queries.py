@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chains, pathjoin, shardtable, templates, topk, windows
+from . import chains, pairbpe, pathjoin, shardtable, templates, topk, windows
 
+#: Where public tokenizer files lie; ``BPE_VOCABULARY`` names another place.
+BPE_VOCABULARY = os.environ.get("BPE_VOCABULARY", "/opt/tokenizers/word_bpe_49k.json")
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 
 
@@ -97,6 +101,13 @@ SELECT doc_id, slot, printf('shard-%02d', owner[slot + 1]) AS shard FROM slotted
 """
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text of every document."""
+    coded = pairbpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), BPE_VOCABULARY)
+    return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that leaked into documents."""
     leaks = templates.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -155,6 +166,7 @@ QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
+    "op5_bpe": op5_bpe,
     "op6_decontamination": op6_decontamination,
     "op7_top_k": op7_top_k,
     "op9_substring_dedup": op9_substring_dedup,
