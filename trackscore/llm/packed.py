@@ -10,11 +10,12 @@ with the data, rows get shorter and at the far end hold one fingerprint each.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4_000_000
@@ -150,13 +151,20 @@ def bucket_edges(sorted_prints: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(sorted_prints, bounds), [len(sorted_prints)]])
 
 
-def dealt(docs: DataFrame, key: str, text: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int, int]:
-    """Rows with a key as (_chunk, _id, _text), their chunk a hash of the key; chunks and bytes."""
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
+def carried(columns: Sequence[str]) -> list[Column]:
+    """Columns that travel with a text, under names that clash with nothing."""
+    return [F.col(f"`{c}`").alias(f"_carry{i}") for i, c in enumerate(columns)]
+
+
+def dealt(docs: DataFrame, key: str, text: str, chunk_bytes: int = CHUNK_BYTES,
+          carry: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """Rows with a key as (_chunk, _id, _text, carried columns), and their bytes; the chunk is a hash of the key."""
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"),
+                       *carried(carry))
     rows = rows.where(F.col("_id").isNotNull())
     _, size = text_bytes(rows, "_text")
     chunks = pieces(size, chunk_bytes)
-    return rows.select(F.pmod(F.xxhash64("_id"), F.lit(chunks)).alias("_chunk"), "_id", "_text"), chunks, size
+    return rows.withColumn("_chunk", F.pmod(F.xxhash64("_id"), F.lit(chunks))), size
 
 
 def in_order(table: pa.Table) -> pa.Table:

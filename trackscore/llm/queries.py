@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from . import chains, pairbpe, pathjoin, shardtable, templates, topk, windows
 
-#: Where public tokenizer files lie; ``BPE_VOCABULARY`` names another place.
-BPE_VOCABULARY = os.environ.get("BPE_VOCABULARY", "/opt/tokenizers/word_bpe_49k.json")
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 
 
@@ -101,9 +99,19 @@ SELECT doc_id, slot, printf('shard-%02d', owner[slot + 1]) AS shard FROM slotted
 """
 
 
+def vocabulary_path() -> str:
+    """The tokenizer file: what BPE_VOCABULARY names, or that of the installed public tokenizers."""
+    named = os.environ.get("BPE_VOCABULARY")
+    if named:
+        return named
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text of every document."""
-    coded = pairbpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), BPE_VOCABULARY)
+    coded = pairbpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
     return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -11,6 +11,8 @@ A hot passage costs each chunk one entry, however many documents hold it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,10 +24,8 @@ WIDTH = 13
 
 SENT = "bucket int, chunk long, prints binary, owners binary"
 TOLD = "_chunk long, bucket int, earlier binary"
-CUT = "_id long, _text string, n_words long, n_removed long, spans array<struct<start:long,stop:long>>"
-CUT_ARROW = pa.schema([
-    ("_id", pa.int64()), ("_text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
-    ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
+SPANS = "array<struct<start:long,stop:long>>"
+SPANS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
 class _Chunk:
@@ -33,6 +33,7 @@ class _Chunk:
 
     def __init__(self, table: pa.Table, width: int):
         table = packed.in_order(table)
+        self.carried = table.select([c for c in table.column_names if c.startswith("_carry")])
         self.ids = table.column("_id").to_numpy()
         self.null = table.column("_text").is_null().to_numpy(zero_copy_only=False)
         self.data, self.offsets = packed.utf8_column(table.column("_text"))
@@ -97,8 +98,6 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _cut(width: int, buckets: int):
     def cut(docs: pa.Table, told: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.Table.from_pylist([], CUT_ARROW)
         chunk = _Chunk(docs, width)
         edges = packed.bucket_edges(chunk.distinct, buckets)
         earlier = np.zeros(len(chunk.distinct), bool)
@@ -130,18 +129,20 @@ def _cut(width: int, buckets: int):
             spans.append([{"start": int(i), "stop": int(j)} for i, j in zip(left, right)])
         return pa.table({
             "_id": pa.array(chunk.ids, pa.int64()),
+            **dict(zip(chunk.carried.column_names, chunk.carried.columns)),
             "_text": pa.array(texts, pa.binary()).cast(pa.string()),
             "n_words": pa.array(np.diff(words.first), pa.int64()),
             "n_removed": pa.array(lost[words.first[1:]] - lost[words.first[:-1]], pa.int64()),
-            "spans": pa.array(spans, CUT_ARROW.field("spans").type),
+            "spans": pa.array(spans, SPANS_ARROW),
         })
 
     return cut
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH,
-                   chunk_bytes: int = packed.CHUNK_BYTES, bucket_prints: int = packed.BUCKET_PRINTS) -> DataFrame:
-    """(key, text, n_words, n_removed, spans): texts without words that an earlier document has.
+                   carry: Sequence[str] = (), chunk_bytes: int = packed.CHUNK_BYTES,
+                   bucket_prints: int = packed.BUCKET_PRINTS) -> DataFrame:
+    """(key, text, n_words, n_removed, spans, carried columns): texts without words that an earlier document has.
 
     A word goes if a window of ``width`` words that covers it also starts in a document
     with a smaller key; windows are judged on the input. ``spans`` are the removed word
@@ -151,17 +152,22 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     A null text has no words and stays null. Texts of fewer words than a window keep all.
     Rows that repeat a key count as one document: none removes from another, all give way
     to smaller keys. Rows with a null key are not compared: they come back whole, with
-    n_removed 0. Other columns of ``docs`` are not used. An empty table gives an empty result.
+    n_removed 0. Columns named in ``carry`` come back with their rows, others are not used.
+    An empty table gives an empty result.
     """
-    rows, _, size = packed.dealt(docs, key, text, chunk_bytes)
+    rows, size = packed.dealt(docs, key, text, chunk_bytes, carry)
     buckets = packed.pieces(size // 5, bucket_prints)  # about five bytes to a word, at the least
     sent = rows.groupBy("_chunk").applyInArrow(_send(width, buckets), SENT)
     told = sent.groupBy("bucket").applyInArrow(_tell, TOLD)
-    cut = rows.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(_cut(width, buckets), CUT)
+    kinds = "".join(f"_carry{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(carry))
+    cut = rows.groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(
+        _cut(width, buckets), f"_id long, {kinds}_text string, n_words long, n_removed long, spans {SPANS}")
     body = F.col(f"`{text}`").cast("string")
     words = F.filter(F.split(F.coalesce(body, F.lit("")), "[ \t-\r]+", -1), lambda w: w != "")
     whole = docs.where(F.col(f"`{key}`").isNull()).select(
-        F.col(f"`{key}`").cast("long").alias("_id"), body.alias("_text"), F.size(words).cast("long").alias("n_words"),
-        F.lit(0).cast("long").alias("n_removed"),
-        F.array().cast("array<struct<start:long,stop:long>>").alias("spans"))
-    return cut.unionByName(whole).withColumnsRenamed({"_id": key, "_text": text})
+        F.col(f"`{key}`").cast("long").alias("_id"), *packed.carried(carry), body.alias("_text"),
+        F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"),
+        F.array().cast(SPANS).alias("spans"))
+    both = cut.unionByName(whole)
+    return both.select(F.col("_id").alias(key), F.col("_text").alias(text), "n_words", "n_removed", "spans",
+                       *(F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)))
