@@ -8,9 +8,9 @@ compared exhaustively on the summaries; larger ones branch again. A pair at the
 threshold keeps one shared node per tree on average, and the trees together reach the
 target recall.
 
-Nodes that stay large after ``DEPTH`` branchings hold groups of near copies. Such a node
-compares each member with its most central members only, and afterwards whatever did
-not link to them with all members, so the work of a group is linear in its size.
+Nodes that stay large after ``DEPTH`` branchings hold groups of close copies. Such a node
+compares each member with its most central one first, and afterwards what did not link to
+the node's main component with all members, so the work of a group is linear in its size.
 
 Candidate links are confirmed on the full sets. Links within one component say nothing
 new, so confirmation runs twice: first on the links most likely to join groups, then on
@@ -24,18 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import materialize
 from . import packed
 from .components import components
 
-COORDINATES = 48
+COORDINATES = 64
 TREES = 12
 LEAF = 32
-DEPTH = 6
-PIVOTS = 2
-CENTRAL_COORDINATES = 12
+DEPTH = 12
+SLACK = 0.175  # of the threshold, that summaries may stay below it
 
 SUMMARY = "_id long, n long, class binary, sig array<int>"
 SETS = "node long, shingles array<long>"
@@ -135,24 +133,25 @@ def _may_link(threshold: float, coordinates: int) -> Column:
     """Sizes and summaries allow a link; half the coordinates is far below what linked sets share."""
     smaller, larger = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     return (smaller >= larger * F.lit(threshold) - F.lit(1e-6)) & (
-        _agreement("a.sig", "b.sig") >= F.lit(int(coordinates * (threshold - 0.3))))
+        _agreement("a.sig", "b.sig") >= F.lit(int(coordinates * (threshold - SLACK))))
 
 
 def candidate_links(nodes: DataFrame, *, threshold: float, coordinates: int, trees: int, leaf: int, depth: int):
     """((u, v, alike) candidate pairs with u < v, (key, node, n, sig) members of nodes that stay large)."""
-    rows = _children(
-        nodes.withColumn("key", F.explode(F.lit(list(range(trees))))).withColumn("key", F.xxhash64("key", F.lit("tree"))),
-        coordinates, threshold).select("key", "node", "n", "sig")
+    trunk = nodes.withColumn("key", F.explode(F.lit(list(range(trees))))).withColumn("key", F.xxhash64("key", F.lit("tree")))
+    rows = _children(trunk, coordinates, threshold).select("key", "node")  # most end here, so summaries stay behind
     leaves, dense = [], None
     for level in range(1, depth + 1):
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         shared = materialize(rows.join(sizes, "key"))
-        leaves.append(shared.where(F.col("members") <= leaf).drop("members"))
-        large = shared.where(F.col("members") > leaf).drop("members")
+        small, large = shared.where(F.col("members") <= leaf), shared.where(F.col("members") > leaf)
+        if level == 1:
+            small, large = small.join(nodes, "node"), large.join(nodes, "node")
+        leaves.append(small.select("key", "node", "n", "sig"))
+        dense = large.select("key", "node", "n", "sig")
         if level == depth or large.isEmpty():
-            dense = large
             break
-        rows = _children(large, coordinates, threshold)
+        rows = _children(dense, coordinates, threshold)
     small = leaves[0]
     for more in leaves[1:]:
         small = small.unionByName(more)
@@ -167,15 +166,16 @@ def _as_pairs(joined: DataFrame) -> DataFrame:
 
 
 def _central_links(dense: DataFrame, threshold: float, coordinates: int) -> DataFrame:
-    """Every member of a large node with the members that agree most with its commonest values."""
-    values = dense.select("key", "node", F.posexplode(F.slice("sig", 1, CENTRAL_COORDINATES)).alias("at", "value"))
-    counts = values.groupBy("key", "at", "value").agg(F.count(F.lit(1)).alias("uses"))
-    usual = counts.groupBy("key", "at").agg(F.max_by("value", F.struct("uses", "value")).alias("usual"))
-    agree = (values.join(usual, ["key", "at"]).groupBy("key", "node")
-             .agg(F.sum((F.col("value") == F.col("usual")).cast("int")).alias("agree")))
-    place = Window.partitionBy("key").orderBy(F.desc("agree"), "node")
-    pivots = (agree.withColumn("place", F.row_number().over(place)).where(F.col("place") <= PIVOTS)
-              .select("key", "node").join(dense, ["key", "node"]))
+    """Every member of a large node with the node's most central member and its smallest.
+
+    What the members of a group were made from follows their common values furthest, so
+    the member of most large nodes is the most central.
+    """
+    uses = dense.groupBy("node").agg(F.count(F.lit(1)).alias("uses"))
+    chosen = dense.select("key", "node").join(uses, "node").groupBy("key").agg(
+        F.max_by("node", F.struct("uses", -F.col("node"))).alias("central"), F.min("node").alias("first"))
+    pivots = (chosen.select("key", F.explode(F.array_distinct(F.array("central", "first"))).alias("node"))
+              .join(dense, ["key", "node"]))
     return _as_pairs(dense.alias("a").join(pivots.alias("b"), (F.col("a.key") == F.col("b.key"))
                                            & (F.col("a.node") != F.col("b.node")) & _may_link(threshold, coordinates)))
 
