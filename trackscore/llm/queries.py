@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chains, pairbpe, pathjoin, shardtable, templates, topk, windows
+from . import chains, pairbpe, pathjoin, shardtable, suffixes, templates, topk, windows
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 
@@ -150,6 +150,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 50-byte strings that an earlier document has."""
+    cut = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit("").cast("binary"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2(kept, 256).alias("kept_sha256"))
+
+
 OP9_SQL = r"""
 WITH w AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -178,6 +186,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_top_k": op7_top_k,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES = {
     "op2_near_dedup": OP2_SQL,
