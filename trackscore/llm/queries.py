@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chains, pairbpe, pathjoin, shardtable, suffixes, templates, topk, windows
+from . import chains, htmlblocks, pairbpe, pathjoin, shardtable, suffixes, templates, topk, windows
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 
@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = htmlblocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of documents on four-word shingles."""
     return pathjoin.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4)
@@ -179,6 +185,7 @@ FROM w LEFT JOIN gone USING (r)
 """
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op2_near_dedup": op2_near_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
