@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chains, htmlblocks, pairbpe, pathjoin, shardtable, suffixes, templates, topk, windows
+from ..session import scratch_path
+from . import chains, htmlblocks, pairbpe, pathjoin, shardtable, suffixes, templates, topk, warc, windows
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 
@@ -149,6 +150,35 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored QUALIFY rank <= 10
 """
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record per page, written and read back."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    ledger = warc.write_archives(pages, scratch_path(spark, "warc"))
+    records = warc.record_table(warc.read_chunks(ledger))
+    checked = F.when(~F.col("intact"), F.raise_error(F.lit("a record was damaged"))).otherwise(F.col("payload_digest"))
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", checked.cast("string").alias("payload_digest"),
+                          "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages
+), d AS (
+  SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, body, array_to_string(list_transform(range(32),
+      lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+        (CAST('0x' || substr(hex || '00', CAST(1 + (5 * i) // 8 * 2 AS BIGINT), 4) AS BIGINT)
+         >> CAST(11 - (5 * i) % 8 AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest
+  FROM p
+), f AS (
+  SELECT body, min(page_id) AS first FROM d GROUP BY body
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d JOIN f USING (body)
+"""
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the 13-word windows that an earlier document has."""
     cut = windows.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -192,6 +222,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_decontamination": op6_decontamination,
     "op7_top_k": op7_top_k,
+    "op8_warc": op8_warc,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
@@ -199,5 +230,6 @@ ORACLES = {
     "op2_near_dedup": OP2_SQL,
     "op4_sharding": OP4_SQL,
     "op7_top_k": OP7_SQL,
+    "op8_warc": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
 }
