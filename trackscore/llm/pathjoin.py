@@ -246,7 +246,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rest = rest.distinct().join(likely, ["u", "v"], "left_anti")
     links = links.unionByName(_confirmed(rest, sets, percent))
     # A repeated key ties the classes of its texts together.
-    named = summary.join(nodes.select("class", "node"), "class", "left")
+    named = (summary.join(nodes.select("class", "node"), "class", "left")
+             .withColumn("node", F.when(F.col("_id").isNotNull(), F.col("node"))))
     member = named.where("node is not null").select(F.col("_id").alias("u"), F.col("node").alias("v"))
     several = member.groupBy("u").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least <> most")
     links = links.unionByName(member.join(several.select("u"), "u", "left_semi"))
