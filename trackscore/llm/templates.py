@@ -24,7 +24,7 @@ from ..session import scratch_path
 WINDOW = 8
 LEAK = 13  # tokens in a row, or the whole item where it is shorter
 STRIDE = 6
-LITERALS = 4  # ordinary words that a window must have
+LITERALS = 2  # ordinary words that a window must have
 BROADCAST_WINDOWS = 500_000
 
 # Unit words, recognised after a number.
@@ -92,15 +92,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
     ``exact`` says that all slots have the item's own values, and ``row`` identifies the
     row (key and text) for joins. A leak is a run of ``leak`` template tokens, or of a
     whole item that is shorter. Items of fewer than ``width`` tokens, or null, are too short
-    to tell and are not searched; neither are windows with fewer than four ordinary words.
+    to tell and are not searched; neither are windows with fewer than two ordinary words.
 
     Null and empty texts hold no leak. Rows with a null key are searched like others.
-    Repeated items are separate items; repeated rows give equal leaks once. Other columns
-    are not used. An empty table on either side gives an empty result.
+    Repeated items and repeated rows count once. Other columns are not used. An empty table on either side gives an empty result.
     """
     items = benchmark.select(F.col(f"`{item_key}`").alias("item"), template_tokens(F.col(f"`{item_text}`")).alias("template"),
                              template_tokens(F.col(f"`{item_text}`"), True).alias("filled"))
-    items = items.where(F.size("template") >= width)
+    items = items.where(F.size("template") >= width).distinct()
     path = scratch_path(docs.sparkSession, "templates")
     items.withColumn("item_row", F.xxhash64("item", "filled")).write.parquet(path)
     items = docs.sparkSession.read.parquet(path)
