@@ -15,7 +15,7 @@ CORNERS = ("x1", "y1", "x2", "y2")
 def frame_index(timestamp: Column | str, fps: int = FPS) -> Column:
     """Seconds to frame number, truncated toward zero."""
     column = F.col(timestamp) if isinstance(timestamp, str) else timestamp
-    return (column * F.lit(fps)).cast("int")
+    return (column * F.lit(fps)).cast("long")
 
 
 def with_frame_index(df: DataFrame, fps: int = FPS) -> DataFrame:

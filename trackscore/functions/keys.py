@@ -50,7 +50,7 @@ def parse_feature_key(df: DataFrame, key: str = "key") -> DataFrame:
     parts = F.split(F.col(key), r"\|")
     return df.withColumns({
         "video_id": parts[0],
-        "frame_idx": parts[1].cast("int"),
+        "frame_idx": parts[1].cast("long"),
         "x1": parts[2].cast("double"),
         "y1": parts[3].cast("double"),
         "x2": parts[4].cast("double"),

@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scaling import dimension_stats, select_fold
 
 
-def changed_statistics(df: DataFrame, column: str = "feature", fit_on: str = "train") -> DataFrame:
-    """Number of per-dimension statistics that move when other folds are perturbed.
+def changed_statistics(
+    df: DataFrame, fit: Callable[[DataFrame], DataFrame], column: str = "feature", fold: str = "train"
+) -> DataFrame:
+    """Rows of fitted state that move when the rows outside ``fold`` are perturbed.
 
-    Fits twice: on the rows as they are, and with every vector outside the
-    fitted fold replaced by a shifted one. Anything but zero is leakage.
+    ``fit`` is the fit under test; it gets all rows with their ``fold`` and returns its
+    state as rows. It runs twice: on the rows as they are, and with every vector outside
+    the fold replaced by another. Anything but zero is leakage.
     """
     perturbed = df.withColumn(
         column,
-        F.when(F.col("fold") == fit_on, F.col(column)).otherwise(
+        F.when(F.col("fold") == fold, F.col(column)).otherwise(
             F.transform(column, lambda x: (x * 2 + 100).cast("float"))),
     )
-    before = _rounded(dimension_stats(select_fold(df, fit_on), column))
-    after = _rounded(dimension_stats(select_fold(perturbed, fit_on), column))
-    return before.exceptAll(after).agg(F.count(F.lit(1)).alias("n_changed"))
+    before, after = fit(df), fit(perturbed)
+    moved = before.exceptAll(after).unionByName(after.exceptAll(before))
+    return moved.agg(F.count(F.lit(1)).alias("n_changed"))
 
 
-def _rounded(stats: DataFrame) -> DataFrame:
-    names = ("low", "high", "mean", "std")
-    return stats.select("dim", "n", *[F.round(c, 9).alias(c) for c in names])
+def rounded_statistics(df: DataFrame, fit_on: str, column: str = "feature") -> DataFrame:
+    """Per-dimension statistics of a fold, rounded so that sums in another order compare equal."""
+    stats = dimension_stats(select_fold(df, fit_on), column)
+    return stats.select("dim", "n", *[F.round(c, 9).alias(c) for c in ("low", "high", "mean", "std")])
 
 
 def identity_counts(df: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def gram(df: DataFrame, width: int, column: str = "feature") -> DataFrame:
                 {"i": pa.array(range(-3, width), pa.int32()), "row": pa.array(rows, pa.list_(pa.float64()))}
             )
 
-    partials = df.select(column).mapInArrow(partial, "i int, row array<double>")
+    partials = df.where(F.col(column).isNotNull()).select(column).mapInArrow(partial, "i int, row array<double>")
     return partials.groupBy("i").agg(
         vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"))
 

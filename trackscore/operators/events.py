@@ -92,19 +92,20 @@ def as_of(
     """For each left row the nearest right (time, value) at or before / at or after.
 
     Both sides are merged into one ordered sequence per key and the nearest
-    right row is a running extreme: linear, however many rows share a key.
+    right row is a running extreme: linear, however many rows share a key. Ties
+    resolve by a hash of the row, so positions are the same at every evaluation.
     ``out`` is a struct (at, value), NULL where there is none.
     """
     sign = 1.0 if direction == "previous" else -1.0
     at = F.struct(
         F.col(right_time).cast("double").alias("at"), F.col(value).alias("value"))
     lefts = left.select(
-        *keys, (F.col(left_time) * sign).alias("_time"), F.lit(1).alias("_side"),
+        *keys, (F.col(left_time) * sign).alias("_time"), F.lit(1).alias("_side"), F.xxhash64(*left.columns).alias("_tie"),
         F.struct(*left.columns).alias("_left"), F.lit(None).cast(_type_of(right, at)).alias("_near"))
     rights = right.select(
-        *keys, (F.col(right_time) * sign).alias("_time"), F.lit(0).alias("_side"),
+        *keys, (F.col(right_time) * sign).alias("_time"), F.lit(0).alias("_side"), F.xxhash64(right_time, value).alias("_tie"),
         F.lit(None).cast(_type_of(left, F.struct(*left.columns))).alias("_left"), at.alias("_near"))
-    chain = ordered(lefts.unionByName(rights), keys, ["_time", "_side"], hot_rows=hot_rows, chunk_rows=chunk_rows)
+    chain = ordered(lefts.unionByName(rights), keys, ["_time", "_side", "_tie"], hot_rows=hot_rows, chunk_rows=chunk_rows)
     chain = chain.running(**{out: ("max" if direction == "previous" else "min", "_near")})
     return chain.rows.where(F.col("_side") == 1).select("_left.*", out)
 

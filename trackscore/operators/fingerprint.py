@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FIELD_SEPARATOR = "\x1f"
-NULL_MARK = "\x00"
+
+
+def entry_text(*columns: str) -> Column:
+    """Fields as one text from which they can be read back: each with its length, NULL as "-"."""
+    fields = []
+    for name in columns:
+        text = F.col(name).cast("string")
+        fields.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.concat(*fields)
+
+
+def entry_sql(*columns: str) -> str:
+    """``entry_text`` in SQL."""
+    fields = [f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns]
+    return " || ".join(fields)
 
 
 # Hex digits that name a group on each level of the tree, leaves first.
@@ -51,10 +64,7 @@ def table_fingerprint(df: DataFrame, ordered_by: str | None = None) -> DataFrame
     if ordered_by:
         columns = [*columns, ordered_by]
     layout = ",".join(f"{name} {dict(df.dtypes)[name]}" for name in columns)
-    text = F.concat_ws(
-        FIELD_SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK)) for c in columns]
-    )
-    digests = df.select(F.sha2(text, 256).alias("d"))
+    digests = df.select(F.sha2(entry_text(*columns), 256).alias("d"))
 
     def number(start: int) -> Column:
         return F.conv(F.substring("d", start, 15), 16, 10).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fingerprint import hash_tree
+from .fingerprint import entry_text, hash_tree
 from .ordering import CHUNK_ROWS, HOT_GROUP_ROWS, ordered
 
 
@@ -26,8 +26,7 @@ def artifact_ledger(spark: SparkSession, wanted: DataFrame, path: str) -> DataFr
 
 def config_hash(config: DataFrame) -> DataFrame:
     """Hash per run of its (key, value) entries, whatever their order."""
-    entry = F.concat_ws("=", "key", "value")
-    return hash_tree(config, entry, ["run_id"]).select(
+    return hash_tree(config, entry_text("key", "value"), ["run_id"]).select(
         "run_id", F.col("sha256").alias("config_hash"), F.col("n_items").alias("n_keys")
     )
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import cumulative_by_value
+from .ordering import cumulative_by_value, null_safe_join
 
 
 def score_histogram(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,7 +49,7 @@ def select_threshold(validation: DataFrame, keys: list[str]) -> DataFrame:
     tp, fp = F.col("tp0") + F.col("pos"), F.col("fp0") + F.col("neg")
     # 2*tp / (tp + fp + all positives): the same for every threshold but tp, fp.
     totals = validation.groupBy(*keys).agg(F.count_if("positive").alias("all_pos"))
-    scored = ranked.join(totals, keys).withColumn(
+    scored = null_safe_join(ranked, totals, keys).withColumn(
         "f1", F.lit(2.0) * tp / (tp + fp + F.col("all_pos")))
     return scored.groupBy(*keys).agg(
         F.max(F.struct(F.round("f1", 9).alias("f1"), F.col("score"))).alias("_best")
@@ -62,13 +62,13 @@ def quantile_threshold(validation: DataFrame, keys: list[str], share: float) ->
     ranked = cumulative_by_value(hist, "score", {"neg": "below"}, keys)
     totals = hist.groupBy(*keys).agg(F.sum("neg").alias("total"))
     reached = F.col("below") + F.col("neg") >= F.lit(share) * F.col("total")
-    return ranked.join(totals, keys).where(reached).groupBy(*keys).agg(
+    return null_safe_join(ranked, totals, keys).where(reached).groupBy(*keys).agg(
         F.min("score").alias("threshold"))
 
 
 def precision_recall_f1(scored: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
     """Counts and rates at each key's chosen threshold."""
-    flagged = scored.join(thresholds.select(*keys, "threshold"), keys).withColumn(
+    flagged = null_safe_join(scored, thresholds.select(*keys, "threshold"), keys).withColumn(
         "flag", F.col("score") >= F.col("threshold"))
     counts = flagged.groupBy(*keys).agg(
         F.count_if(F.col("flag") & F.col("positive")).alias("tp"),
@@ -127,7 +127,8 @@ def novelty_report(scored: DataFrame, normal: str = "normal") -> DataFrame:
     hist = scored.groupBy("model", "novelty_type", "score").agg(F.count(F.lit(1)).alias("n"))
     types = hist.where(F.col("novelty_type") != normal).select("model", "novelty_type").distinct()
     normals = hist.where(F.col("novelty_type") == normal).select(
-        "model", "score", F.col("n").alias("neg")).join(types, "model")
+        "model", "score", F.col("n").alias("neg"))
+    normals = null_safe_join(normals, types, ["model"])
     novel = hist.where(F.col("novelty_type") != normal).select(
         "model", "novelty_type", "score", F.col("n").alias("pos"))
     keys = ["model", "novelty_type"]
@@ -138,7 +139,7 @@ def novelty_report(scored: DataFrame, normal: str = "normal") -> DataFrame:
     totals = merged.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     tp = F.col("P") - F.col("pos_below")
     fp = F.col("N") - F.col("below")
-    return up.join(totals, keys).groupBy(*keys).agg(
+    return null_safe_join(up, totals, keys).groupBy(*keys).agg(
         F.sum("pos").alias("n_pos"),
         (F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.max("P") / F.max("N")).alias("auroc"),
         (F.sum(F.when(F.col("pos") > 0, F.col("pos") * tp / (tp + fp))) / F.max("P")).alias("auprc"),
@@ -187,12 +188,12 @@ def placements(scored: DataFrame, keys: list[str]) -> DataFrame:
     hist = score_histogram(scored, keys)
     ranked = cumulative_by_value(hist, "score", {"neg": "neg_below", "pos": "pos_below"}, keys)
     totals = hist.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    table = ranked.join(totals, keys).select(
+    table = null_safe_join(ranked, totals, keys).select(
         *keys, "score",
         ((F.col("neg_below") + F.col("neg") / 2) / F.col("N")).alias("_v10"),
         ((F.col("P") - F.col("pos_below") - F.col("pos") / 2) / F.col("P")).alias("_v01"),
     )
-    return scored.join(table, [*keys, "score"]).withColumn(
+    return null_safe_join(scored, table, [*keys, "score"]).withColumn(
         "placement", F.when(F.col("positive"), F.col("_v10")).otherwise(F.col("_v01"))
     ).drop("_v10", "_v01")
 
@@ -234,8 +235,8 @@ def pareto_front(points: DataFrame, cost: str = "cost", gain: str = "gain") -> D
     best = points.groupBy(cost).agg(F.max(gain).alias("_best"))
     ranked = cumulative_by_value(best, cost, {"_best": "_cheaper"}, kind="max")
     front = ranked.where(F.col("_cheaper").isNull() | (F.col("_best") > F.col("_cheaper")))
-    return points.join(
-        front.select(cost, F.col("_best").alias(gain)), [cost, gain], "left_semi")
+    return null_safe_join(
+        points, front.select(cost, F.col("_best").alias(gain)), [cost, gain], "left_semi")
 
 
 def coverage_gaps(results: DataFrame, spec: DataFrame, cell: list[str], fail: bool = False) -> DataFrame:

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,14 +55,12 @@ class Ordered:
             return self.with_rows(
                 self.rows.select("*", *[make(window).alias(name) for name, make in exprs.items()])
             )
-        if max(before, after) > self.chunk_rows:
-            raise ValueError("the margin must not exceed a chunk")
-        offset = F.col(self.pos) % self.chunk_rows
-        homes = F.array_compact(F.array(
-            F.when(offset < after, self._chunk() - 1),
-            self._chunk(),
-            F.when(offset >= self.chunk_rows - before, self._chunk() + 1),
-        ))
+        # A row is a neighbour of those from pos - after to pos + before, in however many chunks they lie.
+        def chunk_of(position: Column) -> Column:
+            return F.floor(position / F.lit(self.chunk_rows)).cast("long")
+
+        homes = F.sequence(
+            chunk_of(F.greatest(F.lit(0).cast("long"), F.col(self.pos) - after)), chunk_of(F.col(self.pos) + before))
         placed = self.rows.select("*", F.explode(homes).alias("_chunk"))
         window = Window.partitionBy(*self.keys, "_chunk").orderBy(self.pos)
         computed = placed.select("*", *[make(window).alias(name) for name, make in exprs.items()])
@@ -104,7 +101,7 @@ class Ordered:
             *self.keys, "_chunk", *[combine[out](f"_t_{out}").over(earlier).alias(f"_c_{out}") for out in specs])
         local = chunked.select(
             "*", *[combine[out](column).over(inside).alias(f"_l_{out}") for out, (_, column) in specs.items()])
-        joined = local.join(carry, [*self.keys, "_chunk"])
+        joined = null_safe_join(local, carry, [*self.keys, "_chunk"])
         merged = [
             _merge(kind, F.col(f"_l_{out}"), F.col(f"_c_{out}")).alias(out)
             for out, (kind, _) in specs.items()
@@ -112,6 +109,16 @@ class Ordered:
         return self.with_rows(joined.select(*self.rows.columns, *merged))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which NULL keys meet NULL keys; keeps the left side's key columns."""
+    named = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
+    condition = F.lit(True)
+    for key in keys:
+        condition &= left[key].eqNullSafe(named[f"_right_{key}"])
+    joined = left.join(named, condition, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_right_{k}" for k in keys])
+
+
 COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -150,8 +157,8 @@ def ordered(
         -(-n_hot_rows // max(1, hot_rows)) * 2,
     )
     hot_keys = hot_groups.select(*keys)
-    rows = _rank_plain(df.join(hot_keys, keys, "left_anti"), keys, order, pos, size).unionByName(
-        _rank_by_range(df.join(hot_keys, keys, "left_semi"), keys, order, pos, size, n_ranges)
+    rows = _rank_plain(null_safe_join(df, hot_keys, keys, "left_anti"), keys, order, pos, size).unionByName(
+        _rank_by_range(null_safe_join(df, hot_keys, keys, "left_semi"), keys, order, pos, size, n_ranges)
     )
     return Ordered(rows, tuple(keys), pos, size, True, chunk_rows)
 
@@ -182,7 +189,7 @@ def _rank_by_range(df: DataFrame, keys, order, pos, size, n_ranges) -> DataFrame
     )
     local = Window.partitionBy(*keys, "_range").orderBy(*order)
     return (
-        ranged.join(shifts, [*keys, "_range"])
+        null_safe_join(ranged, shifts, [*keys, "_range"])
         .withColumn(pos, (F.row_number().over(local) - 1 + F.col("_before")).cast("long"))
         .select(*df.columns, pos, size)
     )
@@ -238,25 +245,22 @@ def cumulative_by_value(
     """Running totals in order of ``value``, without sorting everything in one task.
 
     ``hist`` has one row per (keys, value): callers group by value first, which
-    folds hot ties into one row. Quantile cuts split the value range into even
+    folds hot ties into one row. A range partitioning cuts the values into even
     buckets; each bucket is summed on its own and shifted by the totals of the
     buckets before it. ``sums`` maps an input column to its running column,
     which excludes the current row itself.
+
+    At every size NULL keys are a group like others, a NULL value sorts below all
+    values and a NaN above them.
     """
     keys, combine = keys or [], COMBINE[kind]
     hist = materialize(hist)
     n_buckets = -(-hist.count() // rows_per_bucket)
-    cuts = []
     if n_buckets > 1:
-        shares = [i / n_buckets for i in range(1, n_buckets)]
-        numeric = hist.select(F.col(value).cast("double").alias("v"))
-        cuts = sorted(set(numeric.approxQuantile("v", shares, 1.0 / (4 * n_buckets))))
-    if cuts:
-        bucketed = Bucketizer(
-            splits=[-float("inf"), *cuts, float("inf")], inputCol="_v", outputCol="_bucket"
-        ).transform(hist.withColumn("_v", F.col(value).cast("double"))).drop("_v")
+        # Kept, as two evaluations of a range shuffle may sample different bounds.
+        bucketed = materialize(hist.repartitionByRange(n_buckets, value).withColumn("_bucket", F.spark_partition_id()))
     else:
-        bucketed = hist.withColumn("_bucket", F.lit(0.0))
+        bucketed = hist.withColumn("_bucket", F.lit(0))
     totals = bucketed.groupBy(*keys, "_bucket").agg(
         *[combine(c).alias(f"_t_{c}") for c in sums]
     )
@@ -271,7 +275,7 @@ def cumulative_by_value(
         Window.unboundedPreceding, -1
     )
     local = bucketed.select("*", *[combine(c).over(inside).alias(f"_l_{c}") for c in sums])
-    joined = local.join(shifts, [*keys, "_bucket"])
+    joined = null_safe_join(local, shifts, [*keys, "_bucket"])
     merged = []
     for column, out in sums.items():
         value_before = _merge(kind, F.col(f"_l_{column}"), F.col(f"_b_{column}"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fingerprint import hash_tree
+from .fingerprint import entry_text, hash_tree
 from .ordering import hash_rank
 
 
@@ -73,4 +73,4 @@ def split_fingerprint(
     of every entry.
     """
     parts = ["fold", *([ordered_by] if ordered_by else []), unit]
-    return hash_tree(split, F.concat_ws(":", *[F.col(p).cast("string") for p in parts]))
+    return hash_tree(split, entry_text(*parts))

@@ -8,6 +8,7 @@ from ..functions import boxes as fb
 from ..functions import keys as fk
 from ..operators import boxes as ob
 from ..operators import splits
+from ..operators.fingerprint import entry_sql
 from ..schema import FPS
 from ..sources import driver_tables as dt
 from ..sources import files
@@ -16,16 +17,16 @@ from .registry import query
 WIDTH, HEIGHT = 1920, 1080
 
 FRAMES_SQL = """frames AS (
-  SELECT DISTINCT video_id, CAST(trunc(timestamp * 25) AS INT) AS frame_idx
+  SELECT DISTINCT video_id, CAST(trunc(timestamp * 25) AS BIGINT) AS frame_idx
   FROM annotations WHERE has_frame)"""
 
 BOXES_SQL = f""", {FRAMES_SQL},
 clamped AS (
-  SELECT a.video_id, CAST(trunc(a.timestamp * 25) AS INT) AS frame_idx, a.row_ord,
+  SELECT a.video_id, CAST(trunc(a.timestamp * 25) AS BIGINT) AS frame_idx, a.row_ord,
     greatest(0.0::DOUBLE, least(1.0::DOUBLE, x1)) AS x1, greatest(0.0::DOUBLE, least(1.0::DOUBLE, y1)) AS y1,
     greatest(0.0::DOUBLE, least(1.0::DOUBLE, x2)) AS x2, greatest(0.0::DOUBLE, least(1.0::DOUBLE, y2)) AS y2
   FROM annotations a SEMI JOIN frames f
-    ON a.video_id = f.video_id AND CAST(trunc(a.timestamp * 25) AS INT) = f.frame_idx),
+    ON a.video_id = f.video_id AND CAST(trunc(a.timestamp * 25) AS BIGINT) = f.frame_idx),
 cleaned AS (
   SELECT video_id, frame_idx, row_ord, printf('%s_%05d', video_id, frame_idx) AS image_key,
     round((x1+x2)/2.0::DOUBLE, 6) AS xc, round((y1+y2)/2.0::DOUBLE, 6) AS yc,
@@ -47,7 +48,7 @@ SELECT 'raw' AS stage, count(*) AS n_rows FROM annotations
 UNION ALL SELECT 'known_videos', count(*) FROM known
 UNION ALL SELECT 'normal_actions', count(*) FROM annotations WHERE action_id IN (0,1,2)
 UNION ALL SELECT 'existing_frames', count(*) FROM annotations a SEMI JOIN frames f
-  ON a.video_id = f.video_id AND CAST(trunc(a.timestamp*25) AS INT) = f.frame_idx
+  ON a.video_id = f.video_id AND CAST(trunc(a.timestamp * 25) AS BIGINT) = f.frame_idx
 """)
 def annotation_counts(spark, sf):
     rows = dt.annotations(spark, sf)
@@ -92,7 +93,7 @@ def known_videos(spark, sf):
 
 @query("existing_frames", f""", {FRAMES_SQL}
 SELECT a.video_id, f.frame_idx, a.row_ord FROM annotations a JOIN frames f
-  ON a.video_id = f.video_id AND CAST(trunc(a.timestamp*25) AS INT) = f.frame_idx
+  ON a.video_id = f.video_id AND CAST(trunc(a.timestamp * 25) AS BIGINT) = f.frame_idx
 """)
 def existing_frames(spark, sf):
     rows = dt.annotations(spark, sf)
@@ -107,7 +108,7 @@ def action_filter(spark, sf):
 
 
 @query("frame_index", """
-SELECT row_ord, CAST(trunc(timestamp*25) AS INT) AS frame_idx FROM annotations
+SELECT row_ord, CAST(trunc(timestamp * 25) AS BIGINT) AS frame_idx FROM annotations
 """)
 def frame_index(spark, sf):
     return fb.with_frame_index(dt.annotations(spark, sf)).select("row_ord", "frame_idx")
@@ -187,7 +188,7 @@ def normalized_videos(spark, sf):
     return fk.normalize_video_id(padded).groupBy("video_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-KEY_SQL = """printf('%s|%05d|%.6f|%.6f|%.6f|%.6f', video_id, CAST(trunc(timestamp*25) AS INT), x1, y1, x2, y2)"""
+KEY_SQL = """printf('%s|%05d|%.6f|%.6f|%.6f|%.6f', video_id, CAST(trunc(timestamp * 25) AS BIGINT), x1, y1, x2, y2)"""
 
 
 @query("feature_keys", f"SELECT row_ord, {KEY_SQL} AS key FROM annotations")
@@ -197,7 +198,7 @@ def feature_keys(spark, sf):
 
 @query("parsed_keys", f""",
 k AS (SELECT row_ord, {KEY_SQL} AS key FROM annotations)
-SELECT row_ord, split_part(key, '|', 1) AS video_id, CAST(split_part(key, '|', 2) AS INT) AS frame_idx,
+SELECT row_ord, split_part(key, '|', 1) AS video_id, CAST(split_part(key, '|', 2) AS BIGINT) AS frame_idx,
   CAST(split_part(key, '|', 3) AS DOUBLE) AS x1, CAST(split_part(key, '|', 4) AS DOUBLE) AS y1,
   CAST(split_part(key, '|', 5) AS DOUBLE) AS x2, CAST(split_part(key, '|', 6) AS DOUBLE) AS y2 FROM k
 """)
@@ -324,7 +325,7 @@ def fingerprint_sql(entry: str, source: str, keys: str = "", digest: str = "sha2
 
 
 @query("split_fingerprint", f""", {VIDEO_SPLIT}, """ + fingerprint_sql(
-    "fold || ':' || video_id", "split"))
+    entry_sql("fold", "video_id"), "split"))
 def split_fingerprint(spark, sf):
     return splits.split_fingerprint(
         splits.grouped_split(dt.annotations(spark, sf), "video_id"), "video_id")
@@ -333,7 +334,7 @@ def split_fingerprint(spark, sf):
 @query("ordered_split_fingerprint", f""", {split_sql('annotations', 'row_ord', [('val', 20)])},
 o AS (SELECT s.row_ord, s.fold, a.timestamp FROM split s JOIN annotations a USING (row_ord)), """
        + fingerprint_sql(
-    "fold || ':' || row_ord || ':' || row_ord", "o"))
+    entry_sql("fold", "row_ord", "row_ord"), "o"))
 def ordered_split_fingerprint(spark, sf):
     split = splits.row_split(dt.annotations(spark, sf)).withColumn("ordinal", F.col("row_ord"))
     return splits.split_fingerprint(split, "row_ord", ordered_by="ordinal")

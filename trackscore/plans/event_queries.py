@@ -46,10 +46,9 @@ novel AS (SELECT video_id, track_id AS target_id, t_start, t_end FROM truth WHER
 
 def scored_rows(spark, sf):
     """Annotation rows with the event value as their score."""
-    rows = dt.annotations(spark, sf).select(*TRACK, "timestamp", "row_ord", "action_id")
-    values = dt.table(spark, sf, "events").select(
-        F.col("event_id").alias("row_ord"), F.col("value").alias("score"))
-    return rows.join(values, "row_ord").withColumn("positive", F.col("action_id") > 2)
+    rows = dt.annotations(spark, sf, "value").select(
+        *TRACK, "timestamp", "row_ord", "action_id", F.col("value").alias("score"))
+    return rows.withColumn("positive", F.col("action_id") > 2)
 
 
 def event_table(spark, sf):
@@ -145,7 +144,7 @@ def quality_signals(spark, sf):
 
 
 @query("identity_checks", """
-SELECT video_id, target_id, CAST(trunc(timestamp*25) AS INT) AS frame_idx, count(*) AS n_rows
+SELECT video_id, target_id, CAST(trunc(timestamp * 25) AS BIGINT) AS frame_idx, count(*) AS n_rows
 FROM annotations GROUP BY ALL HAVING count(*) > 1
 """)
 def identity_checks(spark, sf):
@@ -161,7 +160,7 @@ MIN_IOU = 0.1
 
 
 @query("iou_tracks", f""",
-cl AS (SELECT video_id, CAST(trunc(timestamp*25) AS INT) AS frame_idx, row_ord,
+cl AS (SELECT video_id, CAST(trunc(timestamp * 25) AS BIGINT) AS frame_idx, row_ord,
   greatest(0.0::DOUBLE, least(1.0::DOUBLE, x1)) AS x1, greatest(0.0::DOUBLE, least(1.0::DOUBLE, y1)) AS y1,
   greatest(0.0::DOUBLE, least(1.0::DOUBLE, x2)) AS x2, greatest(0.0::DOUBLE, least(1.0::DOUBLE, y2)) AS y2 FROM annotations),
 b AS (SELECT video_id, frame_idx, min(row_ord) AS box_id, x1, y1, x2, y2 FROM cl WHERE x1 < x2 AND y1 < y2 GROUP BY ALL),
@@ -257,7 +256,7 @@ def config_rows(rows):
 
 
 @query("config_hash", CONFIG_SQL + ", " + fingerprint_sql(
-    "key || '=' || value", "config", "run_id, ", "config_hash", "n_keys"))
+    fingerprint.entry_sql("key", "value"), "config", "run_id, ", "config_hash", "n_keys"))
 def config_hash(spark, sf):
     return ledger.config_hash(config_rows(dt.annotations(spark, sf)))
 
@@ -331,16 +330,23 @@ def previous_runs(spark, sf):
     return ledger.previous_runs(runs)
 
 
-@query("table_fingerprint", """,
-d AS (SELECT sha256(event_id || chr(31) || user_id || chr(31) || event_type) AS d FROM events),
+LAYOUT = ("event_id bigint,ts_micros bigint,user_id bigint,event_type string,"
+          "value decimal(18,4),props string")
+
+
+# Timestamps and doubles have no common text in both engines, so they are fixed before.
+@query("table_fingerprint", f"""
+e AS (SELECT event_id, epoch_us(ts) AS ts_micros, user_id, event_type, CAST(value AS DECIMAL(18,4)) AS value, props FROM events),
+d AS (SELECT sha256({fingerprint.entry_sql("event_id", "ts_micros", "user_id", "event_type", "value", "props")}) AS d FROM e),
 n AS (SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(d, 1, 15) AS BIGINT)) AS VARCHAR) AS sum_hash,
   bit_xor(CAST('0x' || substr(d, 16, 15) AS BIGINT)) AS xor_hash FROM d)
-SELECT 'event_id bigint,user_id bigint,event_type string' AS layout, n_rows, sum_hash, xor_hash,
-  sha256('event_id bigint,user_id bigint,event_type string|' || n_rows || '|' || sum_hash || '|' || xor_hash) AS sha256 FROM n
-""")
+SELECT '{LAYOUT}' AS layout, n_rows, sum_hash, xor_hash,
+  sha256('{LAYOUT}|' || n_rows || '|' || sum_hash || '|' || xor_hash) AS sha256 FROM n
+""".replace("e AS (SELECT", ", e AS (SELECT", 1))
 def table_fingerprint(spark, sf):
-    return fingerprint.table_fingerprint(
-        dt.table(spark, sf, "events").select("event_id", "user_id", "event_type"))
+    return fingerprint.table_fingerprint(dt.table(spark, sf, "events").select(
+        "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_micros"), "user_id", "event_type",
+        F.col("value").cast("decimal(18,4)").alias("value"), "props"))
 
 
 @query("artifact_ledger")

@@ -43,8 +43,7 @@ s AS (SELECT model, epoch, split, sum(loss) AS loss, sum(recon) AS recon, sum(kl
 
 def batch_losses(spark, sf):
     """Loss records per (model, epoch, split, batch), from event values."""
-    rows = dt.annotations(spark, sf).select("target_id", "action_id", "row_ord").join(
-        dt.table(spark, sf, "events").select(F.col("event_id").alias("row_ord"), "value"), "row_ord")
+    rows = dt.annotations(spark, sf, "value").select("target_id", "action_id", "row_ord", "value")
     return rows.groupBy(
         F.when(F.col("target_id") == 0, "sequence_vae").otherwise("flat_vae").alias("model"),
         (F.col("action_id") + 1).cast("int").alias("epoch"),
@@ -132,12 +131,12 @@ def event_stream(spark, sf):
 
 @query("stream_features", f"""
 SELECT key, f % 11 <> 0 AS valid FROM (
-  SELECT DISTINCT {KEY_SQL} AS key, CAST(trunc(timestamp*25) AS INT) AS f FROM annotations)
+  SELECT DISTINCT {KEY_SQL} AS key, CAST(trunc(timestamp * 25) AS BIGINT) AS f FROM annotations)
 """)
 def stream_features(spark, sf):
     path = scratch_path(spark, "store")
     signature = fk.store_signature("1" * 64)
-    keys = fk.with_feature_key(dt.annotation_view(event_stream(spark, sf))).select("key")
+    keys = fk.with_feature_key(dt.annotation_view(event_stream(spark, sf), dt.vector_count(spark, sf))).select("key")
     start_feature_stream(
         keys, path, signature, key_vector, scratch_path(spark, "stream")).awaitTermination()
     return store.read_store(spark, path, signature).select("key", "valid")
@@ -161,7 +160,7 @@ FROM f JOIN tot USING (video_id, target_id) WHERE stretch < final
 """)
 def stream_event_query(spark, sf):
     """Closed events of the event stream: the last stretch of a track stays open."""
-    scored = dt.annotation_view(event_stream(spark, sf), "ts", "value").select(
+    scored = dt.annotation_view(event_stream(spark, sf), dt.vector_count(spark, sf), "ts", "value").select(
         *TRACK, "timestamp", "row_ord", F.col("value").alias("score"),
         F.col("ts").cast("timestamp").alias("event_time"))
     path = scratch_path(spark, "events")

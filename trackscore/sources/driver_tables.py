@@ -28,13 +28,14 @@ ANNOTATIONS_SQL = """annotations AS (
                     WHEN 'signup' THEN 3 ELSE 4 END AS action_id,
     CAST(user_id % 3 AS INT) AS target_id,
     event_id AS row_ord,
-    event_id % 500 AS vec_id,
+    event_id % greatest(1, (SELECT count(*) FROM embeddings)) AS vec_id,
     event_id % 11 <> 0 AS valid,
     event_id % 13 <> 0 AS has_frame
   FROM events)"""
 
 
 _schemas: dict[str, StructType] = {}
+_counts: dict[str, int] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +46,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
-def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotation_view(table(spark, sf_dir, "events"))
+def vector_count(spark: SparkSession, sf_dir: str) -> int:
+    """Number of stored vectors, which events refer to in turn (read once from file footers)."""
+    path = f"{sf_dir}/embeddings.parquet"
+    if path not in _counts:
+        _counts[path] = max(1, table(spark, sf_dir, "embeddings").count())
+    return _counts[path]
 
 
-def annotation_view(events: DataFrame, *extra: str) -> DataFrame:
-    """Annotation columns of an events table or stream; ``extra`` columns pass through."""
+def annotations(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    return annotation_view(table(spark, sf_dir, "events"), vector_count(spark, sf_dir), *extra)
+
+
+def annotation_view(events: DataFrame, vectors: int, *extra: str) -> DataFrame:
+    """Annotation columns of an events table or stream; ``extra`` columns pass through.
+
+    Row i refers to vector i modulo ``vectors``, so every vector is used and none is hot.
+    """
     event = F.col("event_id")
 
     def hundredths(value):
@@ -70,7 +82,7 @@ def annotation_view(events: DataFrame, *extra: str) -> DataFrame:
         action.cast("int").alias("action_id"),
         (F.col("user_id") % 3).cast("int").alias("target_id"),
         event.alias("row_ord"),
-        (event % 500).alias("vec_id"),
+        (event % F.lit(vectors).cast("long")).alias("vec_id"),
         (event % 11 != 0).alias("valid"),
         (event % 13 != 0).alias("has_frame"),
         *extra,

@@ -56,7 +56,7 @@ def frame_catalog(spark: SparkSession, path: str) -> DataFrame:
     found = list_files(spark, path, "img_*.jpg")
     return found.select(
         F.regexp_extract("path", r"([^/]+)/img_\d+\.jpg$", 1).alias("video_id"),
-        F.regexp_extract("path", r"img_(\d+)\.jpg$", 1).cast("int").alias("frame_idx"),
+        F.regexp_extract("path", r"img_(\d+)\.jpg$", 1).cast("long").alias("frame_idx"),
         "path",
     )
 
@@ -147,7 +147,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
         .select(
             name.alias("image_key"),
             video_of_image(name).alias("video_id"),
-            F.substring_index(name, "_", -1).cast("int").alias("frame_idx"),
+            F.substring_index(name, "_", -1).cast("long").alias("frame_idx"),
             parts[0].cast("int").alias("class_id"),
             *[parts[i + 1].cast("double").alias(c) for i, c in enumerate(["xc", "yc", "w", "h"])],
         )
