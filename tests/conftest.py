@@ -1,5 +1,6 @@
 """One session and the small annotation fixture used across tests."""
 
+import hashlib
 import os
 import sys
 
@@ -14,8 +15,9 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HERE, os.environ.get("P
 
 from trackscore.session import build_session  # noqa: E402
 
-DIM = 6
-MISSING_FRAME = 1
+DIM = 5
+FRAMES = (10, 11, 13, 14, 16, 17, 18)
+MISSING_FRAME = 11
 
 
 @pytest.fixture(scope="session")
@@ -32,15 +34,18 @@ def spark(tmp_path_factory):
 
 
 def extractor(key):
-    """A vector that depends on the whole key, without a vision stack."""
-    video, frame, x1, _, x2, _ = key.split("|")
-    return np.arange(DIM, dtype=np.float32) + int(frame) + float(x1) + float(x2) + 0.01 * len(video)
+    """A vector drawn from the digest of the key, so any change of the key changes it."""
+    digest = hashlib.sha256(key.encode()).digest()
+    return np.frombuffer(digest[:DIM], dtype=np.uint8).astype(np.float32) / 16
 
 
 @pytest.fixture
 def annotations(spark):
-    """Six rows of one track, one frame apart."""
-    rows = [("v1", t * 0.04, 0.10 + 0.01 * t, 0.1, 0.5, 0.5, 0, 0, t) for t in range(6)]
+    """One track that drifts down the picture while its action changes; some frames are skipped."""
+    rows = []
+    for at, frame in enumerate(FRAMES):
+        top = 0.2 + 0.03 * at
+        rows.append(("cam7", frame * 0.04, 0.35, top, 0.6 + 0.01 * (at % 2), top + 0.25, at % 3, 2, at))
     return spark.createDataFrame(
         rows, "video_id string, timestamp double, x1 double, y1 double, x2 double, y2 double, "
               "action_id int, target_id int, row_ord long")

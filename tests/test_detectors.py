@@ -36,6 +36,14 @@ def test_gaussian_state(vectors):
         od.fit_gaussian(df.where("id < 0"), WIDTH)
 
 
+def test_absent_vectors_do_not_spoil_a_fit(vectors, spark):
+    df, x = vectors
+    more = df.unionByName(spark.createDataFrame([(1000, None), (1001, None)], df.schema))
+    state = od.fit_gaussian(more, WIDTH)
+    np.testing.assert_allclose(state.mean, x.mean(0), rtol=1e-9)
+    assert state.n == 300 and np.isfinite(state.covariance).all()
+
+
 def test_distances(vectors):
     df, x = vectors
     state = od.fit_gaussian(df, WIDTH)

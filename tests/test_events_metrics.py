@@ -225,6 +225,8 @@ def test_leakage_and_identity(spark):
     rows = [(i, [float(i), 2.0 * i], "train" if i % 3 else "val") for i in range(30)]
     df = spark.createDataFrame(rows, "id int, feature array<float>, fold string")
     assert checks.changed_statistics(df, lambda d: checks.rounded_statistics(d, "train")).first().n_changed == 0
+    leaking = checks.changed_statistics(df, lambda d: checks.rounded_statistics(d, "all"))
+    assert leaking.first().n_changed > 0
     assert checks.changed_statistics(df.withColumn("fold", F.lit("val")), lambda d: checks.rounded_statistics(d, "val"), fold="val").first().n_changed == 0
     people = spark.createDataFrame([("v", 0, 1), ("v", 0, 1), ("v", 1, 1)], "video_id string, target_id int, frame_idx int")
     assert checks.identity_conflicts(people).first().n_rows == 2

@@ -61,10 +61,39 @@ def test_running_skips_nulls_across_chunks(skewed):
     assert results[0]["seen"].isna().any() and results[0]["seen"].notna().any()
 
 
-def test_margin_may_not_exceed_a_chunk(skewed):
+def test_margin_may_span_chunks(skewed):
     df, _ = skewed
-    with pytest.raises(ValueError, match="margin"):
-        tracks(df, hot_rows=50, chunk_rows=2).lag("row_ord", "x", 3)
+    results = []
+    for plan in ({}, {"hot_rows": 50, "chunk_rows": 2}):
+        track = tracks(df, **plan).lag("row_ord", "before", 7).lead("row_ord", "after", 5)
+        rows = track.rows.select("row_ord", "before", "after").toPandas()
+        results.append(rows.sort_values("row_ord").reset_index(drop=True))
+    pd.testing.assert_frame_equal(*results)
+
+
+def test_null_groups_survive_both_plans(spark):
+    rows = [(None if i % 3 == 0 else "a", None if i % 2 else 1, float(i % 5), i) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, l int, t double, n long")
+    results = []
+    for plan in ({}, {"hot_rows": 3, "chunk_rows": 4}, {"hot_rows": 12, "chunk_rows": 4}):
+        track = ordered(df, ["k", "l"], ["t", "n"], **plan).lag("n", "before", 6).running(total=("sum", "n"))
+        results.append(track.rows.select("n", "pos", "track_rows", "before", "total").toPandas()
+                       .sort_values("n").reset_index(drop=True))
+    assert len(results[0]) == 60
+    for other in results[1:]:
+        pd.testing.assert_frame_equal(results[0], other)
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_null_and_nan_values_count_at_every_size(spark, descending):
+    rows = [(g, v, i + 1) for g in ("a", None) for i, v in enumerate([0.5, None, float("nan"), -1.0, 2.0, 7.0])]
+    hist = spark.createDataFrame(rows, "g string, v double, n long")
+    results = [
+        sorted(map(str, cumulative_by_value(hist, "v", {"n": "before"}, ["g"], descending, rows_per_bucket=size).collect()))
+        for size in (1_000, 2)]
+    assert results[0] == results[1] and len(results[0]) == 12
+    least = "v=nan, n=3, before=0" if descending else "v=None, n=2, before=0"
+    assert sum(least in r for r in results[0]) == 2
 
 
 def test_hash_rank_is_the_global_hash_order(spark):

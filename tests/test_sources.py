@@ -5,7 +5,7 @@ import os
 
 import numpy as np
 import pytest
-from conftest import extractor
+from conftest import FRAMES, extractor
 from pyspark.sql import functions as F
 
 from trackscore.config import TrackConfig
@@ -23,42 +23,45 @@ from trackscore.streaming.features import start_feature_stream
 LABELS = os.environ.get("LABEL_CORPUS", "")
 
 
+SEEN = (20, 21, 23, 24, 26, 27)
+
+
 @pytest.fixture
 def tree(tmp_path):
+    """A folder of one camera: eight boxes that drift right, one inside out, and six frames."""
     (tmp_path / "annotations").mkdir()
-    lines = [f"007,{t * 0.04},{0.1 + 0.01 * t},0.1,0.5,0.5,0,0" for t in range(6)]
-    lines.append("007,0.0,0.8,0.1,0.2,0.5,0,1")
-    (tmp_path / "annotations" / "ava_train_v2.1.csv").write_text("\n".join(lines) + "\n")
+    drift = [f"0310,{(20 + k) * 0.04},{0.05 + 0.02 * k:.2f},0.2,{0.45 + 0.02 * k:.2f},0.7,1,4" for k in range(8)]
+    (tmp_path / "annotations" / files.PREFERRED_ANNOTATIONS).write_text("\n".join([*drift, "0310,0.8,0.9,0.6,0.7,0.4,1,5"]) + "\n")
     (tmp_path / "annotations" / "a.csv").write_text("x\n")
-    frames = tmp_path / "frames" / "007"
+    frames = tmp_path / "frames" / "0310"
     frames.mkdir(parents=True)
-    for i in (0, 2, 3, 4, 5):
-        (frames / f"img_{i:05d}.jpg").write_bytes(bytes([i]))
+    for frame in SEEN:
+        (frames / f"img_{frame:05d}.jpg").write_bytes(bytes([frame]))
     return tmp_path
 
 
 def test_annotations_to_label_files_and_back(spark, tree):
     source = files.resolve_source(spark, str(tree / "annotations")).first().path
-    assert source.endswith("ava_train_v2.1.csv")
+    assert source.endswith(files.PREFERRED_ANNOTATIONS)
     rows = files.read_annotations(spark, source)
-    assert rows.first().video_id == "007" and rows.select("row_ord").distinct().count() == 7
+    assert rows.first().video_id == "0310" and rows.select("row_ord").distinct().count() == 9
     catalog = files.frame_catalog(spark, str(tree / "frames"))
-    assert sorted(r.frame_idx for r in catalog.collect()) == [0, 2, 3, 4, 5]
+    assert sorted(r.frame_idx for r in catalog.collect()) == list(SEEN)
     boxes = ob.box_dataset(ob.with_known_videos(rows.union(rows), catalog), catalog)
-    assert boxes.count() == 5
+    assert boxes.count() == 6
     split = splits.grouped_split(boxes, "video_id")
     folded = splits.assign_split(boxes, split)
     out = str(tree / "out")
     files.write_labels(folded, out)
     files.write_labels(folded, out)
-    text = (tree / "out" / "val" / "labels" / "007_00002.txt").read_text()
-    assert text == "0 0.310000 0.300000 0.380000 0.400000\n"
+    text = (tree / "out" / "val" / "labels" / "0310_00021.txt").read_text()
+    assert text == "0 0.270000 0.450000 0.400000 0.500000\n"
     back = files.read_labels(spark, out)
-    assert back.count() == 5
+    assert back.count() == 6
     assert back.select("image_key", "xc", "w").exceptAll(boxes.select("image_key", "xc", "w")).isEmpty()
     files.copy_images(spark, folded, str(tree / "frames"), out)
-    copied = tree / "out" / "val" / "images" / "007_00003.jpg"
-    assert copied.read_bytes() == bytes([3])
+    copied = tree / "out" / "val" / "images" / "0310_00023.jpg"
+    assert copied.read_bytes() == bytes([23])
     copied.write_bytes(b"kept")
     files.copy_images(spark, folded, str(tree / "frames"), out)
     assert copied.read_bytes() == b"kept"
@@ -66,8 +69,8 @@ def test_annotations_to_label_files_and_back(spark, tree):
 
 def test_inventory_and_artifacts(spark, tree):
     found = {r.directory.rsplit("/", 1)[-1]: r for r in files.directory_inventory(spark, str(tree)).collect()}
-    assert found["007"].n_files == 5
-    assert found["007"].first_names == ["img_00000.jpg", "img_00002.jpg", "img_00003.jpg"]
+    assert found["0310"].n_files == 6
+    assert found["0310"].first_names == ["img_00020.jpg", "img_00021.jpg", "img_00023.jpg"]
     (tree / "annotations" / ".hidden").write_text("x")
     assert files.list_artifacts(spark, str(tree / "annotations")).count() == 2
 
@@ -131,6 +134,30 @@ def test_fingerprints(spark):
     assert table(one) != table(moved)
 
 
+def test_fields_do_not_run_into_each_other(spark):
+    def table(*rows):
+        return fingerprint.table_fingerprint(spark.createDataFrame(list(rows), "a string, b string")).first().sha256
+
+    texts = [("a\x1fb", "c"), ("a", "b\x1fc"), ("a", None), ("a", ""), ("a", "\x00"), ("a", "-"), ("1:a", "2"), ("1", ":a2")]
+    assert len({table(t) for t in texts}) == len(texts)
+
+    def config(key, value):
+        return ledger.config_hash(spark.createDataFrame([("r", key, value)], "run_id string, key string, value string")).first()[1]
+
+    pairs = [("a", "b=c"), ("a=b", "c"), ("a", None), ("a", "")]
+    assert len({config(*p) for p in pairs}) == len(pairs)
+
+    def split(fold, unit):
+        return splits.split_fingerprint(spark.createDataFrame([(fold, unit)], "fold string, unit string"), "unit").first().sha256
+
+    assert split("a:b", "c") != split("a", "b:c")
+
+
+def test_frame_numbers_beyond_32_bits(spark):
+    df = spark.createDataFrame([(3e9,)], "timestamp double")
+    assert with_frame_index(df).first().frame_idx == 75_000_000_000
+
+
 def test_config_hash_and_diff(spark):
     schema = "run_id string, key string, value string"
     a = spark.createDataFrame([("r", "seed", "42"), ("r", "epochs", "50")], schema)
@@ -147,10 +174,10 @@ def test_config_hash_and_diff(spark):
 
 
 def test_artifacts_are_bound_by_content(spark, tree):
-    real, gone = str(tree / "frames" / "007" / "img_00003.jpg"), str(tree / "nope.pt")
+    real, gone = str(tree / "frames" / "0310" / "img_00023.jpg"), str(tree / "nope.pt")
     wanted = spark.createDataFrame([("real", real), ("gone", gone)], "name string, path string")
     got = {r.name: r for r in ledger.artifact_ledger(spark, wanted, str(tree / "frames")).collect()}
-    assert got["real"].sha256 == hashlib.sha256(bytes([3])).hexdigest() and got["real"].bytes == 1
+    assert got["real"].sha256 == hashlib.sha256(bytes([23])).hexdigest() and got["real"].bytes == 1
     assert got["gone"].missing and got["gone"].sha256 is None
 
 
@@ -185,7 +212,7 @@ def test_history_and_ledgers(spark, tmp_path):
     tables.write_history(history, path)
     back = spark.read.csv(path, header=True)
     assert back.columns == HISTORY_COLUMNS and [r.epoch for r in back.collect()] == ["1", "2"]
-    with pytest.raises(ValueError, match="missing required columns"):
+    with pytest.raises(ValueError, match="which it does not have"):
         tables.write_history(history.drop("val_kl"), path)
     entries = spark.createDataFrame([(6, "abc")], "step int, config_hash string")
     where = str(tmp_path / "ledger")
@@ -208,7 +235,7 @@ def test_feature_stream(spark, annotations, tmp_path):
 
     assert drain() == 3
     keys.write.mode("append").parquet(source)
-    assert drain() == 6
+    assert drain() == 7
 
 
 def test_stream_events_agree_with_batch(spark, tmp_path):
@@ -238,6 +265,6 @@ def test_stream_events_agree_with_batch(spark, tmp_path):
 
 def test_frame_path_and_preview(spark, annotations):
     row = files.with_frame_path(annotations, "/frames/").orderBy("row_ord").first()
-    assert row.path == "/frames/v1/img_00000.jpg"
+    assert row.path == "/frames/cam7/img_00010.jpg"
     assert [r.row_ord for r in ob.preview(annotations, 2).collect()] == [0, 1]
-    assert [r.frame_idx for r in with_frame_index(annotations).orderBy("row_ord").collect()] == list(range(6))
+    assert [r.frame_idx for r in with_frame_index(annotations).orderBy("row_ord").collect()] == list(FRAMES)

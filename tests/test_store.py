@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import DIM, MISSING_FRAME, extractor
+from conftest import DIM, FRAMES, MISSING_FRAME, extractor
 from pyspark.sql import functions as F
 
 from trackscore.functions.keys import (
@@ -38,12 +38,12 @@ def calls(path):
 
 def test_key_layout(spark):
     df = spark.createDataFrame(
-        [("v1", 0.0, 0.1, 0.2, 0.3, 0.4)],
+        [("yard", 1.24, 0.15, 0.25, 0.75, 0.5)],
         "video_id string, timestamp double, x1 double, y1 double, x2 double, y2 double")
     keyed = with_feature_key(df)
-    assert keyed.first().key == "v1|00000|0.100000|0.200000|0.300000|0.400000"
+    assert keyed.first().key == "yard|00031|0.150000|0.250000|0.750000|0.500000"
     back = parse_feature_key(keyed.select("key")).first()
-    assert (back.video_id, back.frame_idx, back.x1, back.y2) == ("v1", 0, 0.1, 0.4)
+    assert (back.video_id, back.frame_idx, back.x1, back.y2) == ("yard", 31, 0.15, 0.5)
 
 
 def test_each_key_is_extracted_once(annotations, tmp_path):
@@ -51,10 +51,10 @@ def test_each_key_is_extracted_once(annotations, tmp_path):
     keys = with_feature_key(annotations).select("key")
     keys = keys.union(keys)
     first = store.ensure(keys, path, SIGNATURE, counting(log, extractor))
-    assert first.count() == 12 and len(calls(log)) == 6
+    assert first.count() == 14 and len(calls(log)) == 7
     again = store.ensure(keys, path, SIGNATURE, counting(log, extractor))
-    assert again.count() == 12 and len(calls(log)) == 6
-    row = again.where(F.col("key").startswith("v1|00003")).first()
+    assert again.count() == 14 and len(calls(log)) == 7
+    row = again.where(F.col("key").startswith("cam7|00014")).first()
     np.testing.assert_allclose(row.feature, extractor(row.key), rtol=1e-6)
 
 
@@ -62,24 +62,24 @@ def test_missing_frames_stay_invalid(annotations, tmp_path):
     log, path = str(tmp_path / "calls"), str(tmp_path / "store")
     keys = with_feature_key(annotations).select("row_ord", "key")
     rows = store.ensure(keys, path, SIGNATURE, counting(log, without_missing)).orderBy("row_ord").collect()
-    assert [r.valid for r in rows] == [True, False, True, True, True, True]
+    assert [r.valid for r in rows] == [f != MISSING_FRAME for f in FRAMES]
     assert rows[1].feature is None
     store.ensure(keys, path, SIGNATURE, counting(log, extractor)).collect()
-    assert len(calls(log)) == 6
+    assert len(calls(log)) == 7
     stats = store.store_stats(store.read_store(annotations.sparkSession, path, SIGNATURE)).first()
-    assert (stats.n_keys, stats.n_valid, stats.feature_dim) == (6, 5, DIM)
+    assert (stats.n_keys, stats.n_valid, stats.feature_dim) == (7, 6, DIM)
 
 
 def test_errors_leave_the_store_alone(annotations, spark, tmp_path):
     path = str(tmp_path / "store")
     keys = with_feature_key(annotations).select("key")
-    with pytest.raises(ValueError, match="no feature_extractor"):
+    with pytest.raises(ValueError, match="pass an extractor"):
         store.ensure(keys, path, SIGNATURE)
-    with pytest.raises(RuntimeError, match="produced nothing"):
+    with pytest.raises(RuntimeError, match="none of 7 new keys"):
         store.ensure(keys, path, SIGNATURE, lambda key: None)
     assert store.read_store(spark, path, SIGNATURE).isEmpty()
     store.ensure(keys.limit(2), path, SIGNATURE, extractor).collect()
-    with pytest.raises(ValueError, match="width changed"):
+    with pytest.raises(ValueError, match="components"):
         store.ensure(keys, path, SIGNATURE, lambda key: [1.0])
     assert store.read_store(spark, path, SIGNATURE).count() == 2
 
@@ -93,14 +93,14 @@ def test_other_weights_open_another_store(annotations, spark, tmp_path):
         assert other != SIGNATURE
         assert store.read_store(spark, path, other).isEmpty()
     assert store.missing_keys(keys, store.read_store(spark, path, SIGNATURE)).isEmpty()
-    assert store.contains(keys, store.read_store(spark, path, SIGNATURE)).where("stored").count() == 6
+    assert store.contains(keys, store.read_store(spark, path, SIGNATURE)).where("stored").count() == 7
 
 
 def test_frame_features_drop_invalid_and_keep_duplicates(annotations, tmp_path):
     rows = annotations.union(annotations)
     got = store.frame_features(rows, str(tmp_path / "s"), SIGNATURE, without_missing)
-    assert got.count() == 10
-    with pytest.raises(RuntimeError, match="normal-action"):
+    assert got.count() == 12
+    with pytest.raises(RuntimeError, match="no rows are left"):
         store.frame_features(rows, str(tmp_path / "s"), SIGNATURE, extractor, normal_action_ids=[])
 
 

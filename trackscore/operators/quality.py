@@ -99,14 +99,17 @@ def iou_tracks(
         F.when(F.col("pointer").isNull(), 0).otherwise(1).cast("long").alias("age"),
         F.col("pointer").isNull().alias("done"),
     ))
-    while not state.where(~F.col("done")).isEmpty():
-        target = state.select(
+    # Finished boxes stay where they are; only open ones move on to the next round.
+    finished, unfinished = state.where("done"), state.where(~F.col("done"))
+    while not unfinished.isEmpty():
+        target = finished.unionByName(unfinished).select(
             F.col("box_id").alias("pointer"), F.col("pointer").alias("_next"),
             F.col("age").alias("_age"), F.col("done").alias("_done"))
-        moved = state.where(~F.col("done")).join(target, "pointer").select(
+        moved = materialize(unfinished.join(target, "pointer").select(
             "box_id", F.col("_next").alias("pointer"),
-            (F.col("age") + F.col("_age")).alias("age"), F.col("_done").alias("done"))
-        state = materialize(state.where("done").unionByName(moved))
+            (F.col("age") + F.col("_age")).alias("age"), F.col("_done").alias("done")))
+        finished, unfinished = finished.unionByName(moved.where("done")), moved.where(~F.col("done"))
+    state = finished
     return boxes.join(
         state.select("box_id", F.col("pointer").alias("track_id"), "age"), "box_id"
     ).select("video_id", "frame_idx", "box_id", "track_id", "age")

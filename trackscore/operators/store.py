@@ -113,9 +113,7 @@ def ensure(
     if extractor is None:
         absent = unseen.count()
         if absent:
-            raise ValueError(
-                f"{absent} feature(s) missing from the store and no feature_extractor was supplied"
-            )
+            raise ValueError(f"{absent} requested key(s) have no stored feature; pass an extractor to compute them")
         return lookup_features(keys, store)
 
     staging = scratch_path(spark, "staging")
@@ -127,10 +125,10 @@ def ensure(
     ).first()
     if new.n:
         if new.high is None:
-            raise RuntimeError("feature extraction produced nothing: check the frames and weights")
+            raise RuntimeError(f"none of {new.n} new keys gave a feature")
         known = store.agg(F.max(width).alias("dim")).first().dim
         if new.low != new.high or (known is not None and known != new.high):
-            raise ValueError(f"feature width changed ({known} -> {new.low}..{new.high})")
+            raise ValueError(f"new features have {new.low} to {new.high} components, stored ones {known}")
         append_store(fresh, store_path)
     return lookup_features(keys, read_store(spark, store_path, signature))
 
@@ -154,13 +152,12 @@ def frame_features(
     ids = NORMAL_ACTIONS if normal_action_ids is None else normal_action_ids
     rows = with_feature_key(filter_actions(df, ids, empty="none"))
     if rows.isEmpty():
-        raise RuntimeError("no normal-action rows to extract features from")
+        raise RuntimeError("no rows are left after the action filter")
     return valid_only(ensure(rows, store_path, signature, extractor))
 
 
-def first_feature_per_key(rows: DataFrame) -> DataFrame:
-    """One store row per key from annotated rows (lowest row order wins)."""
+def first_per_key(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of each key's first row (lowest row order wins)."""
     return rows.groupBy("key").agg(
-        F.min_by(F.struct("feature", "valid"), "row_ord").alias("s")
-    ).select("key", "s.feature", "s.valid")
-
+        F.min_by(F.struct(*columns), "row_ord").alias("s")
+    ).select("key", *[f"s.{c}" for c in columns])

@@ -12,6 +12,7 @@ from ..operators import metrics as om
 from ..operators import quality, tracks
 from ..operators.ordering import hash_rank
 from ..schema import TRACK, WINDOW
+from ..session import materialize
 from ..sources import driver_tables as dt
 from .box_queries import fingerprint_sql
 from .registry import query
@@ -212,7 +213,7 @@ SELECT u.video_id, u.target_id, u.start, array_to_string(list_reverse(v), ',') A
 FROM u JOIN dn USING (name)
 """)
 def corruptions(spark, sf):
-    named = window_arrays(spark, sf).withColumn("name", F.concat_ws(":", *WINDOW))
+    named = materialize(window_arrays(spark, sf).withColumn("name", F.concat_ws(":", *WINDOW)))
     ranked = named.join(hash_rank(named, "name", 42), "name")
     donors = ranked.select("rank", F.col("vec_id").alias("donor"))
     both = ranked.withColumn("rank", (F.col("rank") + 1) % F.col("n_units")).join(donors, "rank")

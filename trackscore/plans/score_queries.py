@@ -129,7 +129,8 @@ def histories(spark, sf, steps=3):
     rows = featured(spark, sf, normal_rows(spark, sf)).select(
         "video_id", "target_id", "timestamp", "row_ord", "feature")
     rows = splits.split_windows(rows, video_split(spark, sf))
-    return od.with_history(tracks.tracks(rows), steps)
+    # Read by every fit and by the score, so it is computed once.
+    return materialize(od.with_history(tracks.tracks(rows), steps).select("row_ord", "fold", "joint"))
 
 
 @query("lagged_ridge")

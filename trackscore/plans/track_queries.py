@@ -33,10 +33,10 @@ def featured(spark, sf, rows=None):
 
 
 def normal_store(spark, sf):
+    """The first row of every key names its vector; vectors join last, so none is shuffled per row."""
     rows = fk.with_feature_key(fb.filter_actions(dt.annotations(spark, sf)))
-    return store.first_feature_per_key(
-        rows.join(dt.features(spark, sf), "vec_id").select("key", "row_ord", "feature", "valid")
-    )
+    first = store.first_per_key(rows, ["vec_id", "valid"])
+    return first.join(dt.features(spark, sf), "vec_id").select("key", "feature", "valid")
 
 
 def requested(spark, sf):
@@ -85,8 +85,9 @@ SELECT key, valid FROM store UNION ALL SELECT key, valid FROM rest
 """)
 def store_union(spark, sf):
     stored = normal_store(spark, sf)
-    rows = fk.with_feature_key(featured(spark, sf))
-    new = store.first_feature_per_key(rows.join(stored.select("key"), "key", "left_anti"))
+    rows = fk.with_feature_key(dt.annotations(spark, sf)).join(stored.select("key"), "key", "left_anti")
+    new = store.first_per_key(rows, ["vec_id", "valid"]).join(dt.features(spark, sf), "vec_id").select(
+        "key", "feature", "valid")
     return store.union_store(stored, new).select("key", "valid")
 
 
@@ -252,11 +253,6 @@ def negative_pairs(spark, sf):
     return tracks.pair_negatives(dt.annotations(spark, sf), [0, 1, 2])
 
 
-def shifted_ids(normal_classes):
-    """The notebook numbering of actions, which starts at one."""
-    return [c + 1 for c in normal_classes]
-
-
 WINDOW_FEATURES_SQL = FILLED_SQL + f""", {VIDEO_SPLIT},
 wf AS (SELECT f.video_id, f.target_id, f.start, f.i, s.fold,
   coalesce(e.embedding, list_resize(CAST([] AS FLOAT[]), {DIM}, 0.0::FLOAT)) AS feature
@@ -293,12 +289,20 @@ def split_window_counts(spark, sf):
         F.count_if(F.col("i") == 0).alias("n_windows"), F.count(F.lit(1)).alias("n_rows"))
 
 
+def named_windows(spark, sf):
+    """Gap-filled windows that name their vectors, with the fold of their video."""
+    rows = splits.split_windows(normal_rows(spark, sf), video_split(spark, sf)).select(*NARROW, "vec_id", "fold")
+    return tracks.gap_filled_windows(rows, "vec_id", F.lit(None), SEQ_LEN, STRIDE)
+
+
 @query("zscore_state", WINDOW_FEATURES_SQL + """
 SELECT dim, round(mean, 6) AS mean, round(std, 6) AS std FROM z
 """)
 def zscore_state(spark, sf):
-    windows = split_feature_windows(spark, sf, video_split(spark, sf), "train")
-    return scaling.fit_zscore(windows).select(
+    named = named_windows(spark, sf)
+    scaler = scaling.fit_zscore_by_key(scaling.select_fold(named, "train"), dt.features(spark, sf), "vec_id")
+    state = [(d, float(m), float(s)) for d, (m, s) in enumerate(zip(scaler.a, scaler.b))]
+    return spark.createDataFrame(state, "dim int, mean double, std double").select(
         "dim", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
@@ -307,11 +311,14 @@ SELECT video_id, target_id, start, dim, round(avg((x - mean) / std), 6) AS mean_
 FROM el JOIN z USING (dim) GROUP BY ALL
 """)
 def zscore_windows(spark, sf):
-    split = video_split(spark, sf)
-    windows = split_feature_windows(spark, sf, split)
-    scaler = scaling.fit_scaler(split_feature_windows(spark, sf, split, "train"), "zscore")
-    scaled = scaling.apply_scaler(windows, scaler)
-    return scaled.select(*WINDOW, F.posexplode("feature").alias("dim", "x")).groupBy(
+    named, vectors = materialize(named_windows(spark, sf)), dt.features(spark, sf).select("vec_id", "feature")
+    scaler = scaling.fit_zscore_by_key(scaling.select_fold(named, "train"), vectors, "vec_id")
+    # Each stored vector is scaled once; positions without one stand for zeros.
+    zeros = scaling.apply_scaler(spark.createDataFrame([([0.0] * DIM,)], "feature array<float>"), scaler).first().feature
+    scaled = scaling.apply_scaler(vectors, scaler)
+    rows = named.select(*WINDOW, "vec_id").join(scaled, "vec_id", "left").withColumn(
+        "feature", F.coalesce("feature", F.lit(zeros)))
+    return rows.select(*WINDOW, F.posexplode("feature").alias("dim", "x")).groupBy(
         *WINDOW, "dim").agg(F.round(F.avg("x"), 6).alias("mean_z"))
 
 

@@ -47,4 +47,4 @@ def require_columns(df: DataFrame, names: list[str], what: str) -> None:
     """Fail early, naming every absent column."""
     absent = [name for name in names if name not in df.columns]
     if absent:
-        raise ValueError(f"{what} is missing required columns: {absent}")
+        raise ValueError(f"{what} needs {absent}, which it does not have")
