@@ -150,7 +150,7 @@ def frame_features(
     list keeps nothing, which is an error.
     """
     ids = NORMAL_ACTIONS if normal_action_ids is None else normal_action_ids
-    rows = with_feature_key(filter_actions(df, ids, empty="none"))
+    rows = with_feature_key(filter_actions(df.drop("feature", "valid"), ids, empty="none"))
     if rows.isEmpty():
         raise RuntimeError("no rows are left after the action filter")
     return valid_only(ensure(rows, store_path, signature, extractor))

@@ -6,7 +6,8 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["box_queries", "track_queries", "score_queries", "event_queries", "model_queries"]
+MODULES = ["box_queries", "track_queries", "score_queries", "event_queries", "model_queries",
+           "file_queries"]
 
 
 def all_queries():

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import posixpath
+import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import frame_index
@@ -43,12 +44,12 @@ def resolve_source(
     spark: SparkSession, path: str, preferred: str = PREFERRED_ANNOTATIONS, pattern: str = "*.csv"
 ) -> DataFrame:
     """The preferred file if present, else the first match by path (one row)."""
-    return list_files(spark, path, pattern).agg(
-        F.min_by(
-            "path",
-            F.struct(F.substring_index("path", "/", -1) != preferred, F.col("path")),
-        ).alias("path")
-    )
+    return list_files(spark, path, pattern).agg(preferred_path(preferred).alias("path"))
+
+
+def preferred_path(preferred: str) -> Column:
+    """Aggregate over ``path``: the file of that name if there is one, else the first path."""
+    return F.min_by("path", F.struct(F.substring_index("path", "/", -1) != preferred, F.col("path")))
 
 
 def frame_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -125,7 +126,7 @@ def _write_groups(rows: Iterator[Row], directory: str) -> None:
 
     from pyarrow import fs
 
-    target, root = fs.FileSystem.from_uri(_as_uri(directory))
+    target, root = fs.FileSystem.from_uri(as_uri(directory))
     for (split, image), group in itertools.groupby(rows, key=lambda r: (r.split, r.image_key)):
         folder = posixpath.join(root, split, "labels")
         target.create_dir(folder, recursive=True)
@@ -169,11 +170,12 @@ def copy_images(spark: SparkSession, boxes: DataFrame, frames_dir: str, director
     """Copy each image once; destinations that exist are skipped."""
     from pyarrow import fs
 
-    target, root = fs.FileSystem.from_uri(_as_uri(directory))
+    target, root = fs.FileSystem.from_uri(as_uri(directory))
     if target.get_file_info(root).type == fs.FileType.Directory:
         present = list_files(spark, directory, "*.jpg").select(
             F.regexp_replace("path", r"^file:/*", "/").alias("dest")
         )
+        directory = re.sub(r"^file:/*", "/", directory)
     else:
         present = spark.createDataFrame([], "dest string")
     plan = copy_plan(boxes, frames_dir, directory, present)
@@ -186,8 +188,8 @@ def _copy_rows(rows: Iterator[Row]) -> None:
     from pyarrow import fs
 
     for row in rows:
-        source, src = fs.FileSystem.from_uri(_as_uri(row.src))
-        target, dest = fs.FileSystem.from_uri(_as_uri(row.dest))
+        source, src = fs.FileSystem.from_uri(as_uri(row.src))
+        target, dest = fs.FileSystem.from_uri(as_uri(row.dest))
         target.create_dir(posixpath.dirname(dest), recursive=True)
         attempt = f"{dest}.{uuid.uuid4().hex}"
         with source.open_input_stream(src) as data, target.open_output_stream(attempt) as out:
@@ -196,7 +198,10 @@ def _copy_rows(rows: Iterator[Row]) -> None:
         target.move(attempt, dest)
 
 
-def _as_uri(path: str) -> str:
+def as_uri(path: str) -> str:
+    """A URI that file systems are looked up by; a bare path and ``file:/path`` are local."""
+    if path.startswith("file:"):
+        return "file:///" + path[5:].lstrip("/")
     return path if "://" in path else f"file://{path}"
 
 
