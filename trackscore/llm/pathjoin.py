@@ -9,8 +9,11 @@ threshold keeps one shared node per tree on average, and the trees together reac
 target recall.
 
 Nodes that stay large after ``DEPTH`` branchings hold groups of close copies. Such a node
-compares each member with its most central one first, and afterwards what did not link to
-the node's main component with all members, so the work of a group is linear in its size.
+compares each member with its most central one first. Once those links are confirmed, the
+members of large nodes follow ``LONG_PATHS`` paths of ``LONG`` coordinates without branching.
+Nodes whose members are all in one component already say nothing new and end; in the
+others what lies outside the main component is compared with the rest. So a group of copies
+costs its members times the number of paths, and pairs only where components still differ.
 
 Candidate links are confirmed on the full sets. Links within one component say nothing
 new, so confirmation runs twice: first on the links most likely to join groups, then on
@@ -32,7 +35,9 @@ from .components import components
 COORDINATES = 64
 TREES = 12
 LEAF = 32
-DEPTH = 12
+DEPTH = 4
+LONG_PATHS = 384
+LONG = 20  # coordinates of a long path: it keeps 0.8 ** 20 of the pairs at 0.8, one in 87
 SLACK = 0.175  # of the threshold, that summaries may stay below it
 
 SUMMARY = "_id long, n long, class binary, sig array<int>"
@@ -257,12 +262,33 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return found.select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
+def _long_paths(members: DataFrame, coordinates: int) -> DataFrame:
+    """(key, node, n, root): the node that each member reaches on every long path.
+
+    The coordinates of a path are an arithmetic progression, with a step coprime to their number.
+    """
+    path = F.explode(F.sequence(F.lit(0), F.lit(LONG_PATHS - 1)))
+    drawn = members.select("node", "n", "root", "sig", path.alias("path")).select(
+        "*", _draw("path", F.lit("start"), below=coordinates).alias("start"),
+        (_draw("path", F.lit("step"), below=coordinates // 2) * 2 + 1).alias("step"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(LONG - 1)), lambda j: F.element_at(
+        "sig", F.pmod(F.col("start") + j * F.col("step"), F.lit(coordinates)).cast("int") + 1))
+    return drawn.select(F.xxhash64("path", values).alias("key"), "node", "n", "root")
+
+
 def _left_over(dense: DataFrame, roots: DataFrame, threshold: float, coordinates: int) -> DataFrame:
-    """In large nodes: members outside the node's largest component, with all members of other components."""
-    members = materialize(_rooted(dense, roots, "node", "root"))
-    sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    """Candidates among members of large nodes that are still in different components."""
+    members = materialize(_rooted(dense.select("node", "n", "sig").dropDuplicates(["node"]), roots, "node", "root"))
+    reached = materialize(_long_paths(members, coordinates))
+    mixed = reached.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    reached = materialize(reached.join(mixed.select("key"), "key", "left_semi"))
+    sizes = reached.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-    outside = members.join(main, "key").where("root <> main").drop("main")
-    return _as_pairs(members.alias("a").join(
-        outside.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root"))
-        & _may_link(threshold, coordinates))).select("u", "v")
+    outside = reached.join(main, "key").where("root <> main").drop("main")
+    smaller, larger = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
+    met = reached.alias("a").join(outside.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root"))
+                                  & (smaller >= larger * F.lit(threshold) - F.lit(1e-6)))
+    pairs = met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+    left = pairs.join(members.select(F.col("node").alias("u"), F.col("sig").alias("su")), "u")
+    both = left.join(members.select(F.col("node").alias("v"), F.col("sig").alias("sv")), "v")
+    return both.where(_agreement("su", "sv") >= F.lit(int(coordinates * (threshold - SLACK)))).select("u", "v")
