@@ -74,7 +74,9 @@ class _Anchors:
             self.at = np.flatnonzero(h == spread_minimum(np.concatenate([edge, least, edge]), inner, largest=True))
         else:
             self.at = np.zeros(0, np.int64)
-        self.prints, self.docs = h[self.at], of_byte[self.at]
+        # Anchors have small hashes; mixed once more they spread evenly over the buckets.
+        with np.errstate(over="ignore"):
+            self.prints, self.docs = packed.mixed(h[self.at] + packed.ODD), of_byte[self.at]
         self.distinct, self.where, counts = np.unique(self.prints, return_inverse=True, return_counts=True)
         self.several = counts > 1
 
