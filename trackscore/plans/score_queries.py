@@ -10,7 +10,8 @@ from ..operators import splits, tracks
 from ..operators import transitions as ot
 from ..session import materialize
 from ..sources import driver_tables as dt
-from .box_queries import split_sql
+from ..sources.driver_tables import ANNOTATIONS_SQL
+from .box_queries import VIDEO_SPLIT, split_sql
 from .registry import query
 from .track_queries import featured, normal_rows, video_split
 
@@ -87,17 +88,53 @@ def _score_all(spark, sf, column_of):
     return rows.select("vec_id", F.round(column_of(state), 6).alias("score"))
 
 
+def eliminate_sql(matrix: str, width: int, out: str) -> str:
+    """Gauss-Jordan elimination in SQL: ``matrix`` (m: rows of a positive definite matrix, each followed
+    by right sides) becomes ``out`` (m: the identity followed by the solutions), one step per pivot."""
+    return f"""{out}_steps(k, m) AS (SELECT 1::BIGINT, m FROM {matrix} UNION ALL
+  SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(p, lambda x: x / p[k])
+    ELSE list_transform(list_zip(r, p), lambda z: z[1] - r[k] / p[k] * z[2]) END)
+  FROM (SELECT k, m, m[k] AS p FROM {out}_steps WHERE k <= {width})),
+{out} AS (SELECT m FROM {out}_steps WHERE k = {width} + 1)"""
+
+
+def mahalanobis_sql(covariance: str) -> str:
+    """Distances under ``covariance``: SQL over ``cv`` (i, j, v) and ``su`` (its sums) for an entry."""
+    return f"""WITH RECURSIVE {SCORES_VIEWS},
+dv AS (SELECT vec_id, dim, x - mean AS d, fold = 'train' AND label <= 2 AS fits FROM el JOIN st USING (dim)),
+cv AS (SELECT a.dim AS i, b.dim AS j, sum(a.d * b.d) / count(*) AS v
+  FROM dv a JOIN dv b USING (vec_id) WHERE a.fits AND b.fits GROUP BY ALL),
+sq AS (SELECT vec_id, sum(d * d) AS q FROM dv WHERE fits GROUP BY vec_id),
+su AS (SELECT sum(v) FILTER (i = j) AS tr, sum(v * v) AS ss, (SELECT avg(q * q) FROM sq) AS fourth,
+  (SELECT count(*) FROM sq) AS n, {DIM} AS w FROM cv),
+m0 AS (SELECT list(r ORDER BY i) AS m FROM (
+  SELECT i, list_concat(list({covariance} ORDER BY j), list_transform(range({DIM}), lambda k: CASE WHEN k = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS r
+  FROM cv, su GROUP BY i)),
+{eliminate_sql("m0", DIM, "inv")},
+pr AS (SELECT unnest(range({DIM})) AS i, unnest(m) AS r FROM inv),
+pe AS (SELECT i, unnest(range({DIM})) AS j, unnest(r[{DIM} + 1:]) AS v FROM pr),
+y AS (SELECT vec_id, i, sum(v * d) AS y FROM pe JOIN dv ON dv.dim = pe.j GROUP BY ALL)
+SELECT dv.vec_id, round(sum(dv.d * y), 6) AS score FROM y JOIN dv ON dv.vec_id = y.vec_id AND dv.dim = y.i GROUP BY dv.vec_id
+"""
+
+
+# No twin: with fewer training rows than dimensions it takes a pseudo-inverse.
 @query("mahalanobis_full")
 def mahalanobis_full(spark, sf):
     return _score_all(spark, sf, lambda s: od.mahalanobis_score(s.mean, s.covariance))
 
 
-@query("mahalanobis_ridge")
+@query("mahalanobis_ridge", mahalanobis_sql("v + CASE WHEN i = j THEN 0.001::DOUBLE * tr / w ELSE 0 END"), views=None)
 def mahalanobis_ridge(spark, sf):
     return _score_all(spark, sf, lambda s: od.mahalanobis_score(s.mean, od.ridge(s)))
 
 
-@query("mahalanobis_shrunk")
+# The shrinkage weight: noise of the entries over the spread around a scaled identity.
+WEIGHT_SQL = "least(1, greatest(0, (fourth - ss) / n / (ss - tr * tr / w)))"
+
+
+@query("mahalanobis_shrunk", mahalanobis_sql(
+    f"(1 - {WEIGHT_SQL}) * v + CASE WHEN i = j THEN {WEIGHT_SQL} * tr / w ELSE 0 END"), views=None)
 def mahalanobis_shrunk(spark, sf):
     return _score_all(spark, sf, lambda s: od.mahalanobis_score(s.mean, od.shrunk(s)[0]))
 
@@ -125,6 +162,43 @@ def isolation_forest(spark, sf):
     return rows.select("vec_id", F.round(od.forest_score(nodes), 6).alias("score"))
 
 
+LAGS = 3
+KNOWN = LAGS * DIM
+LAGGED_SQL = f"""WITH RECURSIVE {ANNOTATIONS_SQL}, {VIDEO_SPLIT},
+tk AS (SELECT a.row_ord, s.fold, e.embedding AS f, a.video_id, a.target_id, a.timestamp
+  FROM annotations a JOIN split s USING (video_id) JOIN embeddings e USING (vec_id) WHERE action_id IN (0,1,2)),
+lg AS (SELECT row_ord, fold, row_number() OVER w AS pos, list_concat(list_concat(lag(f, 3) OVER w, lag(f, 2) OVER w),
+  list_concat(lag(f, 1) OVER w, f)) AS joint FROM tk WINDOW w AS (PARTITION BY video_id, target_id ORDER BY timestamp, row_ord)),
+el AS (SELECT row_ord, fold, unnest(range({KNOWN + DIM})) AS dim, unnest(joint)::DOUBLE AS x FROM lg WHERE pos > {LAGS}),
+mu AS (SELECT dim, avg(x) AS mean FROM el WHERE fold = 'train' GROUP BY dim),
+dv AS (SELECT row_ord, fold, dim, x - mean AS d FROM el JOIN mu USING (dim)),
+cv AS (SELECT a.dim AS i, b.dim AS j, sum(a.d * b.d) / count(*) AS v
+  FROM dv a JOIN dv b USING (row_ord) WHERE a.fold = 'train' AND a.dim < {KNOWN} GROUP BY ALL),
+pn AS (SELECT 0.01::DOUBLE * sum(v) / {KNOWN} AS p FROM cv WHERE i = j),
+m0 AS (SELECT list(r ORDER BY i) AS m FROM (
+  SELECT i, list(v + CASE WHEN i = j THEN p ELSE 0 END ORDER BY j) AS r FROM cv, pn GROUP BY i)),
+{eliminate_sql("m0", KNOWN, "sol")},
+wr AS (SELECT unnest(range({KNOWN})) AS i, unnest(m) AS r FROM sol),
+wt AS (SELECT i, unnest(range({DIM})) + {KNOWN} AS dim, unnest(r[{KNOWN + 1}:]) AS v FROM wr),
+said AS (SELECT row_ord, wt.dim, sum(wt.v * dv.d) AS d FROM wt JOIN dv ON dv.dim = wt.i GROUP BY ALL),
+rs AS (SELECT row_ord, o.fold, dim - {KNOWN} AS dim, o.d - said.d AS x FROM said JOIN dv o USING (row_ord, dim))"""
+RESIDUAL_SQL = f"""{LAGGED_SQL},
+rm AS (SELECT dim, avg(x) AS mean FROM rs WHERE fold = 'train' GROUP BY dim),
+rd AS (SELECT row_ord, fold, dim, x - mean AS d FROM rs JOIN rm USING (dim)),
+rc AS (SELECT a.dim AS i, b.dim AS j, sum(a.d * b.d) / count(*) AS v
+  FROM rd a JOIN rd b USING (row_ord) WHERE a.fold = 'train' GROUP BY ALL),
+rt AS (SELECT 0.001::DOUBLE * sum(v) / {DIM} AS p FROM rc WHERE i = j),
+n0 AS (SELECT list(r ORDER BY i) AS m FROM (
+  SELECT i, list_concat(list(v + CASE WHEN i = j THEN p ELSE 0 END ORDER BY j),
+    list_transform(range({DIM}), lambda k: CASE WHEN k = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS r FROM rc, rt GROUP BY i)),
+{eliminate_sql("n0", DIM, "rinv")},
+rr AS (SELECT unnest(range({DIM})) AS i, unnest(m) AS r FROM rinv),
+re AS (SELECT i, unnest(range({DIM})) AS j, unnest(r[{DIM} + 1:]) AS v FROM rr),
+ry AS (SELECT row_ord, i, sum(v * d) AS y FROM re JOIN rd ON rd.dim = re.j GROUP BY ALL)
+SELECT rd.row_ord, round(sum(rd.d * y), 6) AS score FROM ry JOIN rd ON rd.row_ord = ry.row_ord AND rd.dim = ry.i GROUP BY rd.row_ord
+"""
+
+
 def histories(spark, sf, steps=3):
     rows = featured(spark, sf, normal_rows(spark, sf)).select(
         "video_id", "target_id", "timestamp", "row_ord", "feature")
@@ -133,14 +207,14 @@ def histories(spark, sf, steps=3):
     return materialize(od.with_history(tracks.tracks(rows), steps).select("row_ord", "fold", "joint"))
 
 
-@query("lagged_ridge")
+@query("lagged_ridge", LAGGED_SQL + " SELECT row_ord, round(sum(x * x), 6) AS score FROM rs GROUP BY row_ord", views=None)
 def lagged_ridge(spark, sf):
     rows = histories(spark, sf)
     model = od.fit_predictor(rows.where(F.col("fold") == "train"), 3, DIM)
     return rows.select("row_ord", F.round(od.predictor_score(model), 6).alias("score"))
 
 
-@query("residual_mahalanobis")
+@query("residual_mahalanobis", RESIDUAL_SQL, views=None)
 def residual_mahalanobis(spark, sf):
     rows = histories(spark, sf)
     train = rows.where(F.col("fold") == "train")
