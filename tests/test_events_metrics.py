@@ -148,6 +148,8 @@ def test_paired_tests(scored, buckets):
     np.testing.assert_allclose(row.variance, variance)
     np.testing.assert_allclose(row.z, (area(frame, "a") - area(frame, "b")) / np.sqrt(variance))
     assert 0 <= om_p(df, row.z) <= 1
+    for z, p in ((0.0, 1.0), (1.959964, 0.05), (-2.575829, 0.01)):
+        assert abs(om_p(df, z) - p) < 1e-6
     pairs = df.sparkSession.createDataFrame(frame[["a", "b"]]).withColumns(
         {"a": F.round(F.col("a") * 100), "b": F.round(F.col("b") * 100)})
     test = om.wilcoxon(pairs, "a", "b").first()

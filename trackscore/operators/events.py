@@ -78,10 +78,14 @@ def leave_one_out(df: DataFrame) -> DataFrame:
         F.when(kept > 0, F.col("held_out") / kept).alias("novelty_ratio"))
 
 
-def loo_fold(df: DataFrame, action: int) -> DataFrame:
-    """The rows of one fold, marked train or test."""
-    return df.withColumn(
-        "part", F.when(F.col("action_id") == action, F.lit("test")).otherwise(F.lit("train")))
+def loo_folds(df: DataFrame) -> DataFrame:
+    """Every row once per held-out action, marked train or test.
+
+    The list of actions is a few numbers; each row is repeated over it without a shuffle.
+    """
+    actions = sorted(r[0] for r in df.select("action_id").where("action_id is not null").distinct().collect())
+    return df.withColumn("fold", F.explode(F.array(*[F.lit(int(a)) for a in actions]).cast("array<int>"))).withColumn(
+        "part", F.when(F.col("action_id") == F.col("fold"), F.lit("test")).otherwise(F.lit("train")))
 
 
 def as_of(

@@ -7,9 +7,6 @@ scores in one task.
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,6 +96,20 @@ def false_alert_rate(flagged: DataFrame, camera: str = "video_id") -> DataFrame:
     })
 
 
+def false_event_rate(events: DataFrame, observed: DataFrame, camera: str = "video_id") -> DataFrame:
+    """False events per observed hour and camera-day: an event counts once, however many rows it has.
+
+    ``events`` has ``matched`` (does it overlap the truth), ``observed`` the ``seconds`` watched of
+    every camera; a camera without events has none.
+    """
+    false = events.where(~F.col("matched")).groupBy(camera).agg(F.count(F.lit(1)).alias("false_events"))
+    hours = F.col("seconds") / 3600
+    return observed.join(false, camera, "left").select(
+        camera, F.coalesce("false_events", F.lit(0)).cast("long").alias("false_events"), hours.alias("hours"),
+        F.when(hours > 0, F.coalesce("false_events", F.lit(0)) / hours).alias("per_hour"),
+        F.when(hours > 0, F.coalesce("false_events", F.lit(0)) / hours * 24).alias("per_day"))
+
+
 def model_delta(metrics: DataFrame, base: str, other: str, names: list[str], by: list[str]) -> DataFrame:
     """Metric differences other - base, one row per ``by``."""
     picked = [
@@ -146,14 +157,29 @@ def novelty_report(scored: DataFrame, normal: str = "normal") -> DataFrame:
     )
 
 
-def two_sided_p(z: Column | str) -> Column:
-    """Two-sided normal tail of a z statistic (a few result rows only)."""
+# A published rational approximation of erfc (error below 1.5e-7).
+ERFC_SLOPE = 0.3275911
+ERFC_TERMS = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
-    @F.pandas_udf("double")
-    def tail(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
 
-    return tail(z)
+def two_sided_p(z: Column | str) -> Column:
+    """Two-sided normal tail of a z statistic, in column functions; NULL stays NULL."""
+    x = F.abs(F.col(z) if isinstance(z, str) else z) / F.sqrt(F.lit(2.0))
+    t = F.lit(1.0) / (F.lit(1.0) + F.lit(ERFC_SLOPE) * x)
+    total = F.lit(0.0)
+    for term in reversed(ERFC_TERMS):
+        total = (total + F.lit(term)) * t
+    return total * F.exp(-x * x)
+
+
+def two_sided_p_sql(z: str) -> str:
+    """``two_sided_p`` in SQL."""
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    t = f"(1.0::DOUBLE / (1.0::DOUBLE + {ERFC_SLOPE}::DOUBLE * {x}))"
+    total = "0.0::DOUBLE"
+    for term in reversed(ERFC_TERMS):
+        total = f"(({total} + {term}::DOUBLE) * {t})"
+    return f"({total} * exp(-{x} * {x}))"
 
 
 def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -98,6 +98,31 @@ def false_alerts(spark, sf):
     return rates.withColumns({c: F.round(c, 6) for c in ("hours", "per_hour", "per_day")})
 
 
+@query("false_event_rates", EVENTS_SQL + TRUTH_SQL + """,
+em AS (SELECT video_id, count(*) AS n FROM found f WHERE NOT EXISTS (SELECT 1 FROM novel n WHERE f.video_id = n.video_id
+  AND f.target_id = n.target_id AND f.t_start <= n.t_end AND f.t_end >= n.t_start) GROUP BY video_id),
+ob AS (SELECT video_id, (max(timestamp) - min(timestamp)) / 3600 AS h FROM scored GROUP BY video_id)
+SELECT video_id, coalesce(n, 0) AS false_events, round(h, 6) AS hours, round(coalesce(n, 0) / h, 6) AS per_hour,
+  round(coalesce(n, 0) / h * 24, 6) AS per_day FROM ob LEFT JOIN em USING (video_id)
+""")
+def false_event_rates(spark, sf):
+    """Alerts counted on events."""
+    observed = scored_rows(spark, sf).groupBy("video_id").agg(
+        (F.max("timestamp") - F.min("timestamp")).alias("seconds"))
+    events_ = oe.matched(materialize(event_table(spark, sf)), novel_truth(spark, sf), TRACK)
+    rates = om.false_event_rate(events_, observed)
+    return rates.withColumns({c: F.round(c, 6) for c in ("hours", "per_hour", "per_day")})
+
+
+@query("loo_folds", """
+SELECT f.fold, row_ord, CASE WHEN action_id = f.fold THEN 'test' ELSE 'train' END AS part
+FROM annotations, (SELECT DISTINCT action_id AS fold FROM annotations) f
+""")
+def loo_folds(spark, sf):
+    """Every row's part in every leave-one-action-out fold."""
+    return oe.loo_folds(dt.annotations(spark, sf)).select("fold", "row_ord", "part")
+
+
 @query("detection_delay", EVENTS_SQL + TRUTH_SQL + """
 SELECT n.video_id, n.target_id, n.t_start, n.t_end,
   round((SELECT min(f.t_start) FROM found f WHERE f.video_id = n.video_id AND f.target_id = n.target_id

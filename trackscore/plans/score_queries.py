@@ -397,9 +397,10 @@ d AS (SELECT vec_id, round(max(score) FILTER (model = 'mahalanobis') / {DIM}, 4)
 nz AS (SELECT round(d, 4) AS d, abs(round(d, 4)) AS size FROM d WHERE round(d, 4) <> 0),
 r AS (SELECT *, rank() OVER (ORDER BY size) + (count(*) OVER (PARTITION BY size) - 1) / 2.0::DOUBLE AS rk FROM nz),
 t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*) AS c FROM nz GROUP BY size)),
-s AS (SELECT count(*) AS n, sum(rk) FILTER (d > 0) AS w_plus, sum(rk) FILTER (d < 0) AS w_minus FROM r)
-SELECT n AS n_pairs, w_plus, w_minus, round((w_plus - n * (n + 1) / 4.0::DOUBLE)
-  / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties::DOUBLE / 48.0::DOUBLE), 6) AS z FROM s, t
+s AS (SELECT count(*) AS n, sum(rk) FILTER (d > 0) AS w_plus, sum(rk) FILTER (d < 0) AS w_minus FROM r),
+z AS (SELECT n, w_plus, w_minus, (w_plus - n * (n + 1) / 4.0::DOUBLE)
+  / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties::DOUBLE / 48.0::DOUBLE) AS z FROM s, t)
+SELECT n AS n_pairs, w_plus, w_minus, round(z, 6) AS z, round(""" + om.two_sided_p_sql("z") + """, 6) AS p FROM z
 """, SCORES_VIEWS)
 def wilcoxon(spark, sf):
     wide = scored(spark, sf).groupBy("vec_id").agg(
@@ -407,7 +408,8 @@ def wilcoxon(spark, sf):
         F.max(F.when(F.col("model") == "euclidean", F.col("score"))).alias("e"))
     pairs_ = wide.select(
         F.round(F.round(F.col("m") / DIM, 4) - F.round("e", 4), 4).alias("a"), F.lit(0.0).alias("b"))
-    return om.wilcoxon(pairs_, "a", "b").withColumn("z", F.round("z", 6))
+    return om.wilcoxon(pairs_, "a", "b").withColumns({
+        "p": F.round(om.two_sided_p("z"), 6), "z": F.round("z", 6)})
 
 
 @query("delong", """,
@@ -421,13 +423,15 @@ a AS (SELECT avg(x.v) AS a, avg(y.v) AS b, (var_samp(x.v) + var_samp(y.v) - 2 *
 b AS (SELECT (var_samp(x.v) + var_samp(y.v) - 2 * covar_samp(x.v, y.v)) / count(*) AS s
   FROM v01 x JOIN v01 y USING (vec_id) WHERE x.model = 'mahalanobis' AND y.model = 'euclidean')
 SELECT round(a.a, 6) AS auroc_a, round(a.b, 6) AS auroc_b, round(a.s + b.s, 9) AS variance,
-  round((a.a - a.b) / sqrt(a.s + b.s), 5) AS z FROM a, b
+  round((a.a - a.b) / sqrt(a.s + b.s), 5) AS z, round(""" + om.two_sided_p_sql("(a.a - a.b) / sqrt(a.s + b.s)") + """, 5) AS p
+FROM a, b
 """, SCORES_VIEWS)
 def delong(spark, sf):
     test = om.delong(scored(spark, sf), "vec_id", "mahalanobis", "euclidean")
     return test.select(
         F.round("auroc_a", 6).alias("auroc_a"), F.round("auroc_b", 6).alias("auroc_b"),
-        F.round("variance", 9).alias("variance"), F.round("z", 5).alias("z"))
+        F.round("variance", 9).alias("variance"), F.round("z", 5).alias("z"),
+        F.round(om.two_sided_p("z"), 5).alias("p"))
 
 
 @query("state_vs_transition", """,
