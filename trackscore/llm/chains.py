@@ -32,7 +32,7 @@ FOLDS = 3
 PREFIXES = (4, 5)
 MIN_TEXTS = 4
 MIN_STRENGTH = 16.0  # chi-squared of a feature and the category
-MEMO = 300_000  # words whose features a task remembers
+MEMO = 150_000  # words whose features a task remembers
 RIDGE = 1.0
 TRIM = b".,;:!?\"'()[]{}<>-"
 
@@ -103,6 +103,7 @@ def _count_features(categories: Sequence[str]):
             [pa.array(keys, pa.string()), pa.array([total[k] for k in keys], pa.int64()),
              *(pa.array([p[k] for k in keys], pa.int64()) for p in positive)],
             names=["feature", "texts", *(f"in_{i}" for i in range(len(names)))])
+        packed.release()
 
     return count
 
@@ -114,14 +115,14 @@ def _numbered(features: list[dict[str, int]]):
     for c, own in enumerate(features):
         for f, n in own.items():
             lists.setdefault(f, []).append(int(at[c] + n))
-    memo: dict[bytes, list[int]] = {}
+    memo: dict[bytes, tuple[int, ...]] = {}
 
-    def wanted(word: bytes) -> list[int]:
+    def wanted(word: bytes) -> tuple[int, ...]:
         found = memo.get(word)
         if found is None:
             if len(memo) >= MEMO:
                 memo.clear()
-            found = memo[word] = [n for f in word_features(word) for n in lists.get(f, ())]
+            found = memo[word] = tuple(n for f in word_features(word) for n in lists.get(f, ()))  # nearly all are ()
         return found
 
     return wanted
@@ -179,6 +180,7 @@ def fit(labelled: DataFrame, categories: Sequence[str], *, key: str = "doc_id",
     Labels are 0 or 1; a null label counts as 0. Null and empty texts have no features.
     Categories without both labels in the sample get a constant model.
     """
+    packed.small_batches(labelled.sparkSession)
     names = [f"_label_{i}" for i in range(len(categories))]
     rows = labelled.select(
         F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"),
@@ -265,6 +267,7 @@ def _scorer(chain: Chain):
             found = [pa.array(np.concatenate(c) if c else np.zeros(0), pa.float64()) for c in columns]
             yield pa.RecordBatch.from_arrays([*kept.columns, *found], names=[
                 *kept.schema.names, *(f"p_{i}" for i in range(len(found)))])
+        packed.release()
 
     return score
 
@@ -281,6 +284,7 @@ def score(docs: DataFrame, chain: Chain, *, text: str = "text") -> DataFrame:
                         F.col(f"`{text}`").cast("string").alias("_text"))
     schema = ", ".join([*(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)),
                         *(f"p_{i} double" for i in range(len(chain.categories)))])
+    packed.small_batches(docs.sparkSession)
     scored = inner.mapInArrow(_scorer(chain), schema)
     return scored.select(
         *(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)),

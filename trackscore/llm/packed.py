@@ -9,13 +9,16 @@ with the data, rows get shorter and at the far end hold one fingerprint each.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4_000_000
@@ -29,6 +32,24 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let tasks get whole texts by ``BATCH_ROWS`` at most: Spark's default of 10,000 holds tens of MB on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Hand freed memory back to the system: Spark keeps a Python worker for its next task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(docs: DataFrame, text: str) -> tuple[int, int]:
     """(rows, bytes of UTF-8) of a table."""
     row = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(f"`{text}`")))).first()

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from . import packed
 
-MEMO = 300_000  # pre-tokens a task remembers
-STEP_BYTES = 16_000_000  # of texts whose new pre-tokens are merged together
+MEMO = 150_000  # pre-tokens a task remembers
+STEP_BYTES = 10_000_000  # of texts whose new pre-tokens are merged together
 
 
 def byte_symbols() -> list[str]:
@@ -62,6 +62,12 @@ class Vocabulary:
                    {t["content"]: t["id"] for t in spec["added_tokens"]})
 
 
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """Ascending distinct values."""
+    values = np.sort(np.concatenate(parts) if len(parts) > 1 else parts[0])
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) > 1 else values
+
+
 class Coder:
     """Encodes and decodes with one vocabulary; a task makes one."""
 
@@ -118,18 +124,19 @@ class Coder:
                 return
             order = np.argsort(rank, kind="stable")
             at, rank = at[order], rank[order]
-            cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
-            for r, group in zip(rank[np.append(0, cuts)].tolist(), np.split(at, cuts)):
+            cuts = [0, *(np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist(), len(rank)]
+            for a, z in zip(cuts, cuts[1:]):
+                r = int(rank[a])
                 if r in index:
-                    index[r].append(group)
+                    index[r].append(at[a:z])
                 else:
-                    index[r] = [group]
+                    index[r] = [at[a:z]]
                     heapq.heappush(active, r)
 
         add(np.arange(n))
         while active:
             rank = heapq.heappop(active)
-            at = np.unique(np.concatenate(index.pop(rank)))
+            at = _distinct(index.pop(rank))
             left, right, new = self.left[rank], self.right[rank], self.made[rank]
             at = at[(symbol[at] == left) & (symbol[after[at]] == right)]
             if left == right and len(at) > 1:  # in a run of equal symbols every second pair goes
@@ -150,7 +157,7 @@ class Coder:
             before[beyond] = at  # the entry n takes any value: it is never read as a neighbour
             before[n] = n
             earlier = before[at]
-            add(np.unique(np.concatenate([at, earlier[earlier < n]])))
+            add(_distinct([at, earlier[earlier < n]]))
         alive = symbol[:n] >= 0
         counts = np.add.reduceat(alive.astype(np.int64), ends - sizes)
         return np.split(symbol[:n][alive], np.cumsum(counts)[:-1])
@@ -182,8 +189,7 @@ class Coder:
         wanted = {p for parts in cut for p in parts if type(p) is bytes}
         new = [p for p in wanted if p not in self.memo]
         if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(wanted)
+            self.memo = {p: self.memo[p] for p in wanted if p in self.memo}
         if new:
             self.memo.update(zip(new, (" ".join(map(str, ids.tolist())) for ids in self.merge(new))))
         memo = self.memo
@@ -210,27 +216,40 @@ class Coder:
         return " ".join([names[i] for i in ids])
 
 
-def _steps(batch: pa.RecordBatch):
-    """Slices of a batch with about ``STEP_BYTES`` of text each, one row at least."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        base = sizes[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(sizes, base + STEP_BYTES, side="right")))
-        yield batch.slice(at, to - at)
-        at = to
+def _text_sizes(batch: pa.RecordBatch) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _steps(batches):
+    """The batches' rows again, in steps of about ``STEP_BYTES`` of text, one row at least."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(_text_sizes(batch))
+        at = 0
+        while at < batch.num_rows:
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + STEP_BYTES - size, side="right")))
+            held.append(batch.slice(at, to - at))
+            size += int(ends[to - 1] - base)
+            at = to
+            if size >= STEP_BYTES or at < batch.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _coded(vocabulary):
     def coded(batches):
         coder = Coder(vocabulary.value)
-        for whole in batches:
-            for batch in _steps(whole):
-                ids, back = coder.encode(batch.column("_text"))
-                counts = np.fromiter((i.count(" ") + 1 if i else 0 for i in ids), np.int64, len(ids))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(counts), pa.array(ids, pa.string()), pa.array(back, pa.string())],
-                    names=[*batch.schema.names[:-1], "_n", "_ids", "_decoded"])
+        for step in _steps(batches):
+            ids, back = coder.encode(step.column("_text"))
+            counts = np.fromiter((i.count(" ") + 1 if i else 0 for i in ids), np.int64, len(ids))
+            done = pa.table([*step.columns[:-1], pa.array(counts), pa.array(ids, pa.string()), pa.array(back, pa.string())],
+                            names=[*step.column_names[:-1], "_n", "_ids", "_decoded"])
+            del step, ids, back
+            yield from done.to_batches(max_chunksize=packed.BATCH_ROWS)
+        packed.release()
 
     return coded
 
@@ -247,6 +266,7 @@ def encode(docs: DataFrame, vocabulary_path: str, *, text: str = "text") -> Data
     decoding without skipping special tokens: the file names no decoder, so token names
     are joined by spaces.
     """
+    packed.small_batches(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(vocabulary_path))
     kept = [c for c in docs.columns if c not in ("n_tokens", "token_ids", "decoded")]
     inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(f"`{text}`").cast("string").alias("_text"))

@@ -97,6 +97,7 @@ def _summarise(width: int, coordinates: int):
                     [batch.column("_id"), pa.array(sizes), pa.array(classes, pa.binary()),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(signature.reshape(-1)))],
                     names=["_id", "n", "class", "sig"])
+        packed.release()
 
     return summarise
 
@@ -112,6 +113,7 @@ def _full_sets(width: int):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id").take(pa.array(ids)), pa.array(sets, pa.list_(pa.int64()))],
                     names=["node", "shingles"])
+        packed.release()
 
     return full_sets
 
@@ -225,6 +227,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     are not used. An empty table gives an empty result.
     """
     threshold = percent / 100
+    packed.small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
     summary = materialize(rows.mapInArrow(_summarise(width, coordinates), SUMMARY))
     whole = summary.where("_id is not null and n > 0")

@@ -126,6 +126,7 @@ class _Anchors:
 
 def _send_anchors(length: int, anchor: int, buckets: int):
     def send(table: pa.Table) -> pa.Table:
+        packed.release()
         own = _Anchors(table, length, anchor)
         edges = packed.bucket_edges(own.distinct, buckets)
         full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
@@ -277,6 +278,7 @@ def _cut(length: int, anchor: int, buckets: int, context_buckets: int):
     wide = -(-starts // 8)
 
     def cut(docs: pa.Table, told: pa.Table) -> pa.Table:
+        packed.release()
         own = _Anchors(docs, length, anchor)
         keep = own.shared(_answers(told, 0), buckets)
         prints, body, _, owner, of, at, doc = own.contexts(keep, length, anchor)

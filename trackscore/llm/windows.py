@@ -48,6 +48,7 @@ class _Chunk:
 
 def _send(width: int, buckets: int):
     def send(table: pa.Table) -> pa.Table:
+        packed.release()
         chunk = _Chunk(table, width)
         edges = packed.bucket_edges(chunk.distinct, buckets)
         full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
@@ -98,6 +99,7 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _cut(width: int, buckets: int):
     def cut(docs: pa.Table, told: pa.Table) -> pa.Table:
+        packed.release()
         chunk = _Chunk(docs, width)
         edges = packed.bucket_edges(chunk.distinct, buckets)
         earlier = np.zeros(len(chunk.distinct), bool)
