@@ -84,12 +84,13 @@ def test_pca_reconstruction(vectors):
 def test_isolation_forest_ranks_an_outlier_first(spark, vectors):
     df, x = vectors
     far = spark.createDataFrame([(999, [50.0] * WIDTH)], df.schema)
-    nodes = od.grow_forest(df, "id", n_trees=30, sample=64)
+    nodes = od.grow_forest(df, "id", WIDTH, n_trees=30, copies=6)
     assert nodes.select("tree").distinct().count() == 30
     everything = df.unionByName(far)
     top = everything.select("id", od.forest_score(nodes).alias("s")).orderBy(F.desc("s")).first()
     assert top.id == 999 and 0.5 < top.s <= 1
-    again = od.grow_forest(df.repartition(2), "id", n_trees=30, sample=64)
+    again = od.grow_forest(df.repartition(2), "id", WIDTH, n_trees=30, copies=6)
+    assert nodes.where("node = 0").agg(F.sum("size")).first()[0] == 6 * 300  # no row is left out
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, nodes.collect()))
 
 

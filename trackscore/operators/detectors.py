@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -180,58 +182,60 @@ def linear_autoencoder_score(pca: Components, column: str | Column = "feature")
 
 # --- isolation forest ------------------------------------------------------
 
-TREE_SCHEMA = "tree int, node int, dim int, cut double, size int"
+TREE_SCHEMA = "tree int, node int, dim int, cut double, size long"
+TREES, COPIES, LEVELS = 32, 4, 8
+
+
+def drawn(*parts) -> int:
+    """60 bits of the SHA-256 of the parts."""
+    return int(hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()[:15], 16)
 
 
 def grow_forest(
-    df: DataFrame, unit: str, column: str = "feature", n_trees: int = 100, sample: int = 256, seed: int = 42
+    df: DataFrame, unit: str, width: int, column: str = "feature", n_trees: int = TREES, copies: int = COPIES,
+    levels: int = LEVELS, seed: int = 42,
 ) -> DataFrame:
-    """Isolation trees as a node table, grown in parallel, one group per tree.
+    """Isolation trees over all rows, as a node table; children of node k are 2k+1 and 2k+2.
 
-    Sampling is part of the method. A seeded pool of at most n_trees * sample
-    rows is drawn in hash order; every pool row joins the few trees its own hash
-    ranks first, so each tree holds about ``sample`` distinct rows. After one
-    scan the cost does not depend on the data size.
+    A hash gives every row to ``copies`` of the trees. Trees grow level by level: a node's
+    dimension and the place of its cut are drawn by hash, and one partially aggregated
+    count with minimum and maximum per node decides the cut. Nodes of one row, of one
+    value or at the last level are leaves (dim -1). What the driver holds are at most
+    n_trees * 2**(levels + 1) nodes. Rows without a vector take no part.
     """
-    wanted = n_trees * sample
-    size = min(df.count(), wanted)
-    if size == 0:
+    spark = df.sparkSession
+    home = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(unit).cast("string")), 256), 1, 15), 16, 10).cast("long")
+    step = max(1, n_trees // copies)
+    rows = df.where(F.col(column).isNotNull()).select(
+        column, F.explode(F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda k: F.pmod(home + k * step, F.lit(n_trees))
+                                      .cast("int"))).alias("tree")).withColumn("node", F.lit(0))
+    frontier = [(tree, 0) for tree in range(n_trees)]
+    nodes = []
+    for level in range(levels + 1):
+        named = [(t, n, drawn(seed, t, n, "dim") % width) for t, n in frontier]
+        table = spark.createDataFrame(named, "tree int, node int, dim int")
+        valued = rows.join(F.broadcast(table), ["tree", "node"]).withColumn(
+            "value", F.element_at(column, F.col("dim") + 1).cast("double"))
+        found = valued.groupBy("tree", "node", "dim").agg(
+            F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
+        inner = []
+        for r in found:
+            if level == levels or r.n <= 1 or not r.low < r.high:
+                nodes.append((r.tree, r.node, -1, 0.0, r.n))
+            else:
+                cut = r.low + drawn(seed, r.tree, r.node, "cut") / 16.0**15 * (r.high - r.low)
+                inner.append((r.tree, r.node, r.dim, cut, r.n))
+        nodes += inner
+        if not inner:
+            break
+        cuts = spark.createDataFrame([x[:4] for x in inner], "tree int, node int, dim int, cut double")
+        rows = rows.join(F.broadcast(cuts), ["tree", "node"]).select(
+            column, "tree",
+            (F.col("node") * 2 + 1 + (F.element_at(column, F.col("dim") + 1).cast("double") > F.col("cut")).cast("int")).alias("node"))
+        frontier = [(t, 2 * n + side) for t, n, *_ in inner for side in (1, 2)]
+    if not nodes:
         raise ValueError("no rows to grow trees from")
-    copies = min(n_trees, max(1, round(wanted / size)))
-    order = F.xxhash64(F.lit(seed), F.col(unit))
-    pool = df.select(unit, column).orderBy(order, unit).limit(wanted)
-    ranked = F.array_sort(F.transform(
-        F.sequence(F.lit(0), F.lit(n_trees - 1)),
-        lambda t: F.struct(F.xxhash64(F.lit(seed), F.col(unit), t).alias("h"), t.alias("t"))))
-    taken = pool.withColumn("tree", F.explode(F.slice(ranked, 1, copies))).withColumn(
-        "tree", F.col("tree.t"))
-
-    def grow(key, group):
-        x = np.stack(group.sort_values(unit)[column].to_numpy()).astype(np.float64)
-        return _grow_tree(int(key[0]), x, np.random.default_rng([seed, int(key[0])]))
-
-    return taken.select("tree", unit, column).groupBy("tree").applyInPandas(grow, TREE_SCHEMA)
-
-
-def _grow_tree(tree: int, x: np.ndarray, rng: np.random.Generator):
-    """One tree as rows; children of node k are 2k+1 and 2k+2, leaves have dim -1."""
-    import pandas as pd
-
-    limit = int(np.ceil(np.log2(max(len(x), 2))))
-    nodes, waiting = [], [(0, 0, x)]
-    while waiting:
-        node, depth, rows = waiting.pop()
-        low, high = rows.min(axis=0), rows.max(axis=0)
-        varied = np.flatnonzero(high > low)
-        if depth >= limit or len(rows) <= 1 or not len(varied):
-            nodes.append((tree, node, -1, 0.0, len(rows)))
-            continue
-        dim = int(rng.choice(varied))
-        cut = float(rng.uniform(low[dim], high[dim]))
-        left = rows[:, dim] <= cut
-        nodes.append((tree, node, dim, cut, len(rows)))
-        waiting += [(2 * node + 1, depth + 1, rows[left]), (2 * node + 2, depth + 1, rows[~left])]
-    return pd.DataFrame(nodes, columns=["tree", "node", "dim", "cut", "size"])
+    return spark.createDataFrame(nodes, TREE_SCHEMA)
 
 
 def _expected_path(n: np.ndarray | float) -> np.ndarray:

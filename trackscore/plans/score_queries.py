@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import detectors as od
@@ -155,10 +156,40 @@ def pca_scores(spark, sf):
         F.round(od.linear_autoencoder_score(pca), 6).alias("reconstruction"))
 
 
-@query("isolation_forest")
+def drawn_sql(*parts: str) -> str:
+    text = " || ':' || ".join(parts)
+    return f"CAST('0x' || substr(sha256({text}), 1, 15) AS BIGINT)"
+
+
+EXPECTED_SQL = f"CASE WHEN n > 2 THEN 2 * (ln(n - 1) + {float(np.euler_gamma)!r}::DOUBLE) - 2 * (n - 1)::DOUBLE / n WHEN n = 2 THEN 1 ELSE 0 END"
+FOREST_SQL = f"""WITH RECURSIVE {SCORES_VIEWS},
+own AS (SELECT vec_id, embedding AS e, unnest(range({od.COPIES})) AS k FROM embeddings JOIN split USING (vec_id)
+  WHERE fold = 'train' AND label <= 2),
+g AS (SELECT 0 AS level, CAST(({drawn_sql("'42'", "vec_id")} + k * {od.TREES // od.COPIES}) % {od.TREES} AS INT) AS tree, 0 AS node, vec_id, e
+  FROM own UNION ALL
+  SELECT level + 1, tree, 2 * node + 1 + CASE WHEN v > lo + {drawn_sql("'42'", "tree", "node", "'cut'")} / (16.0::DOUBLE ** 15) * (hi - lo)
+    THEN 1 ELSE 0 END, vec_id, e
+  FROM (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi, count(*) OVER w AS n FROM (
+    SELECT *, e[1 + {drawn_sql("'42'", "tree", "node", "'dim'")} % {DIM}]::DOUBLE AS v FROM g)
+    WINDOW w AS (PARTITION BY tree, node)) WHERE level < {od.LEVELS} AND n > 1 AND lo < hi),
+nd AS (SELECT tree, node, {drawn_sql("'42'", "tree", "node", "'dim'")} % {DIM} AS dim, any_value(level) AS level, count(*) AS n,
+  min(e[1 + {drawn_sql("'42'", "tree", "node", "'dim'")} % {DIM}]::DOUBLE) AS lo, max(e[1 + {drawn_sql("'42'", "tree", "node", "'dim'")} % {DIM}]::DOUBLE) AS hi
+  FROM g GROUP BY tree, node),
+nodes AS (SELECT tree, node, dim, n, level < {od.LEVELS} AND n > 1 AND lo < hi AS inner_,
+  lo + {drawn_sql("'42'", "tree", "node", "'cut'")} / (16.0::DOUBLE ** 15) * (hi - lo) AS cut FROM nd),
+walk AS (SELECT vec_id, embedding AS e, tree, 0 AS node, 0 AS depth FROM embeddings, (SELECT DISTINCT tree FROM nodes) t UNION ALL
+  SELECT vec_id, e, tree, 2 * node + 1 + CASE WHEN e[1 + dim]::DOUBLE > cut THEN 1 ELSE 0 END, depth + 1
+  FROM walk JOIN nodes USING (tree, node) WHERE inner_),
+ends AS (SELECT vec_id, depth + {EXPECTED_SQL} AS path FROM walk JOIN nodes USING (tree, node) WHERE NOT inner_),
+usual AS (SELECT {EXPECTED_SQL} AS c FROM (SELECT max(n) AS n FROM nodes WHERE node = 0))
+SELECT vec_id, round(2.0::DOUBLE ** (-sum(path) / count(*) / max(c)), 6) AS score FROM ends, usual GROUP BY vec_id
+"""
+
+
+@query("isolation_forest", FOREST_SQL, views=None)
 def isolation_forest(spark, sf):
     rows = labelled(spark, sf)
-    nodes = od.grow_forest(fit_rows(rows), "vec_id")
+    nodes = od.grow_forest(fit_rows(rows), "vec_id", DIM)
     return rows.select("vec_id", F.round(od.forest_score(nodes), 6).alias("score"))
 
 
