@@ -2,24 +2,50 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import as_uri, list_files
 from .fingerprint import entry_text, hash_tree
 from .ordering import CHUNK_ROWS, HOT_GROUP_ROWS, ordered
 
 
+PIECE = 1 << 20
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Content hashes of files, read in pieces, so a file may have any size."""
+    from pyarrow import fs
+
+    for batch in batches:
+        hashes = []
+        for path in batch.column("found").to_pylist():
+            system, inner = fs.FileSystem.from_uri(as_uri(path))
+            digest = hashlib.sha256()
+            with system.open_input_stream(inner, compression=None) as data:
+                while piece := data.read(PIECE):
+                    digest.update(piece)
+            hashes.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.string())], names=[*batch.schema.names, "sha256"])
+
+
 def artifact_ledger(spark: SparkSession, wanted: DataFrame, path: str) -> DataFrame:
-    """Content hash and size of each wanted (name, path); absent files are marked."""
-    found = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .select(
-            F.regexp_replace("path", r"^file:/*", "/").alias("path"),
-            F.sha2("content", 256).alias("sha256"),
-            F.col("length").alias("bytes"),
-        )
-    )
-    return wanted.join(found, "path", "left").select(
+    """Content hash and size of each wanted (name, path); absent files are marked.
+
+    Only the listing of the folder is read to find the wanted files, and only those are
+    hashed.
+    """
+    listed = list_files(spark, path).select(
+        F.regexp_replace("path", r"^file:/*", "/").alias("path"), F.col("path").alias("found"), F.col("length").alias("bytes"))
+    paths = wanted.select("path").distinct().join(listed, "path")
+    # A fixed number: rows are tiny, and adaptive execution would put all files into one task.
+    spread = paths.repartition(4 * spark.sparkContext.defaultParallelism, "path")
+    hashed = spread.mapInArrow(_digests, "path string, found string, bytes long, sha256 string")
+    return wanted.join(hashed, "path", "left").select(
         "name", "path", "sha256", "bytes", F.col("sha256").isNull().alias("missing")
     )
 
