@@ -27,10 +27,10 @@ def test_few_slots_move_when_a_shard_leaves(spark):
 
 
 def test_rows_are_kept_and_equal_keys_stay_together(spark, awkward):
-    docs = documents(spark, awkward).selectExpr("*", "'old' AS shard", "0 AS slot")
+    docs = documents(spark, awkward).selectExpr("*", "'old' AS shard", "0 AS slot", "7 AS _slot", "8 AS __SLOT")
     got = shardtable.place(docs, "doc_id", SHARDS, 211).collect()
     owner = shardtable.fill(SHARDS, 211)
-    assert len(got) == len(awkward) and got[0].lang == "en"
+    assert len(got) == len(awkward) and (got[0].lang, got[0]._slot, got[0]["__SLOT"]) == ("en", 7, 8)
     assert all(r.shard == SHARDS[owner[r.slot]] for r in got)
     assert all(r.slot == shardtable.number_of("" if r.doc_id is None else str(r.doc_id)) % 211 for r in got)
     assert shardtable.place(docs, "text", SHARDS, 211).count() == len(awkward)

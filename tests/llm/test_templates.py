@@ -48,7 +48,7 @@ def test_every_offset_is_reached(spark, prose):
 
 
 def test_clean_rows_stay(spark, awkward, prose):
-    docs = documents(spark, awkward + [(900, ITEM)])
+    docs = documents(spark, awkward + [(900, ITEM)]).selectExpr("*", "1 AS _row", "2 AS item", "3 AS print")
     leaks = templates.find_leaks(docs, items(spark, [(1, ITEM)]))
     left = templates.without_leaks(docs, leaks)
     assert left.columns == docs.columns and left.count() == len(awkward) and left.where("doc_id = 900").count() == 0

@@ -172,6 +172,14 @@ def bucket_edges(sorted_prints: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(sorted_prints, bounds), [len(sorted_prints)]])
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``frame`` has it (in any case)."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def carried(columns: Sequence[str]) -> list[Column]:
     """Columns that travel with a text, under names that clash with nothing."""
     return [F.col(f"`{c}`").alias(f"_carry{i}") for i, c in enumerate(columns)]

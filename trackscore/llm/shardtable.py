@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import packed
+
 SLOTS = 2039  # prime, over a hundred slots for each of sixteen shards
 MAX_SLOTS = 1_000_003  # what may be broadcast: a few MB
 HEX_DIGITS = 15  # of SHA-256, so that the number fits a signed 64-bit integer
@@ -71,11 +73,12 @@ def place(rows: DataFrame, key: str, shards: Sequence[str], slots: int = SLOTS)
     """
     table = lookup_table(rows.sparkSession, shards, slots)
     kept = rows.drop(*({"slot", "shard"} - {key}))
-    slotted = kept.withColumn("_slot", slot_of(F.col(f"`{key}`"), slots))
-    named = table.select(F.col("slot").alias("_slot"), F.col("shard").alias("_shard"))
-    joined = slotted.join(F.broadcast(named), "_slot", "left")
+    at, owner = packed.unused(kept, "_slot"), packed.unused(kept, "_shard")
+    slotted = kept.withColumn(at, slot_of(F.col(f"`{key}`"), slots))
+    named = table.select(F.col("slot").alias(at), F.col("shard").alias(owner))
+    joined = slotted.join(F.broadcast(named), at, "left")
     columns = [F.col(f"`{c}`") for c in kept.columns if c not in ("slot", "shard")]
-    return joined.select(*columns, F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
+    return joined.select(*columns, F.col(at).alias("slot"), F.col(owner).alias("shard"))
 
 
 def moved_slots(spark: SparkSession, before: Sequence[str], after: Sequence[str], slots: int = SLOTS) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import scratch_path
+from . import packed
 
 WINDOW = 8
 LEAK = 13  # tokens in a row, or the whole item where it is shorter
@@ -148,6 +149,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
 
 def without_leaks(docs: DataFrame, leaks: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a leak; null keys and texts are kept."""
-    rows = leaks.select(F.col("row").alias("_row")).distinct()
-    marked = docs.withColumn("_row", F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")))
-    return marked.join(rows, "_row", "left_anti").drop("_row")
+    name = packed.unused(docs, "_row")
+    rows = leaks.select(F.col("row").alias(name)).distinct()
+    marked = docs.withColumn(name, F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")))
+    return marked.join(rows, name, "left_anti").drop(name)
