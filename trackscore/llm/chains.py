@@ -202,14 +202,16 @@ def fit(labelled: DataFrame, categories: Sequence[str], *, key: str = "doc_id",
     found = (rows.mapInArrow(_find_hits(chosen, names), "_id long, " + ", ".join(f"{n} int" for n in names)
                              + ", hits array<long>").orderBy("_id", "hits").collect())
     at = np.cumsum([0, *map(len, chosen)])
-    hits = np.zeros((len(found), at[-1]))
+    hits = np.zeros((len(found), at[-1]), np.uint8)
     for r, row in enumerate(found):
         hits[r, row["hits"]] = 1
     fold = np.array([hash_fold(row["_id"], folds) for row in found], int)
-    chain, earlier = Chain(list(categories)), np.zeros((len(found), 0))
+    labels = {n: np.array([row[n] for row in found], float) for n in names}
+    del found
+    chain, earlier = Chain(list(categories)), np.zeros((len(hits), 0))
     for i, name in enumerate(names):
-        y = np.array([row[name] for row in found], float)
-        x = np.hstack([np.ones((len(found), 1)), earlier, hits[:, at[i]:at[i + 1]]])
+        y = labels[name]
+        x = np.hstack([np.ones((len(hits), 1)), earlier, hits[:, at[i]:at[i + 1]]])
         if len(y) and 0 < y.sum() < len(y):
             weights = logistic(x, y)
             apart = np.zeros(len(y))
