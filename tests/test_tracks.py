@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import DIM, HOT, MISSING_FRAME, extractor
+from conftest import DIM, FRAMES, HOT, MISSING_FRAME, extractor
 from pyspark.sql import functions as F
 
 from trackscore.functions.boxes import filter_actions
@@ -142,7 +142,7 @@ def test_centered_clips(spark, plan):
 
 
 def test_weighted_fit_equals_the_fit_over_windows(featured, annotations):
-    rows = featured(missing=(0, 1, 2, 3))
+    rows = featured(missing=FRAMES[:4])
     filled = tracks.gap_filled_windows(rows, "feature", zeros(DIM), SEQ_LEN, 1)
     direct = scaling.fit_scaler(filled, "zscore", fit_on="all")
     named = tracks.gap_filled_windows(
