@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from . import packed
 
-MEMO = 150_000  # pre-tokens a task remembers
-STEP_BYTES = 10_000_000  # of texts whose new pre-tokens are merged together
+MEMO = 100_000  # pre-tokens a task remembers
+STEP_BYTES = 5_000_000  # of texts whose new pre-tokens are merged together
 
 
 def byte_symbols() -> list[str]:
