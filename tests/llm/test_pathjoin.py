@@ -55,6 +55,25 @@ def test_large_groups_of_near_copies(spark, prose):
     assert got == brute(rows, 5)
 
 
+def test_lone_bridges_between_large_groups(spark, prose):
+    """Pairs of groups of near copies; one pair of members, neither central, is the only link, at 0.81."""
+    rows = []
+    for g in range(8):
+        base = [f"g{g}x{i}" for i in range(200)]
+        other = [f"{w}new" if i in (20, 50, 80, 110, 140, 170) else w for i, w in enumerate(base)]
+        for side, words in enumerate((base, other)):
+            for i in range(150):
+                own = list(words)
+                own[(i * 7 + 3) % 200] = f"own{side}n{i}"
+                rows.append((g * 1000 + side * 300 + i, " ".join(own)))
+        near = [f"{w}new" if i == 20 else w for i, w in enumerate(base)]
+        far = [w if i == 170 else other[i] for i, w in enumerate(base)]
+        rows += [(g * 1000 + 700, " ".join(near)), (g * 1000 + 701, " ".join(far))]
+    assert 100 * len(shingles(rows[300][1], 5) & shingles(rows[301][1], 5)) >= 80 * len(shingles(rows[300][1], 5) | shingles(rows[301][1], 5))
+    got = found(pathjoin.near_duplicates(documents(spark, rows), width=5, leaf=8, depth=2))
+    assert {component for _, _, component, _ in got} == {g * 1000 for g in range(8)}
+
+
 def test_empty_table(spark, awkward):
     assert pathjoin.near_duplicates(documents(spark, awkward).where("false")).collect() == []
 

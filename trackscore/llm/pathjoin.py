@@ -9,11 +9,11 @@ threshold keeps one shared node per tree on average, and the trees together reac
 target recall.
 
 Nodes that stay large after ``DEPTH`` branchings hold groups of close copies. Such a node
-compares each member with its most central one first. Once those links are confirmed, the
-members of large nodes follow ``LONG_PATHS`` paths of ``LONG`` coordinates without branching.
-Nodes whose members are all in one component already say nothing new and end; in the
-others what lies outside the main component is compared with the rest. So a group of copies
-costs its members times the number of paths, and pairs only where components still differ.
+compares each member with its most central one first. Once those links are confirmed, nodes
+whose members are all in one component say nothing new and end. The members of the others
+meet by the rare ends of their full sets (prefix filter): what lies outside the main component
+of a shingle meets the rest, as far as sizes and what follows the shingle allow. That is
+exact, so no link between members of large nodes is missed, and costs pairs only where components still differ.
 
 Candidate links are confirmed on the full sets. Links within one component say nothing
 new, so confirmation runs twice: first on the links most likely to join groups, then on
@@ -36,8 +36,7 @@ COORDINATES = 64
 TREES = 12
 LEAF = 32
 DEPTH = 4
-LONG_PATHS = 384
-LONG = 20  # coordinates of a long path: it keeps 0.8 ** 20 of the pairs at 0.8, one in 87
+PART = 2000  # members of large nodes that meet at one shingle in one task
 SLACK = 0.175  # of the threshold, that summaries may stay below it
 
 SUMMARY = "_id long, n long, class binary, sig array<int>"
@@ -250,7 +249,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     roots = components(links)
     rest = _rooted(_rooted(pairs.select("u", "v"), roots, "u", "ru"), roots, "v", "rv").where("ru <> rv").select("u", "v")
     if crowded:
-        rest = rest.unionByName(_left_over(dense, roots, threshold, coordinates))
+        rest = rest.unionByName(_left_over(dense, roots, sets, percent))
     rest = rest.distinct().join(likely, ["u", "v"], "left_anti")
     links = links.unionByName(_confirmed(rest, sets, percent))
     # A repeated key ties the classes of its texts together.
@@ -265,33 +264,43 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return found.select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
-def _long_paths(members: DataFrame, coordinates: int) -> DataFrame:
-    """(key, node, n, root): the node that each member reaches on every long path.
+def _prefixes(dense: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, node, root, n, rest): the shingles by which members of large nodes can meet another component.
 
-    The coordinates of a path are an arithmetic progression, with a step coprime to their number.
+    Linked sets share a shingle among the first n - ceil(n * percent / 100) + 1 of either, in
+    any common order. Those of one component only come first, then the others, rare
+    ones first; ``rest`` counts what follows in the whole set.
     """
-    path = F.explode(F.sequence(F.lit(0), F.lit(LONG_PATHS - 1)))
-    drawn = members.select("node", "n", "root", "sig", path.alias("path")).select(
-        "*", _draw("path", F.lit("start"), below=coordinates).alias("start"),
-        (_draw("path", F.lit("step"), below=coordinates // 2) * 2 + 1).alias("step"))
-    values = F.transform(F.sequence(F.lit(0), F.lit(LONG - 1)), lambda j: F.element_at(
-        "sig", F.pmod(F.col("start") + j * F.col("step"), F.lit(coordinates)).cast("int") + 1))
-    return drawn.select(F.xxhash64("path", values).alias("key"), "node", "n", "root")
-
-
-def _left_over(dense: DataFrame, roots: DataFrame, threshold: float, coordinates: int) -> DataFrame:
-    """Candidates among members of large nodes that are still in different components."""
-    members = materialize(_rooted(dense.select("node", "n", "sig").dropDuplicates(["node"]), roots, "node", "root"))
-    reached = materialize(_long_paths(members, coordinates))
-    mixed = reached.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-    reached = materialize(reached.join(mixed.select("key"), "key", "left_semi"))
-    sizes = reached.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-    outside = reached.join(main, "key").where("root <> main").drop("main")
-    smaller, larger = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    met = reached.alias("a").join(outside.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root"))
-                                  & (smaller >= larger * F.lit(threshold) - F.lit(1e-6)))
-    pairs = met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-    left = pairs.join(members.select(F.col("node").alias("u"), F.col("sig").alias("su")), "u")
-    both = left.join(members.select(F.col("node").alias("v"), F.col("sig").alias("sv")), "v")
-    return both.where(_agreement("su", "sv") >= F.lit(int(coordinates * (threshold - SLACK)))).select("u", "v")
+    members = _rooted(dense.select("key", "node").distinct(), roots, "node", "root")
+    mixed = members.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    still = members.join(mixed.select("key"), "key", "left_semi").select("node", "root").distinct()
+    own = sets.join(still, "node").select("node", "root", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("own"),
+                                          F.explode("shingles").alias("shingle"))
+    uses = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("uses"), F.min("root").alias("least"), F.max("root").alias("most"))
+    shared = (own.join(uses.where("least <> most").select("shingle", "uses"), "shingle").groupBy("node", "own", "root", "n")
+              .agg(F.sort_array(F.collect_list(F.struct("uses", "shingle"))).alias("shared")))
+    needed = F.floor((F.col("n") * F.lit(percent) + F.lit(99)) / F.lit(100))
+    room = (F.size("shared") - needed + F.lit(1)).cast("int")
+    return (shared.withColumn("room", room).where("room > 0")
+            .select("node", "root", "n", F.size("shared").alias("of"), F.posexplode(F.slice("shared", F.lit(1), F.col("room"))).alias("at", "one"))
+            .select("one.shingle", "node", "root", "n", (F.col("of") - F.col("at") - F.lit(1)).alias("rest")))
+
+
+def _left_over(dense: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidates among members of large nodes that are still in different components; no link is left out."""
+    reached = materialize(_prefixes(dense, roots, sets, percent))
+    sizes = reached.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("size"))
+    main = (sizes.groupBy("shingle").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.sum("size").alias("size"),
+                                         F.count(F.lit(1)).alias("roots"))
+            .where("roots > 1").select("shingle", "main", F.ceil(F.col("size") / F.lit(PART)).cast("int").alias("parts")))
+    named = reached.join(main, "shingle")
+    # The members of a hot shingle are spread over parts, and those outside its main component visit all parts.
+    every = named.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    outside = named.where("root <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # The first shingle that two sets share is followed by all others that they share.
+    common = F.least("a.rest", "b.rest") + F.lit(1)
+    met = every.alias("a").join(outside.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.part") == F.col("b.part"))
+                                & (F.col("a.root") != F.col("b.root"))
+                                & (F.least("a.n", "b.n") * F.lit(100) >= F.greatest("a.n", "b.n") * F.lit(percent))
+                                & (common * F.lit(100 + percent) >= (F.col("a.n") + F.col("b.n")) * F.lit(percent)))
+    return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
