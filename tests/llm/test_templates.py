@@ -41,6 +41,17 @@ def test_slots_must_be_filled_consistently(spark, prose):
     assert {r.doc_id for r in templates.find_leaks(docs, items(spark, [(1, ITEM)])).collect()} == {1}
 
 
+def test_items_with_few_ordinary_words(spark, prose):
+    dense = "What is 12 + 7 + 9 + 30 + 4 + 8 + 15 + 2?"
+    stretch = f"{prose(6)} 1 2 3 4 5 6 7 8 9 {prose(6)}"
+    thin = "Add 1 2 3 4 5 6 and 7 8 then 9 10 11 12 13"
+    docs = documents(spark, [(i, f"{prose(i)}. {dense} {prose(4)}") for i in range(1, 9)]
+                     + [(100 + i, f"{prose(i)} {stretch} {prose(4)}") for i in range(1, 9)]
+                     + [(200 + i, f"{prose(i)}. {thin} {prose(4)}") for i in range(1, 9)] + [(300, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16")])
+    found = {(r.doc_id, r.item_id) for r in templates.find_leaks(docs, items(spark, [(1, dense), (2, stretch), (3, thin)])).collect()}
+    assert found == {(100 * k + i, k + 1) for k in range(3) for i in range(1, 9)}
+
+
 def test_every_offset_is_reached(spark, prose):
     item = prose(15)
     docs = documents(spark, [(i, f"{prose(i)} {item} {prose(3)}") for i in range(1, 25)])

@@ -4,9 +4,9 @@ Texts become token lists in which names, numbers and units are typed placeholder
 a benchmark item that was re-parameterised keeps its template. Windows of ``WINDOW``
 template tokens are hashed and joined: benchmark items give a window at every position,
 documents one at every few positions, close enough that no leak can slip between them.
-Documents with a shared window are then matched at every position; matches on one
-diagonal merge into runs, and a run is a leak if it is long enough and its slots are
-filled consistently: equal values of the item stand for equal values of the document, and
+A shared window names a diagonal of document and item, on which all tokens are compared.
+A run of equal template tokens is a leak if it is long enough and its slots are filled
+consistently: equal values of the item stand for equal values of the document, and
 different for different.
 
 DataFrame functions only. Benchmark windows are broadcast where their counted number is
@@ -25,7 +25,7 @@ from . import packed
 WINDOW = 8
 LEAK = 13  # tokens in a row, or the whole item where it is shorter
 STRIDE = 6
-LITERALS = 2  # ordinary words that a window must have
+LITERALS = 2  # ordinary words that a window needs to be met by its template; others are met by their own values
 BROADCAST_WINDOWS = 500_000
 
 # Unit words, recognised after a number.
@@ -60,6 +60,11 @@ def _is_slot(token: Column) -> Column:
     return token.startswith("<")
 
 
+def _template(filled: Column) -> Column:
+    """Tokens without the values of their slots."""
+    return F.transform(filled, lambda t: F.when(_is_slot(t), F.concat(F.substring(t, 1, 2), F.lit(">"))).otherwise(t))
+
+
 def _window(tokens: Column, at: Column, width: int) -> Column:
     return F.slice(tokens, at + 1, F.lit(width))
 
@@ -73,18 +78,44 @@ def _hash(tokens: Column) -> Column:
     return F.xxhash64(F.array_join(tokens, " "))
 
 
+def _literals(window: Column) -> Column:
+    return F.size(F.filter(window, lambda t: ~_is_slot(t)))
+
+
+def _print(filled: Column, at: Column, width: int) -> Column:
+    """Hash of a window: of its template if it has enough ordinary words, else of its own values."""
+    own = _window(filled, at, width)
+    return F.when(_literals(own) >= LITERALS, _hash(_template(own))).otherwise(_hash(own))
+
+
+def _sampled(filled: Column, width: int, stride: int) -> Column:
+    """Starts every ``stride`` tokens; where the window there has too few ordinary words, all starts around it too."""
+    last = F.size(filled) - width
+
+    def around(at: Column) -> Column:
+        thin = _literals(_window(filled, at, width)) < LITERALS
+        return F.when(thin, F.sequence(F.greatest(at - (stride - 1), F.lit(0)), F.least(at + (stride - 1), last))).otherwise(F.array(at))
+
+    return F.array_distinct(F.flatten(F.transform(_starts(filled, width, stride), around)))
+
+
 def benchmark_windows(items: DataFrame, width: int) -> DataFrame:
-    """(item, at, print) for every window of an item that has enough ordinary words."""
-    placed = items.select("item", "template", F.explode(_starts(F.col("template"), width, 1)).alias("at"))
-    own = _window(F.col("template"), F.col("at"), width)
-    literal = F.size(F.filter(own, lambda t: ~_is_slot(t)))
-    return placed.where(literal >= LITERALS).select("item", "at", _hash(own).alias("print"))
+    """(item, at, print) for every window of an item."""
+    placed = items.select("item", "filled", F.explode(_starts(F.col("filled"), width, 1)).alias("at"))
+    return placed.select("item", "at", _print(F.col("filled"), F.col("at"), width).alias("print"))
 
 
 def _bounded(windows: DataFrame, count: int) -> DataFrame:
     return F.broadcast(windows) if count <= BROADCAST_WINDOWS else windows
 
 
+def _stretches(same: Column) -> Column:
+    """Maximal stretches (at, n) of true in an array."""
+    breaks = F.concat(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), F.size(same) - 1), lambda i: ~F.get(same, i)), F.array(F.size(same)))
+    return F.zip_with(F.slice(breaks, F.lit(1), F.size(breaks) - 1), F.slice(breaks, F.lit(2), F.size(breaks) - 1),
+                      lambda a, z: F.struct((a + 1).alias("at"), (z - a - 1).alias("n")))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text",
                item_key: str = "item_id", item_text: str = "text", width: int = WINDOW, leak: int = LEAK) -> DataFrame:
     """(key, row, item_id, start, n_tokens, exact): leaked runs, one row per document, item and run.
@@ -92,26 +123,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
     ``start`` counts template tokens of the document, ``n_tokens`` is the run's length,
     ``exact`` says that all slots have the item's own values, and ``row`` identifies the
     row (key and text) for joins. A leak is a run of ``leak`` template tokens, or of a
-    whole item that is shorter. Items of fewer than ``width`` tokens, or null, are too short
-    to tell and are not searched; neither are windows with fewer than two ordinary words.
+    whole item that is shorter, whose slots are filled consistently. Runs are
+    found by a window with two ordinary words, or by one with the item's own values. Items
+    of fewer than ``width`` tokens, or null, are too short to tell and are not searched.
 
     Null and empty texts hold no leak. Rows with a null key are searched like others.
     Repeated items and repeated rows count once. Other columns are not used. An empty table on either side gives an empty result.
     """
-    items = benchmark.select(F.col(f"`{item_key}`").alias("item"), template_tokens(F.col(f"`{item_text}`")).alias("template"),
-                             template_tokens(F.col(f"`{item_text}`"), True).alias("filled"))
-    items = items.where(F.size("template") >= width).distinct()
+    items = benchmark.select(F.col(f"`{item_key}`").alias("item"), template_tokens(F.col(f"`{item_text}`"), True).alias("filled"))
+    items = items.where(F.size("filled") >= width).distinct()
     path = scratch_path(docs.sparkSession, "templates")
     items.withColumn("item_row", F.xxhash64("item", "filled")).write.parquet(path)
     items = docs.sparkSession.read.parquet(path)
     windows = benchmark_windows(items.drop("item").withColumnRenamed("item_row", "item"), width)
-    count, shortest = windows.count(), items.agg(F.min(F.size("template"))).first()[0]
+    count, shortest = windows.count(), items.agg(F.min(F.size("filled"))).first()[0]
     stride = max(1, min(STRIDE, min(leak, shortest or leak) - width + 1))
 
     rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
     rows = rows.withColumn("_row", F.xxhash64("_key", "_text"))
-    tokens = rows.select("_row", template_tokens(F.col("_text")).alias("t"))
-    prints = F.transform(_starts(F.col("t"), width, stride), lambda i: _hash(_window(F.col("t"), i, width)))
+    tokens = rows.select("_row", template_tokens(F.col("_text"), True).alias("filled"))
+    prints = F.transform(_sampled(F.col("filled"), width, stride), lambda i: _print(F.col("filled"), i, width))
     known = windows.select("print").distinct()
     near = tokens.select("_row", F.explode(prints).alias("print")).join(_bounded(known, count), "print").select("_row").distinct()
     path = scratch_path(docs.sparkSession, "suspects")
@@ -120,31 +151,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
 
     close = rows.join(suspects, "_row", "left_semi").dropDuplicates(["_row"])
     path = scratch_path(docs.sparkSession, "suspect-texts")
-    close.select("_row", "_key", template_tokens(F.col("_text")).alias("t"),
-                 template_tokens(F.col("_text"), True).alias("filled")).write.parquet(path)
+    close.select("_row", "_key", template_tokens(F.col("_text"), True).alias("doc_tokens")).write.parquet(path)
     close = docs.sparkSession.read.parquet(path)
-    every = F.transform(_starts(F.col("t"), width, 1), lambda i: _hash(_window(F.col("t"), i, width)))
-    met = (close.select("_row", F.posexplode(every).alias("from", "print"))
-           .join(_bounded(windows, count), "print").select("_row", "item", "from", "at"))
-    diagonal = Window.partitionBy("_row", "item", "offset").orderBy("from")
-    offset = met.withColumn("offset", F.col("from") - F.col("at"))
-    runs = (offset.withColumn("run", F.col("from") - F.row_number().over(diagonal))
-            .groupBy("_row", "item", "offset", "run")
-            .agg(F.min("from").alias("start"), F.min("at").alias("item_start"),
-                 (F.count(F.lit(1)) + F.lit(width - 1)).cast("int").alias("n_tokens")))
-    texts = close.select("_row", "_key", F.col("filled").alias("doc_tokens"))
+    places = F.transform(_sampled(F.col("doc_tokens"), width, stride),
+                         lambda i: F.struct(i.alias("from"), _print(F.col("doc_tokens"), i, width).alias("print")))
+    met = (close.select("_row", F.inline(places)).join(_bounded(windows, count), "print")
+           .select("_row", "item", (F.col("from") - F.col("at")).alias("offset")).distinct())
+    # Every diagonal that holds a leak has a met window; on it all tokens are compared.
     named = items.select(F.col("item_row").alias("item"), F.col("item").alias("item_id"), F.col("filled").alias("item_tokens"))
-    long_enough = F.col("n_tokens") >= F.least(F.lit(leak), F.size("item_tokens"))
-    both = runs.join(named, "item").where(long_enough).join(texts, "_row")
-    aligned = F.arrays_zip(
-        F.slice("doc_tokens", F.col("start") + 1, F.col("n_tokens")).alias("d"),
-        F.slice("item_tokens", F.col("item_start") + 1, F.col("n_tokens")).alias("i"))
-    slots = both.withColumn("slots", F.filter(aligned, lambda x: _is_slot(x["i"])))
+    both = met.join(named, "item").join(close, "_row")
+    first, last = F.greatest("offset", F.lit(0)), F.least(F.size("doc_tokens"), F.size("item_tokens") + F.col("offset"))
+    both = both.select("_row", "_key", "item_id", first.alias("first"), F.least(F.lit(leak), F.size("item_tokens")).alias("needed"),
+                       F.slice("doc_tokens", first + 1, last - first).alias("d"),
+                       F.slice("item_tokens", first - F.col("offset") + 1, last - first).alias("i"))
+    alike = both.withColumn("run", F.explode(_stretches(F.zip_with(_template(F.col("d")), _template(F.col("i")), lambda d, i: d == i))))
+    alike = alike.where("run.n >= needed").select("_row", "_key", "item_id", "needed", (F.col("first") + F.col("run.at")).alias("first"),
+                                                  F.slice("d", F.col("run.at") + 1, F.col("run.n")).alias("d"),
+                                                  F.slice("i", F.col("run.at") + 1, F.col("run.n")).alias("i"))
+    slots = alike.withColumn("slots", F.filter(F.arrays_zip("d", "i"), lambda x: _is_slot(x["i"])))
     pairs = F.size(F.array_distinct("slots"))
     consistent = (pairs == F.size(F.array_distinct(F.col("slots.d")))) & (pairs == F.size(F.array_distinct(F.col("slots.i"))))
     return slots.where(consistent).select(
-        F.col("_key").alias(key), F.col("_row").alias("row"), "item_id", "start", "n_tokens",
-        F.forall("slots", lambda x: x["d"] == x["i"]).alias("exact"))
+        F.col("_key").alias(key), F.col("_row").alias("row"), "item_id", F.col("first").alias("start"),
+        F.size("d").alias("n_tokens"), F.forall("slots", lambda x: x["d"] == x["i"]).alias("exact"))
 
 
 def without_leaks(docs: DataFrame, leaks: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
