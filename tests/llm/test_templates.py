@@ -41,6 +41,14 @@ def test_slots_must_be_filled_consistently(spark, prose):
     assert {r.doc_id for r in templates.find_leaks(docs, items(spark, [(1, ITEM)])).collect()} == {1}
 
 
+def test_copied_stretch_of_an_inconsistent_run(spark, prose):
+    """A copy that changes one repeated number at the end; the run goes on over it."""
+    changed = ITEM.replace("carried 12 kg", "carried 13 kg")
+    docs = documents(spark, [(1, f"{prose(9)} {changed} {prose(9)}"), (2, BROKEN)])
+    leaks = templates.find_leaks(docs, items(spark, [(1, ITEM)])).collect()
+    assert {r.doc_id for r in leaks} == {1} and all(r.exact and r.n_tokens >= templates.LEAK for r in leaks)
+
+
 def test_items_with_few_ordinary_words(spark, prose):
     dense = "What is 12 + 7 + 9 + 30 + 4 + 8 + 15 + 2?"
     stretch = f"{prose(6)} 1 2 3 4 5 6 7 8 9 {prose(6)}"

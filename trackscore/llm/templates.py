@@ -7,7 +7,7 @@ documents one at every few positions, close enough that no leak can slip between
 A shared window names a diagonal of document and item, on which all tokens are compared.
 A run of equal template tokens is a leak if it is long enough and its slots are filled
 consistently: equal values of the item stand for equal values of the document, and
-different for different.
+different for different. In other runs, long enough copies word for word are leaks.
 
 DataFrame functions only. Benchmark windows are broadcast where their counted number is
 at most ``BROADCAST_WINDOWS``; beyond that Spark joins them by its own choice.
@@ -123,7 +123,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
     ``start`` counts template tokens of the document, ``n_tokens`` is the run's length,
     ``exact`` says that all slots have the item's own values, and ``row`` identifies the
     row (key and text) for joins. A leak is a run of ``leak`` template tokens, or of a
-    whole item that is shorter, whose slots are filled consistently. Runs are
+    whole item that is shorter, whose slots are filled consistently; where a run is not, its
+    stretches of ``leak`` tokens (or the item) that have the item's own values are leaks. Runs are
     found by a window with two ordinary words, or by one with the item's own values. Items
     of fewer than ``width`` tokens, or null, are too short to tell and are not searched.
 
@@ -171,9 +172,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
     slots = alike.withColumn("slots", F.filter(F.arrays_zip("d", "i"), lambda x: _is_slot(x["i"])))
     pairs = F.size(F.array_distinct("slots"))
     consistent = (pairs == F.size(F.array_distinct(F.col("slots.d")))) & (pairs == F.size(F.array_distinct(F.col("slots.i"))))
-    return slots.where(consistent).select(
-        F.col("_key").alias(key), F.col("_row").alias("row"), "item_id", F.col("first").alias("start"),
-        F.size("d").alias("n_tokens"), F.forall("slots", lambda x: x["d"] == x["i"]).alias("exact"))
+    copied = _stretches(F.zip_with("d", "i", lambda d, i: d == i))
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.size("d").alias("n")))
+    runs = slots.withColumn("leak", F.explode(F.when(consistent, whole).otherwise(copied))).where("leak.n >= needed")
+    return runs.select(
+        F.col("_key").alias(key), F.col("_row").alias("row"), "item_id", (F.col("first") + F.col("leak.at")).alias("start"),
+        F.col("leak.n").alias("n_tokens"), (~consistent | F.forall("slots", lambda x: x["d"] == x["i"])).alias("exact"))
 
 
 def without_leaks(docs: DataFrame, leaks: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
