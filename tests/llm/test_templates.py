@@ -60,6 +60,17 @@ def test_items_with_few_ordinary_words(spark, prose):
     assert found == {(100 * k + i, k + 1) for k in range(3) for i in range(1, 9)}
 
 
+def test_names_anywhere_and_other_layout(spark, prose):
+    tom = "Tom has 3 apples. Tom buys 5 more red apples. Tom then eats 2 of them. How many apples does Tom have?"
+    road = "they went by train from Rome to London and from there on to Bristol again"
+    docs = documents(spark, [
+        (1, f"{prose(9)}. {tom.replace('Tom', 'Anna').replace('3', '8').replace('5', '14').replace('2', '6')} {prose(5)}"),
+        (2, f"{prose(9)} {road.replace('to London', chr(10).join(('to', 'London')))} {prose(5)}"),
+        (3, f"{prose(9)} “{road.replace('from Rome', 'from  Rome')}” {prose(5)}"), (4, tom.replace("does Tom", "does Anna"))])
+    leaks = templates.find_leaks(docs, items(spark, [(1, tom), (2, road)])).collect()
+    assert {(r.doc_id, r.item_id) for r in leaks if r.doc_id < 4} == {(1, 1), (2, 2), (3, 2)}
+
+
 def test_every_offset_is_reached(spark, prose):
     item = prose(15)
     docs = documents(spark, [(i, f"{prose(i)} {item} {prose(3)}") for i in range(1, 25)])

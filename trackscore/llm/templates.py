@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become token lists in which names, numbers and units are typed placeholders, so
+White space collapses. Texts become token lists in which names, numbers and units are typed placeholders, so
 a benchmark item that was re-parameterised keeps its template. Windows of ``WINDOW``
 template tokens are hashed and joined: benchmark items give a window at every position,
 documents one at every few positions, close enough that no leak can slip between them.
@@ -39,23 +39,31 @@ UNITS = (
 
 # A look-ahead comes first where one can reject most positions cheaply.
 NAME = r"(?=\p{Lu})(?<=[^.!?:\s>][)\]\"',;]?[ ])\p{Lu}\p{L}+"
+CAPITALISED = r"(?<![\p{L}\p{N}])\p{Lu}\p{L}+"
 NUMBER = r"(?=[+\-$€£\p{Nd}])(?<![\p{L}\p{N}<])[+-]?[$€£]?\p{Nd}+(?:[.,:/]\p{Nd}+)*%?(?![\p{N}])"
 UNIT = r"(?i)(<n(?::[^>]*)?>[ ]?)(%s)(?![\p{L}\p{N}])" % "|".join(UNITS)
 TOKEN = r"<[pnu](?::[^>]*)?>|[\p{L}\p{N}]+"
 
 
-def template_tokens(text: Column, values: bool = False) -> Column:
+def template_tokens(text: Column, values: bool = False, name: str = NAME) -> Column:
     """Tokens of a text; slots are <p>, <n> and <u>, or <p:value> and so on with ``values``.
 
-    Both forms have the same number of tokens. Angle brackets of the text count as spaces.
+    Both forms have the same number of tokens. Angle brackets of the text count as spaces, and
+    runs of white space as one. Names are capitalised words inside a sentence, or what ``name`` matches.
     """
-    plain = F.translate(F.coalesce(text, F.lit("")), "<>", "  ")
-    plain = F.regexp_replace(plain, NAME, "<p:$0>" if values else "<p>")
+    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "<>", "  "), r"\s+", " ")
+    plain = F.regexp_replace(plain, name, "<p:$0>" if values else "<p>")
     plain = F.regexp_replace(plain, NUMBER, "<n:$0>" if values else "<n>")
     plain = F.regexp_replace(plain, UNIT, "$1<u:$2>" if values else "$1<u>")
     return F.regexp_extract_all(F.lower(plain), F.lit(TOKEN), F.lit(0))
 
 
+def _readings(text: Column) -> Column:
+    """(reading, filled): names inside sentences only, and every capitalised word, wherever it stands."""
+    return F.inline(F.array(*(F.struct(F.lit(i).alias("reading"), template_tokens(text, True, name).alias("filled"))
+                              for i, name in enumerate((NAME, CAPITALISED)))))
+
+
 def _is_slot(token: Column) -> Column:
     return token.startswith("<")
 
@@ -75,7 +83,7 @@ def _starts(tokens: Column, width: int, stride: int) -> Column:
 
 
 def _hash(tokens: Column) -> Column:
-    return F.xxhash64(F.array_join(tokens, " "))
+    return F.xxhash64("reading", F.array_join(tokens, " "))
 
 
 def _literals(window: Column) -> Column:
@@ -100,8 +108,8 @@ def _sampled(filled: Column, width: int, stride: int) -> Column:
 
 
 def benchmark_windows(items: DataFrame, width: int) -> DataFrame:
-    """(item, at, print) for every window of an item."""
-    placed = items.select("item", "filled", F.explode(_starts(F.col("filled"), width, 1)).alias("at"))
+    """(item, at, print) for every window of an item in one reading."""
+    placed = items.select("item", "reading", "filled", F.explode(_starts(F.col("filled"), width, 1)).alias("at"))
     return placed.select("item", "at", _print(F.col("filled"), F.col("at"), width).alias("print"))
 
 
@@ -118,23 +126,24 @@ def _stretches(same: Column) -> Column:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text",
                item_key: str = "item_id", item_text: str = "text", width: int = WINDOW, leak: int = LEAK) -> DataFrame:
-    """(key, row, item_id, start, n_tokens, exact): leaked runs, one row per document, item and run.
+    """(key, row, item_id, start, n_tokens, exact): leaked runs, one row per document, item and start.
 
     ``start`` counts template tokens of the document, ``n_tokens`` is the run's length,
     ``exact`` says that all slots have the item's own values, and ``row`` identifies the
     row (key and text) for joins. A leak is a run of ``leak`` template tokens, or of a
     whole item that is shorter, whose slots are filled consistently; where a run is not, its
     stretches of ``leak`` tokens (or the item) that have the item's own values are leaks. Runs are
-    found by a window with two ordinary words, or by one with the item's own values. Items
+    found by a window with two ordinary words, or by one with the item's own values. Texts are read
+    twice, with names inside sentences only and with every capitalised word as a name. Items
     of fewer than ``width`` tokens, or null, are too short to tell and are not searched.
 
     Null and empty texts hold no leak. Rows with a null key are searched like others.
     Repeated items and repeated rows count once. Other columns are not used. An empty table on either side gives an empty result.
     """
-    items = benchmark.select(F.col(f"`{item_key}`").alias("item"), template_tokens(F.col(f"`{item_text}`"), True).alias("filled"))
+    items = benchmark.select(F.col(f"`{item_key}`").alias("item"), _readings(F.col(f"`{item_text}`")))
     items = items.where(F.size("filled") >= width).distinct()
     path = scratch_path(docs.sparkSession, "templates")
-    items.withColumn("item_row", F.xxhash64("item", "filled")).write.parquet(path)
+    items.withColumn("item_row", F.xxhash64("item", "reading", "filled")).write.parquet(path)
     items = docs.sparkSession.read.parquet(path)
     windows = benchmark_windows(items.drop("item").withColumnRenamed("item_row", "item"), width)
     count, shortest = windows.count(), items.agg(F.min(F.size("filled"))).first()[0]
@@ -142,7 +151,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
 
     rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
     rows = rows.withColumn("_row", F.xxhash64("_key", "_text"))
-    tokens = rows.select("_row", template_tokens(F.col("_text"), True).alias("filled"))
+    tokens = rows.select("_row", _readings(F.col("_text")))
     prints = F.transform(_sampled(F.col("filled"), width, stride), lambda i: _print(F.col("filled"), i, width))
     known = windows.select("print").distinct()
     near = tokens.select("_row", F.explode(prints).alias("print")).join(_bounded(known, count), "print").select("_row").distinct()
@@ -152,15 +161,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
 
     close = rows.join(suspects, "_row", "left_semi").dropDuplicates(["_row"])
     path = scratch_path(docs.sparkSession, "suspect-texts")
-    close.select("_row", "_key", template_tokens(F.col("_text"), True).alias("doc_tokens")).write.parquet(path)
+    close.select("_row", "_key", _readings(F.col("_text"))).withColumnRenamed("filled", "doc_tokens").write.parquet(path)
     close = docs.sparkSession.read.parquet(path)
     places = F.transform(_sampled(F.col("doc_tokens"), width, stride),
                          lambda i: F.struct(i.alias("from"), _print(F.col("doc_tokens"), i, width).alias("print")))
-    met = (close.select("_row", F.inline(places)).join(_bounded(windows, count), "print")
-           .select("_row", "item", (F.col("from") - F.col("at")).alias("offset")).distinct())
+    met = (close.select("_row", "reading", F.inline(places)).join(_bounded(windows, count), "print")
+           .select("_row", "reading", "item", (F.col("from") - F.col("at")).alias("offset")).distinct())
     # Every diagonal that holds a leak has a met window; on it all tokens are compared.
     named = items.select(F.col("item_row").alias("item"), F.col("item").alias("item_id"), F.col("filled").alias("item_tokens"))
-    both = met.join(named, "item").join(close, "_row")
+    both = met.join(named, "item").join(close, ["_row", "reading"])
     first, last = F.greatest("offset", F.lit(0)), F.least(F.size("doc_tokens"), F.size("item_tokens") + F.col("offset"))
     both = both.select("_row", "_key", "item_id", first.alias("first"), F.least(F.lit(leak), F.size("item_tokens")).alias("needed"),
                        F.slice("doc_tokens", first + 1, last - first).alias("d"),
@@ -175,9 +184,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
     copied = _stretches(F.zip_with("d", "i", lambda d, i: d == i))
     whole = F.array(F.struct(F.lit(0).alias("at"), F.size("d").alias("n")))
     runs = slots.withColumn("leak", F.explode(F.when(consistent, whole).otherwise(copied))).where("leak.n >= needed")
-    return runs.select(
+    found = runs.select(
         F.col("_key").alias(key), F.col("_row").alias("row"), "item_id", (F.col("first") + F.col("leak.at")).alias("start"),
         F.col("leak.n").alias("n_tokens"), (~consistent | F.forall("slots", lambda x: x["d"] == x["i"])).alias("exact"))
+    longest = found.groupBy(key, "row", "item_id", "start").agg(F.max(F.struct("n_tokens", "exact")).alias("run"))
+    return longest.select(key, "row", "item_id", "start", "run.n_tokens", "run.exact")
 
 
 def without_leaks(docs: DataFrame, leaks: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
