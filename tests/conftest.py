@@ -1,6 +1,5 @@
 """One session and the small annotation fixture used across tests."""
 
-import hashlib
 import os
 import sys
 
@@ -9,16 +8,13 @@ import pandas as pd
 import pytest
 
 HERE = os.path.dirname(os.path.abspath(__file__))
-sys.path.insert(0, os.path.dirname(HERE))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 # Workers import the helpers of the test modules.
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HERE, os.environ.get("PYTHONPATH")]))
 
+from track_help import FRAMES  # noqa: E402
 from trackscore.session import build_session  # noqa: E402
 
-DIM = 5
-FRAMES = (10, 11, 13, 14, 16, 17, 18)
-MISSING_FRAME = 11
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -33,12 +29,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def extractor(key):
-    """A vector drawn from the digest of the key, so any change of the key changes it."""
-    digest = hashlib.sha256(key.encode()).digest()
-    return np.frombuffer(digest[:DIM], dtype=np.uint8).astype(np.float32) / 16
-
-
 @pytest.fixture
 def annotations(spark):
     """One track that drifts down the picture while its action changes; some frames are skipped."""
@@ -64,6 +54,3 @@ def skewed(spark):
     frame = pd.DataFrame(rows, columns=["video_id", "timestamp", "row_ord", "action_id", "valid", "score"])
     frame["target_id"] = 0
     return spark.createDataFrame(frame).repartition(7).persist(), frame
-
-
-HOT = {"hot_rows": 50, "chunk_rows": 32}

@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import HOT
+from track_help import HOT
 from pyspark.sql import functions as F
 
 from trackscore.functions import corruptions as fc

@@ -5,7 +5,7 @@ import os
 
 import numpy as np
 import pytest
-from conftest import FRAMES, extractor
+from track_help import FRAMES, extractor
 from pyspark.sql import functions as F
 
 from trackscore.config import TrackConfig

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import DIM, FRAMES, MISSING_FRAME, extractor
+from track_help import DIM, FRAMES, MISSING_FRAME, extractor
 from pyspark.sql import functions as F
 
 from trackscore.functions.keys import (
