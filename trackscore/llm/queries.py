@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chains, htmlblocks, pairbpe, pathjoin, shardtable, suffixes, templates, topk, warc, windows
+from . import (chains, htmlblocks, infill, pairbpe, pathjoin, projections, shardtable, suffixes, templates, topk, warc,
+               windows)
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 
@@ -214,6 +215,50 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIG
 FROM w LEFT JOIN gone USING (r)
 """
 
+
+def op12_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors found for every hundredth vector, against all others."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return projections.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and digests of every document rearranged for infilling, and restored."""
+    moved = infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return infill.restore(moved).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), c AS (
+  SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+        OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (
+  SELECT *, array_to_string(u[1:least(a, b)], '') AS prefix, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS middle,
+    array_to_string(u[greatest(a, b) + 1:], '') AS suffix FROM c
+), o AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM p
+), m AS (
+  SELECT *, strpos(output, '<P>') AS ip, strpos(output, '<S>') AS is_, strpos(output, '<M>') AS im FROM o
+)
+SELECT doc_id, CAST(len(u) AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(output) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN output
+    WHEN 'psm' THEN substr(output, ip + 3, is_ - ip - 3) || substr(output, im + 3) || substr(output, is_ + 3, im - is_ - 3)
+    ELSE substr(output, ip + 3, im - ip - 3) || substr(output, im + 3) || substr(output, is_ + 3, ip - is_ - 3)
+    END) AS restored_sha256
+FROM m
+"""
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_near_dedup": op2_near_dedup,
@@ -225,6 +270,8 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_ann": op12_ann,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES = {
     "op2_near_dedup": OP2_SQL,
@@ -232,4 +279,5 @@ ORACLES = {
     "op7_top_k": OP7_SQL,
     "op8_warc": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
