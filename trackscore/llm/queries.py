@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import (chains, htmlblocks, infill, pairbpe, pathjoin, projections, shardtable, suffixes, templates, topk, warc,
-               windows)
+from . import (chains, htmlblocks, infill, pairbpe, pathjoin, prefixtrie, projections, shardtable, suffixes, templates, topk,
+               warc, windows)
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 
@@ -216,6 +216,43 @@ FROM w LEFT JOIN gone USING (r)
 """
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of the conversations, each rebuilt on the head of its family's first."""
+    turns = prefixtrie.turn_table(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return prefixtrie.prefix_trie(prefixtrie.rebuilt(turns))
+
+
+OP11_SQL = """
+WITH RECURSIVE t AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT *, xor(list_reduce(list_transform(range(length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CASE WHEN i = 0 THEN 4294967295
+      ELSE ascii(substr(CAST(conv_id AS VARCHAR), i, 1))::BIGINT END),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))),
+    4294967295) % 9 AS h FROM t
+), r AS (
+  SELECT h.conv_id, coalesce(b.own, [])[1:h.h] || h.own[h.h + 1:] AS turns
+  FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 5
+), m AS (
+  SELECT conv_id, d AS depth, turns[1:d] AS p, len(turns) = d AS ends FROM r, unnest(range(len(turns) + 1)) u(d)
+), n AS (
+  SELECT p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(array_to_string(list(conv_id ORDER BY conv_id) FILTER (ends), ','), '') AS ids FROM m GROUP BY p, depth
+), c AS (
+  SELECT p[1:depth - 1] AS p, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL
+), v AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (p, depth)
+), up AS (
+  SELECT p[1:k] AS p, k AS depth, count(*) FILTER (n_children = 0) AS n_leaves,
+    sum((n_convs - 1) * CASE WHEN depth > 0 THEN strlen(p[depth].t) ELSE 0 END) AS saved FROM v, unnest(range(depth + 1)) u(k) GROUP BY ALL
+)
+SELECT v.conv_id, v.depth, a.conv_id AS parent_conv_id, v.n_convs, v.n_children, up.n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(v.ids) AS ends_sha256
+FROM v JOIN up USING (p, depth) LEFT JOIN n a ON a.p = v.p[1:v.depth - 1] AND a.depth = v.depth - 1
+"""
+
+
 def op12_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest vectors found for every hundredth vector, against all others."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -270,6 +307,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_ann": op12_ann,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
@@ -279,5 +317,6 @@ ORACLES = {
     "op7_top_k": OP7_SQL,
     "op8_warc": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op13_fill_in_middle": OP13_SQL,
 }
