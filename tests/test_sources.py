@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+from datetime import timedelta
 
 import numpy as np
 import pytest
@@ -16,7 +17,7 @@ from trackscore.operators import events as oe
 from trackscore.operators import fingerprint, ledger, splits, store
 from trackscore.schema import HISTORY_COLUMNS
 from trackscore.sources import files, tables
-from trackscore.streaming.events import STORE_PROVIDER, stream_events
+from trackscore.streaming.events import STORE_PROVIDER, stream_events, tick
 from trackscore.streaming.features import start_feature_stream
 
 # A folder with train/ and val/ label files, if there is a real corpus to check.
@@ -263,6 +264,44 @@ def test_stream_events_agree_with_batch(spark, tmp_path):
     assert got == want and got
 
 
+def test_silent_tracks_close_over_restarts(spark, tmp_path):
+    """Open events close by timers; rows come out of order, in several triggers and runs, some without a score."""
+    rng = np.random.default_rng(3)
+    rows, n = [], 0
+    for video in ("a", "b", "c"):
+        at = 0
+        for _ in range(150):
+            at += int(rng.choice([1, 2, 40], p=[0.6, 0.3, 0.1]))
+            score = float(rng.choice([0.1, 0.5, 0.9, np.nan], p=[0.1, 0.3, 0.55, 0.05]))
+            rows.append((video, 0, float(at), n, None if rng.random() < 0.05 else score))
+            n += 1
+    schema = "video_id string, target_id int, timestamp double, row_ord long, score double"
+    df = spark.createDataFrame(rows, schema).withColumn("event_time", F.timestamp_seconds("timestamp"))
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE_PROVIDER)
+
+    def run():
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        stream_events(stream, 0.6, 0.3, 3.0, "60 seconds", idle=20.0, slot=7.0).writeStream.format("parquet").option(
+            "path", out).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+
+    for low, high in ((0, 120), (120, 400), (400, 10_000)):
+        part = df.where(F.col("timestamp").between(low, high - 1))
+        # Neighbouring rows change places by less than the delay.
+        part.orderBy(F.col("timestamp") + F.col("row_ord") % 30).coalesce(1).write.mode("append").parquet(source)
+        run()
+    latest = df.agg(F.max("event_time")).first()[0]
+    end = [(None, None, None, None, None, tick(latest, timedelta(seconds=60), 20.0, 7.0))]
+    spark.createDataFrame(end, df.schema).write.mode("append").parquet(source)
+    run()
+    columns = ("video_id", "t_start", "t_end", F.nullif("peak", F.lit(float("nan"))).alias("peak"))
+    batch = oe.extract_events(df.drop("event_time"), 0.6, 0.3, 3.0, idle=20.0)
+    want = sorted(batch.select(*columns).collect(), key=str)
+    assert sorted(spark.read.parquet(out).select(*columns).collect(), key=str) == want
+    whole = oe.extract_events(df.drop("event_time"), 0.6, 0.3, 3.0)
+    assert len(want) > 10 and sorted(whole.select(*columns).collect(), key=str) != want
+
+
 def test_frame_path_and_preview(spark, annotations):
     row = files.with_frame_path(annotations, "/frames/").orderBy("row_ord").first()
     assert row.path == "/frames/cam7/img_00010.jpg"

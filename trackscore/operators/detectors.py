@@ -18,6 +18,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spectral import RANK_TOLERANCE, eigen, spectral_inverse
 from ..functions.vectors import row_function, squared_distance, to_matrix
 from .ordering import Ordered
 from .scaling import EPS, dimension_stats
@@ -126,8 +127,8 @@ def diagonal_score(mean, variance, column: str | Column = "feature") -> Column:
 
 
 def mahalanobis_score(mean, covariance, column: str | Column = "feature") -> Column:
-    """Squared Mahalanobis distance; a singular covariance uses its pseudo-inverse."""
-    precision = np.linalg.pinv(covariance, hermitian=True)
+    """Squared Mahalanobis distance; of a singular covariance the directions without variance are left out."""
+    precision = spectral_inverse(covariance)
 
     def score(x: np.ndarray) -> np.ndarray:
         centred = x - mean
@@ -137,15 +138,25 @@ def mahalanobis_score(mean, covariance, column: str | Column = "feature") -> Col
 
 
 def condition_numbers(spark, state: Gaussian) -> DataFrame:
-    """Condition number of each covariance variant, one ledger row each."""
+    """Spectrum of each covariance variant, one ledger row each.
+
+    ``rank`` counts the eigenvalues above the rank tolerance, ``condition`` is the ratio of
+    the largest to the smallest of all (NULL if the matrix is singular), ``kept_condition``
+    that of the counted ones.
+    """
     variants = {
         "diagonal": np.diag(np.diag(state.covariance)),
         "full": state.covariance,
         "ridge": ridge(state),
         "shrunk": shrunk(state)[0],
     }
-    rows = [(name, float(np.linalg.cond(matrix))) for name, matrix in variants.items()]
-    return spark.createDataFrame(rows, "variant string, condition double")
+    rows = []
+    for name, matrix in variants.items():
+        values, _ = eigen(matrix)
+        kept = values[values > RANK_TOLERANCE * max(values[0], 0.0)]
+        ratio = float(kept[0] / kept[-1]) if len(kept) else None
+        rows.append((name, len(kept), ratio if len(kept) == len(values) else None, ratio))
+    return spark.createDataFrame(rows, "variant string, rank int, condition double, kept_condition double")
 
 
 @dataclass(frozen=True)
@@ -156,9 +167,8 @@ class Components:
 
 
 def principal_components(state: Gaussian, k: int) -> Components:
-    values, vectors = np.linalg.eigh(state.covariance)
-    order = np.argsort(values)[::-1][:k]
-    return Components(state.mean, vectors[:, order], values[order])
+    values, vectors = eigen(state.covariance)
+    return Components(state.mean, vectors[:k].T, values[:k])
 
 
 def pca_euclidean_score(pca: Components, column: str | Column = "feature") -> Column:

@@ -12,7 +12,8 @@ from .tracks import tracks
 
 
 def extract_events(
-    scored: DataFrame, hi: float, lo: float, min_duration: float, keys: list[str] | None = None, **plan
+    scored: DataFrame, hi: float, lo: float, min_duration: float, keys: list[str] | None = None,
+    idle: float | None = None, clock: str = "timestamp", **plan
 ) -> DataFrame:
     """Events with hysteresis.
 
@@ -20,18 +21,27 @@ def extract_events(
     ``min_duration`` and closes before the first score < lo. Since hi >= lo,
     such runs lie inside the stretches without a score < lo: both are runs
     between breaks, numbered by two running counts and folded by aggregation.
+    With ``idle`` an event also closes before a row whose ``clock`` is more than
+    ``idle`` after that of the row before it. Rows without a score take no part.
     """
     if hi < lo:
         raise ValueError("hi must not be below lo")
     keys = keys or TRACK
     track = ordered(
-        scored.withColumns({
+        scored.where(F.col("score").isNotNull()).withColumns({
             "_low": (F.col("score") < lo).cast("long"),
             "_not_high": (F.col("score") < hi).cast("long"),
         }),
         keys, ["timestamp", "row_ord"], **plan)
-    track = track.running(_stretch=("sum", "_low"), _run=("sum", "_not_high"))
     high = F.col("_not_high") == 0
+    breaks = {"_stretch": ("sum", "_low"), "_run": ("sum", "_not_high")}
+    if idle is not None:
+        track = track.lag(clock, "_before")
+        silent = F.coalesce((F.col(clock) - F.col("_before") > idle).cast("long"), F.lit(0))
+        track = track.with_rows(track.rows.withColumns({
+            "_break_low": F.greatest("_low", silent), "_break_run": F.greatest("_not_high", silent)}))
+        breaks = {"_stretch": ("sum", "_break_low"), "_run": ("sum", "_break_run")}
+    track = track.running(**breaks)
     runs = track.rows.where(F.col("_low") == 0).groupBy(*keys, "_stretch", "_run").agg(
         F.min(F.when(high, F.col("timestamp"))).alias("start"),
         F.max(F.when(high, F.col("timestamp"))).alias("stop"),

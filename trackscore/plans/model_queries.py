@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from ..functions import keys as fk
 from ..models import training
+from ..operators import events as oe
 from ..operators import scaling, splits, store, tracks
 from ..schema import TRACK, WINDOW
 from ..session import scratch_path
 from ..sources import driver_tables as dt
-from ..streaming.events import EVENT_SCHEMA, STORE_PROVIDER, stream_events
+from ..streaming.events import EVENT_SCHEMA, STORE_PROVIDER, stream_events, tick
 from ..streaming.features import start_feature_stream
-from .event_queries import HI, LO, MIN_DURATION, SCORED_SQL
+from .event_queries import EVENTS_SQL, HI, LO, MIN_DURATION, SCORED_SQL
 from .registry import query
 from .track_queries import DIM, KEY_SQL, key_vector, split_feature_windows, video_split
 
@@ -142,35 +145,74 @@ def stream_features(spark, sf):
     return store.read_store(spark, path, signature).select("key", "valid")
 
 
-@query("stream_events", SCORED_SQL + f""",
-late AS (SELECT epoch_ms(max(ts)) - 600000 AS watermark FROM events),
-k AS (SELECT s.*, epoch_ms(e.ts) AS ms FROM scored s JOIN events e ON e.event_id = s.row_ord, late
-  WHERE epoch_ms(e.ts) < watermark),
-e1 AS (SELECT *, sum(CASE WHEN score < {LO} THEN 1 ELSE 0 END) OVER w AS stretch,
-  sum(CASE WHEN score < {HI} THEN 1 ELSE 0 END) OVER w AS run FROM k
-  WINDOW w AS (PARTITION BY video_id, target_id ORDER BY ms, row_ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-tot AS (SELECT video_id, target_id, max(stretch) AS final FROM e1 GROUP BY ALL),
-e2 AS (SELECT video_id, target_id, stretch, run, min(timestamp) FILTER (score >= {HI}) AS b, max(timestamp) FILTER (score >= {HI}) AS e,
-  max(score) FILTER (score >= {HI}) AS top, max(timestamp) AS last FROM e1 WHERE score >= {LO} GROUP BY ALL),
-f AS (SELECT video_id, target_id, stretch, min(b) FILTER (e - b >= {MIN_DURATION}) AS t_start, max(last) AS t_end,
-  max(top) FILTER (e - b >= {MIN_DURATION}) AS peak FROM e2 GROUP BY video_id, target_id, stretch
-  HAVING count(*) FILTER (e - b >= {MIN_DURATION}) > 0)
-SELECT video_id, target_id, t_start, t_end, peak, round(t_end - t_start, 6) AS duration
-FROM f JOIN tot USING (video_id, target_id) WHERE stretch < final
-""")
-def stream_event_query(spark, sf):
-    """Closed events of the event stream: the last stretch of a track stays open."""
+DELAY = timedelta(minutes=10)
+DAY = 86_400.0
+#: No track is silent for so long; and a time that tracks often are.
+NEVER_IDLE, IDLE = 366 * DAY, 1.5 * DAY
+
+
+def streamed_events(spark, sf, idle, slot=DAY):
+    """Events of the event stream. After its end a tick moves the watermark on, so that every event closes."""
     scored = dt.annotation_view(event_stream(spark, sf), dt.vector_count(spark, sf), "ts", "value").select(
         *TRACK, "timestamp", "row_ord", F.col("value").alias("score"),
         F.col("ts").cast("timestamp").alias("event_time"))
-    path = scratch_path(spark, "events")
+    latest = dt.table(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    path, ticks, state = (scratch_path(spark, name) for name in ("events", "ticks", "stream"))
+    spark.createDataFrame([], scored.schema).write.parquet(ticks)
+    both = scored.unionByName(spark.readStream.schema(scored.schema).parquet(ticks))
     provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE_PROVIDER)
+
+    def run():
+        stream_events(both, HI, LO, MIN_DURATION, f"{DELAY.seconds} seconds", idle, slot).writeStream.format("parquet").option(
+            "path", path).option("checkpointLocation", state).outputMode("append").trigger(
+            availableNow=True).start().awaitTermination()
+
     try:
-        stream_events(scored, HI, LO, MIN_DURATION).writeStream.format("parquet").option(
-            "path", path).option("checkpointLocation", scratch_path(spark, "stream")
-        ).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        run()
+        if latest is not None:
+            end = [(None, None, None, None, None, tick(latest, DELAY, idle, slot))]
+            spark.createDataFrame(end, scored.schema).write.mode("append").parquet(ticks)
+            run()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
-    return spark.read.schema(EVENT_SCHEMA).parquet(path).withColumn(
-        "duration", F.round("duration", 6))
+    return spark.read.schema(EVENT_SCHEMA).parquet(path).withColumn("duration", F.round("duration", 6))
+
+
+@query("stream_events", EVENTS_SQL + """
+SELECT video_id, target_id, t_start, t_end, peak, round(t_end - t_start, 6) AS duration FROM found
+""")
+def stream_event_query(spark, sf):
+    """The same events as those of all rows at once."""
+    return streamed_events(spark, sf, NEVER_IDLE)
+
+
+IDLE_EVENTS_SQL = SCORED_SQL + f""",
+ms AS (SELECT s.*, epoch_ms(e.ts) AS at_ms FROM scored s JOIN events e ON e.event_id = s.row_ord),
+gap AS (SELECT *, coalesce(at_ms - lag(at_ms) OVER w > {IDLE * 1000}, false) AS silent FROM ms
+  WINDOW w AS (PARTITION BY video_id, target_id ORDER BY timestamp, row_ord)),
+e1 AS (SELECT *, sum(CASE WHEN score < {LO} OR silent THEN 1 ELSE 0 END) OVER w AS stretch,
+  sum(CASE WHEN score < {HI} OR silent THEN 1 ELSE 0 END) OVER w AS run FROM gap
+  WINDOW w AS (PARTITION BY video_id, target_id ORDER BY timestamp, row_ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+e2 AS (SELECT video_id, target_id, stretch, run, min(timestamp) FILTER (score >= {HI}) AS b, max(timestamp) FILTER (score >= {HI}) AS e,
+  max(score) FILTER (score >= {HI}) AS top, max(timestamp) AS last FROM e1 WHERE score >= {LO} GROUP BY ALL)
+SELECT video_id, target_id, min(b) FILTER (e - b >= {MIN_DURATION}) AS t_start, max(last) AS t_end,
+  max(top) FILTER (e - b >= {MIN_DURATION}) AS peak,
+  round(max(last) - min(b) FILTER (e - b >= {MIN_DURATION}), 6) AS duration FROM e2 GROUP BY video_id, target_id, stretch
+  HAVING count(*) FILTER (e - b >= {MIN_DURATION}) > 0
+"""
+
+
+@query("idle_events", IDLE_EVENTS_SQL)
+def idle_events(spark, sf):
+    """Events of all rows; a silent track ends its event."""
+    rows = dt.annotations(spark, sf, "value", "ts").select(
+        *TRACK, "timestamp", "row_ord", F.col("value").alias("score"),
+        (F.unix_millis(F.col("ts").cast("timestamp")) / 1000).alias("seconds"))
+    return oe.extract_events(rows, HI, LO, MIN_DURATION, idle=IDLE, clock="seconds").withColumn("duration", F.round("duration", 6))
+
+
+@query("stream_idle_events", IDLE_EVENTS_SQL)
+def stream_idle_events(spark, sf):
+    """The same events on the stream, where timers end those of silent tracks."""
+    return streamed_events(spark, sf, IDLE)

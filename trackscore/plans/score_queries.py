@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.spectral import RANK_TOLERANCE, SWEEPS
 from ..operators import detectors as od
 from ..operators import metrics as om
 from ..operators import splits, tracks
@@ -99,15 +100,53 @@ def eliminate_sql(matrix: str, width: int, out: str) -> str:
 {out} AS (SELECT m FROM {out}_steps WHERE k = {width} + 1)"""
 
 
-def mahalanobis_sql(covariance: str) -> str:
-    """Distances under ``covariance``: SQL over ``cv`` (i, j, v) and ``su`` (its sums) for an entry."""
-    return f"""WITH RECURSIVE {SCORES_VIEWS},
+def jacobi_sql(matrix: str, width: int, out: str) -> str:
+    """Jacobi rounds in SQL: ``matrix`` (m: rows of a symmetric matrix of even width) becomes ``out``
+    (k: place by falling eigenvalue, from 1; value; vec). ``o`` are the opponents of a round, ``c`` and
+    ``d`` the shares of its own and its opponent's row that a row turns into."""
+    return f"""{out}_rounds(n, a, v) AS (
+  SELECT 0::BIGINT, m, list_transform(range({width}), lambda i: list_transform(range({width}), lambda j:
+    CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) FROM {matrix}
+  UNION ALL
+  SELECT n + 1, list_transform(w, lambda r: list_transform(list_zip(r, list_select(r, o), c, d), lambda z: z[3] * z[1] + z[4] * z[2])),
+    list_transform(list_zip(v, list_select(v, o), c, d), lambda z: list_transform(list_zip(z[1], z[2]), lambda y: z[3] * y[1] + z[4] * y[2]))
+  FROM (SELECT *, list_transform(list_zip(a, list_select(a, o), c, d), lambda z:
+      list_transform(list_zip(z[1], z[2]), lambda y: z[3] * y[1] + z[4] * y[2])) AS w
+    FROM (SELECT *, list_transform(t, lambda x: 1 / sqrt(1 + x * x)) AS c,
+        list_transform(t, lambda x, i: CASE WHEN i < o[i] THEN -x ELSE x END / sqrt(1 + x * x)) AS d
+      FROM (SELECT *, list_transform(x, lambda z: CASE WHEN z.f = 0 THEN 0.0::DOUBLE ELSE
+            CASE WHEN (z.h - z.l) / (2 * z.f) < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END
+            / (abs((z.h - z.l) / (2 * z.f)) + sqrt(1 + (z.h - z.l) / (2 * z.f) * ((z.h - z.l) / (2 * z.f)))) END) AS t
+        FROM (SELECT *, list_transform(o, lambda j, i: {{'f': a[least(i, j)][greatest(i, j)], 'l': a[least(i, j)][least(i, j)],
+              'h': a[greatest(i, j)][greatest(i, j)]}}) AS x
+          FROM (SELECT *, list_transform(range({width}), lambda i: CASE
+                WHEN i = {width - 1} THEN n % {width - 1} WHEN (2 * (n % {width - 1}) - i + {width - 1}) % {width - 1} = i THEN {width - 1}
+                ELSE (2 * (n % {width - 1}) - i + {width - 1}) % {width - 1} END + 1) AS o
+            FROM {out}_rounds WHERE n < {SWEEPS * (width - 1)})))))),
+{out} AS (SELECT row_number() OVER (ORDER BY value DESC) AS k, value, vec FROM (
+  SELECT a[i][i] AS value, v[i] AS vec FROM {out}_rounds, range(1, {width + 1}) t(i) WHERE n = {SWEEPS * (width - 1)}))"""
+
+
+# Deviations, covariance and its sums under the statistics of the training rows.
+DEVIATIONS_SQL = f"""
 dv AS (SELECT vec_id, dim, x - mean AS d, fold = 'train' AND label <= 2 AS fits FROM el JOIN st USING (dim)),
 cv AS (SELECT a.dim AS i, b.dim AS j, sum(a.d * b.d) / count(*) AS v
   FROM dv a JOIN dv b USING (vec_id) WHERE a.fits AND b.fits GROUP BY ALL),
 sq AS (SELECT vec_id, sum(d * d) AS q FROM dv WHERE fits GROUP BY vec_id),
 su AS (SELECT sum(v) FILTER (i = j) AS tr, sum(v * v) AS ss, (SELECT avg(q * q) FROM sq) AS fourth,
-  (SELECT count(*) FROM sq) AS n, {DIM} AS w FROM cv),
+  (SELECT count(*) FROM sq) AS n, {DIM} AS w FROM cv)"""
+
+
+def spectrum_sql(covariance: str, name: str) -> str:
+    """Eigenvalues and vectors of ``covariance``, an entry's SQL over ``cv`` and ``su``, as the view ``name``."""
+    return f"""{name}_m AS (SELECT list(r ORDER BY i) AS m FROM (
+  SELECT i, list({covariance} ORDER BY j) AS r FROM cv, su GROUP BY i)),
+{jacobi_sql(f"{name}_m", DIM, name)}"""
+
+
+def mahalanobis_sql(covariance: str) -> str:
+    """Distances under ``covariance``: SQL over ``cv`` (i, j, v) and ``su`` (its sums) for an entry."""
+    return f"""WITH RECURSIVE {SCORES_VIEWS},{DEVIATIONS_SQL},
 m0 AS (SELECT list(r ORDER BY i) AS m FROM (
   SELECT i, list_concat(list({covariance} ORDER BY j), list_transform(range({DIM}), lambda k: CASE WHEN k = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS r
   FROM cv, su GROUP BY i)),
@@ -119,36 +158,76 @@ SELECT dv.vec_id, round(sum(dv.d * y), 6) AS score FROM y JOIN dv ON dv.vec_id =
 """
 
 
-# No twin: with fewer training rows than dimensions it takes a pseudo-inverse.
-@query("mahalanobis_full")
+#: y: the square of each vector's part along each eigenvector.
+PARTS_SQL = f""",
+ev AS (SELECT k, value, unnest(range({DIM})) AS dim, unnest(vec) AS e FROM full_),
+y AS (SELECT vec_id, k, any_value(value) AS value, pow(sum(d * e), 2) AS y FROM dv JOIN ev USING (dim) GROUP BY ALL)"""
+
+
+@query("mahalanobis_full", f"""WITH RECURSIVE {SCORES_VIEWS},{DEVIATIONS_SQL},
+{spectrum_sql("v", "full_")}{PARTS_SQL}
+SELECT vec_id, round(sum(y / value), 4) AS score FROM y
+WHERE value > {RANK_TOLERANCE}::DOUBLE * (SELECT max(value) FROM full_) GROUP BY vec_id
+""", views=None)
 def mahalanobis_full(spark, sf):
-    return _score_all(spark, sf, lambda s: od.mahalanobis_score(s.mean, s.covariance))
+    """Few training rows give a singular covariance: directions without variance are left out."""
+    rows = labelled(spark, sf)
+    state = od.fit_gaussian(fit_rows(rows), DIM)
+    return rows.select("vec_id", F.round(od.mahalanobis_score(state.mean, state.covariance), 4).alias("score"))
+
+
+RIDGE_SQL = "v + CASE WHEN i = j THEN 0.001::DOUBLE * tr / w ELSE 0 END"
 
 
-@query("mahalanobis_ridge", mahalanobis_sql("v + CASE WHEN i = j THEN 0.001::DOUBLE * tr / w ELSE 0 END"), views=None)
+@query("mahalanobis_ridge", mahalanobis_sql(RIDGE_SQL), views=None)
 def mahalanobis_ridge(spark, sf):
     return _score_all(spark, sf, lambda s: od.mahalanobis_score(s.mean, od.ridge(s)))
 
 
 # The shrinkage weight: noise of the entries over the spread around a scaled identity.
 WEIGHT_SQL = "least(1, greatest(0, (fourth - ss) / n / (ss - tr * tr / w)))"
+SHRUNK_SQL = f"(1 - {WEIGHT_SQL}) * v + CASE WHEN i = j THEN {WEIGHT_SQL} * tr / w ELSE 0 END"
 
 
-@query("mahalanobis_shrunk", mahalanobis_sql(
-    f"(1 - {WEIGHT_SQL}) * v + CASE WHEN i = j THEN {WEIGHT_SQL} * tr / w ELSE 0 END"), views=None)
+@query("mahalanobis_shrunk", mahalanobis_sql(SHRUNK_SQL), views=None)
 def mahalanobis_shrunk(spark, sf):
     return _score_all(spark, sf, lambda s: od.mahalanobis_score(s.mean, od.shrunk(s)[0]))
 
 
-@query("condition_numbers")
+VARIANTS = {
+    "diagonal": "CASE WHEN i = j THEN v ELSE 0 END",
+    "full": "v",
+    "ridge": RIDGE_SQL,
+    "shrunk": SHRUNK_SQL,
+}
+
+
+@query("condition_numbers", f"""WITH RECURSIVE {SCORES_VIEWS},{DEVIATIONS_SQL},
+""" + ",\n".join(spectrum_sql(c, f"{name}_") for name, c in VARIANTS.items()) + f""",
+every AS ({" UNION ALL ".join(f"SELECT '{name}' AS variant, value FROM {name}_" for name in VARIANTS)}),
+top AS (SELECT variant, max(value) AS top FROM every GROUP BY variant),
+kept AS (SELECT variant, CAST(count(*) AS INTEGER) AS rank, round(max(value) / min(value), 4) AS kept_condition
+  FROM every JOIN top USING (variant) WHERE value > {RANK_TOLERANCE}::DOUBLE * top GROUP BY variant)
+SELECT variant, rank, CASE WHEN rank = {DIM} THEN kept_condition END AS condition, kept_condition FROM kept
+""", views=None)
 def condition_numbers(spark, sf):
-    return od.condition_numbers(spark, od.fit_gaussian(fit_rows(labelled(spark, sf)), DIM))
+    ledger = od.condition_numbers(spark, od.fit_gaussian(fit_rows(labelled(spark, sf)), DIM))
+    return ledger.withColumns({c: F.round(c, 4) for c in ("condition", "kept_condition")})
+
+
+COMPONENTS = 16
 
 
-@query("pca_scores")
+@query("pca_scores", f"""WITH RECURSIVE {SCORES_VIEWS},{DEVIATIONS_SQL},
+{spectrum_sql("v", "full_")}{PARTS_SQL},
+p AS (SELECT vec_id, sum(y) AS e, sum(y / (value + 1e-8::DOUBLE)) AS m FROM y WHERE k <= {COMPONENTS} GROUP BY vec_id),
+n AS (SELECT vec_id, sum(d * d) AS whole FROM dv GROUP BY vec_id)
+SELECT vec_id, round(e, 6) AS euclidean, round(m, 6) AS mahalanobis, round(whole - e, 6) AS reconstruction FROM p JOIN n USING (vec_id)
+""", views=None)
 def pca_scores(spark, sf):
+    """No score depends on the sign of a component."""
     rows = labelled(spark, sf)
-    pca = od.principal_components(od.fit_gaussian(fit_rows(rows), DIM), 16)
+    pca = od.principal_components(od.fit_gaussian(fit_rows(rows), DIM), COMPONENTS)
     return rows.select(
         "vec_id",
         F.round(od.pca_euclidean_score(pca), 6).alias("euclidean"),

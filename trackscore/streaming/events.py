@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,96 +16,153 @@ from ..schema import TRACK
 
 EVENT_SCHEMA = "video_id string, target_id int, t_start double, t_end double, peak double, duration double"
 STORE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ROW = np.dtype([("at_ms", "<i8"), ("row_ord", "<i8"), ("timestamp", "<f8"), ("score", "<f8")])
 
 
 class HysteresisEvents(StatefulProcessor):
-    """Per track: rows wait until the watermark passes them, are taken in time
-    order, and move a small state (current run, open event)."""
+    """Per track: rows wait in slots of event time until the watermark has passed the slot,
+    are then taken in time order and move a small state (current run, open event).
 
-    def __init__(self, hi: float, lo: float, min_duration: float):
+    Waiting rows are a map from slot to rows, with one timer per slot: a timer reads and
+    removes its own slot and nothing else, however many rows wait. Another timer ends what
+    is open when the track has been silent for ``idle_ms``.
+    """
+
+    def __init__(self, hi: float, lo: float, min_duration: float, idle_ms: int, slot_ms: int):
         self.hi, self.lo, self.min_duration = hi, lo, min_duration
+        self.idle_ms, self.slot_ms = idle_ms, slot_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at_ms long, row_ord long, timestamp double, score double")
+        self.waiting = handle.getMapState("waiting", "slot long", "rows binary")
         self.state = handle.getValueState(
-            "state", "run_start double, run_top double, t_start double, last double, peak double")
+            "state", "run_start double, run_top double, t_start double, last double, peak double, "
+                     "last_ms long, idle_at long, slot long")
+
+    def _slot_end(self, at_ms: int) -> int:
+        """First millisecond after the slot of ``at_ms``: no row of the slot arrives once the watermark is there."""
+        return (at_ms // self.slot_ms + 1) * self.slot_ms
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
         for frame in rows:
-            self.waiting.appendList(list(
-                frame[["at_ms", "row_ord", "timestamp", "score"]].itertuples(index=False, name=None)))
-            low = int(frame["at_ms"].min())
-            first = low if first is None else min(first, low)
-        if first is not None:
-            self.handle.registerTimer(first + 1)
+            frame = frame[frame["scored"]]
+            if frame.empty:
+                continue
+            packed = np.zeros(len(frame), ROW)
+            for name in ROW.names:
+                packed[name] = frame[name].to_numpy()
+            slots = packed["at_ms"] // self.slot_ms
+            for slot in np.unique(slots).tolist():
+                added = packed[slots == slot].tobytes()
+                known = self.waiting.getValue((slot,)) if self.waiting.containsKey((slot,)) else None
+                self.waiting.updateValue((slot,), ((known[0] if known else b"") + added,))
+                if not known:
+                    self.handle.registerTimer((slot + 1) * self.slot_ms)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Take every row the watermark has passed; wait for the next one left."""
+        at = expiredTimerInfo.getExpiryTimeInMs()
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(tuple(r) for r in self.waiting.get())
-        ready = [r for r in rows if r[0] < passed]
-        left = rows[len(ready):]
-        if not ready:
-            return
-        if left:
-            self.waiting.put(left)
-            self.handle.registerTimer(left[0][0] + 1)
-        else:
-            self.waiting.clear()
-        found = self._advance(ready)
+        found = self._take(at // self.slot_ms - 1, passed) if at % self.slot_ms == 0 else self._silent(at)
         if found:
             yield pd.DataFrame(
                 [(*key, b, e, p, e - b) for b, e, p in found],
                 columns=["video_id", "target_id", "t_start", "t_end", "peak", "duration"])
 
-    def _advance(self, rows) -> list[tuple[float, float, float]]:
-        run_start, run_top, t_start, last, peak = (
-            self.state.get() if self.state.exists() else (None,) * 5)
+    def _silent(self, at: int) -> list[tuple[float, float, float]]:
+        """End what is open, unless rows have moved the idle timer on."""
+        if not self.state.exists():
+            return []
+        _, _, t_start, last, peak, _, idle_at, _ = self.state.get()
+        if idle_at != at:
+            return []
+        self.state.clear()
+        return [(t_start, last, peak)] if t_start is not None else []
+
+    def _take(self, slot: int, passed: int) -> list[tuple[float, float, float]]:
+        """Move the state over the rows of one slot."""
+        rows = np.frombuffer(self.waiting.getValue((slot,))[0], ROW)
+        self.waiting.removeKey((slot,))
+        run_start = run_top = t_start = last = peak = last_ms = idle_at = seen = None
+        if self.state.exists():
+            run_start, run_top, t_start, last, peak, last_ms, idle_at, seen = self.state.get()
+        if seen is not None and slot <= seen:
+            raise ValueError("slots expired out of order")
         found = []
-        for _, _, timestamp, score in rows:
-            if score < self.lo:
+        for at_ms, _, timestamp, score in np.sort(rows, order=["at_ms", "row_ord"]).tolist():
+            silent = last_ms is not None and at_ms - last_ms > self.idle_ms
+            last_ms = at_ms
+            if silent or score < self.lo:
                 if t_start is not None:
                     found.append((t_start, last, peak))
                 run_start = run_top = t_start = last = peak = None
-                continue
+                if score < self.lo:
+                    continue
             last = timestamp
-            if score >= self.hi:
-                run_start = timestamp if run_start is None else run_start
-                run_top = score if run_top is None else max(run_top, score)
-                if timestamp - run_start >= self.min_duration:
-                    t_start = run_start if t_start is None else t_start
-                    peak = run_top if peak is None else max(peak, run_top)
-            else:
+            if score < self.hi:
                 run_start = run_top = None
-        self.state.update((run_start, run_top, t_start, last, peak))
+                continue
+            run_start = timestamp if run_start is None else run_start
+            run_top = score if run_top is None else _greater(run_top, score)
+            if timestamp - run_start >= self.min_duration:
+                t_start = run_start if t_start is None else t_start
+                peak = run_top if peak is None else _greater(peak, run_top)
+        # One past a slot end, so that slots go first and the two kinds of timers differ.
+        new_idle = self._slot_end(last_ms + self.idle_ms) + 1
+        if idle_at is not None and idle_at != new_idle:
+            self.handle.deleteTimer(idle_at)
+        if new_idle <= passed and not self.waiting.exists():  # a timer set for now would wait for the next trigger
+            self.state.clear()
+            return [*found, (t_start, last, peak)] if t_start is not None else found
+        if idle_at != new_idle:
+            self.handle.registerTimer(new_idle)
+        self.state.update((run_start, run_top, t_start, last, peak, last_ms, new_idle, slot))
         return found
 
     def close(self) -> None:
         pass
 
 
+def _greater(a: float, b: float) -> float:
+    """The larger one; NaN is larger than all numbers, as in Spark."""
+    return a if math.isnan(a) or a >= b else b
+
+
 def stream_events(
-    scored: DataFrame, hi: float, lo: float, min_duration: float, delay: str = "10 minutes"
+    scored: DataFrame, hi: float, lo: float, min_duration: float, delay: str = "10 minutes",
+    idle: float = 3600.0, slot: float = 60.0,
 ) -> DataFrame:
-    """Stream form of ``extract_events``: an event is emitted when it closes.
-
-    ``scored`` is a stream with ``event_time``, track keys, ``timestamp``,
-    ``row_ord`` and ``score``. Rows later than the watermark are dropped by Spark.
+    """Stream form of ``extract_events(..., idle=idle, clock=<seconds of event_time>)``.
+
+    ``scored`` is a stream with ``event_time``, track keys, ``timestamp``, ``row_ord`` and
+    ``score``; rows of a track are ordered by (event_time in ms, row_ord), which is to agree
+    with (timestamp, row_ord). An event is emitted when a score below ``lo`` ends it, or once
+    the watermark shows that its track has been silent for ``idle`` seconds; then the track's
+    state is dropped too. Rows wait for the watermark to pass their ``slot`` of so many seconds;
+    a task holds one slot of one track at a time.
+
+    Rows without a score and rows with a null event time take no part. A peak of NaN comes out as null. Rows later than the
+    watermark are dropped by Spark. At the end of a finite input the events that are still open
+    come out when a row without score (a tick) moves the watermark past idle time and delay.
     The session needs the RocksDB state store provider (``STORE_PROVIDER``).
     """
     if hi < lo:
         raise ValueError("hi must not be below lo")
+    slot_ms = max(2, round(slot * 1000))
     return (
         scored.withWatermark("event_time", delay)
-        .withColumn("at_ms", F.unix_millis("event_time"))
+        .where(F.col("event_time").isNotNull())
+        .withColumns({"at_ms": F.unix_millis("event_time"), "scored": F.col("score").isNotNull()})
         .groupBy(*TRACK)
         .transformWithStateInPandas(
-            statefulProcessor=HysteresisEvents(hi, lo, min_duration),
+            statefulProcessor=HysteresisEvents(hi, lo, min_duration, round(idle * 1000), slot_ms),
             outputStructType=EVENT_SCHEMA,
             outputMode="Append",
             timeMode="EventTime",
         )
     )
+
+
+def tick(latest: datetime, delay: timedelta, idle: float, slot: float) -> datetime:
+    """An event time that moves the watermark past all timers of rows up to ``latest``."""
+    return latest + delay + timedelta(seconds=idle + 3 * slot + 1)
