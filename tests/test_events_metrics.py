@@ -1,5 +1,7 @@
 """Events, truth, metrics and associations against brute force, in both plans."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -160,6 +162,26 @@ def test_paired_tests(scored, buckets):
     np.testing.assert_allclose([test.w_plus, test.w_minus], [rank[d > 0].sum(), rank[d < 0].sum()])
 
 
+@pytest.mark.parametrize("n, ties", [(1, False), (5, False), (5, True), (11, True), (50, False), (51, False)])
+def test_wilcoxon_p_is_exact_for_few_pairs(spark, n, ties):
+    rng = np.random.default_rng(n)
+    d = rng.integers(-4, 5, n) if ties else rng.normal(0.3, 1, n)
+    rows = [("g", float(x), 0.0) for x in d] + [("g", 1.0, None), ("g", float("nan"), 0.0), ("same", 2.0, 2.0), ("one", 3.0, 1.0)]
+    got = {r.g: r for r in om.wilcoxon(spark.createDataFrame(rows, "g string, a double, b double"), "a", "b", ["g"]).collect()}
+    assert set(got) == {"g", "one"} and got["one"].p == 1.0
+    d = pd.Series(d[d != 0])
+    ranks = (2 * d.abs().rank()).astype(int).tolist()
+    if len(d) > om.EXACT_PAIRS:
+        assert got["g"].p == om_p(spark.createDataFrame([(1,)], "i int"), got["g"].z)
+        return
+    chances = Counter({0: 1})
+    for r in ranks:  # whole numbers of sign patterns
+        chances = Counter({s: chances[s] + chances[s - r] for s in {*chances, *(s + r for s in chances)}})
+    small = min(sum(r for r, x in zip(ranks, d) if x > 0), sum(r for r, x in zip(ranks, d) if x < 0))
+    want = min(1.0, 2 * sum(c for s, c in chances.items() if s <= small) / 2**len(ranks))
+    np.testing.assert_allclose(got["g"].p, want, rtol=1e-12)
+
+
 def om_p(df, z):
     spark = df.sparkSession
     return spark.createDataFrame([(z,)], "z double").select(om.two_sided_p("z").alias("p")).first().p

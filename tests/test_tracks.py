@@ -1,12 +1,16 @@
 """Windows, gap filling, noise and scaling against a plain Python model."""
 
+import hashlib
+import math
+
 import numpy as np
 import pytest
 from track_help import DIM, FRAMES, HOT, MISSING_FRAME, extractor
 from pyspark.sql import functions as F
 
 from trackscore.functions.boxes import filter_actions
-from trackscore.functions.keys import seed_from_parts, with_feature_key
+from trackscore.functions.draws import normal_draws
+from trackscore.functions.keys import with_feature_key
 from trackscore.functions.vectors import zeros
 from trackscore.operators import scaling, store, tracks
 from trackscore.sources.tables import read_scaler, write_scaler
@@ -49,13 +53,33 @@ def test_gap_is_filled_from_before(featured):
     np.testing.assert_allclose(exact[2], [by_pos[p] for p in (2, 3, 4, 5)], rtol=1e-6)
 
 
+def draws_of(key, width):
+    out = []
+    for block in range(-(-width // 4)):
+        digest = hashlib.sha256(f"{key}:{block}".encode()).hexdigest()
+        u = [(int(digest[16 * q:16 * q + 13], 16) + 0.5) / 2**52 for q in range(4)]
+        for q in (0, 2):
+            radius, angle = math.sqrt(-2 * math.log(u[q])), 2 * math.pi * u[q + 1]
+            out += [radius * math.cos(angle), radius * math.sin(angle)]
+    return out[:width]
+
+
+def test_draws_are_normal_and_counted_by_place(spark):
+    for width in (1, 3, 4, 5, 9):
+        got = spark.range(1).select(normal_draws(F.lit("k"), width).alias("d")).first().d
+        np.testing.assert_allclose(got, draws_of("k", width), rtol=1e-12)
+    rows = spark.range(400).select(F.explode(normal_draws(F.concat(F.lit("k"), "id"), 50)).alias("x"))
+    seen = rows.agg(F.avg("x"), F.stddev("x"), F.kurtosis("x"), F.avg((F.abs("x") > 1.959964).cast("int"))).first()
+    np.testing.assert_allclose(seen, [0, 1, 0, 0.05], atol=0.07)
+    assert abs(seen[3] - 0.05) < 0.006
+
+
 def test_noise_is_seeded_per_window(featured):
     rows = featured()
     exact, noisy, again = windows_of(rows), windows_of(rows, 0.05), windows_of(rows.repartition(3), 0.05)
     np.testing.assert_array_equal(noisy[0], again[0])
     np.testing.assert_array_equal(noisy[2], exact[2])
-    rng = np.random.default_rng(seed_from_parts(42, "cam7", 2, 0, 0.05))
-    want = exact[0][1] + (rng.standard_normal(DIM) * 0.05).astype(np.float32)
+    want = exact[0][1] + (np.array(draws_of("42:cam7:2:0:0.05:1", DIM)) * 0.05).astype(np.float32)
     np.testing.assert_allclose(noisy[0][1], want, rtol=1e-6)
     assert not np.array_equal(windows_of(rows, 0.05, seed=1)[0], noisy[0])
 

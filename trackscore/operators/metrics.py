@@ -7,6 +7,8 @@ scores in one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,30 +184,59 @@ def two_sided_p_sql(z: str) -> str:
     return f"({total} * exp(-{x} * {x}))"
 
 
-def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Signed-rank test of a - b: rank sums and z with tie correction.
+#: Up to so many pairs the signed-rank test takes its p from the exact null distribution.
+EXACT_PAIRS = 50
+
+
+def signed_rank_p(ranks: Column, smaller: Column) -> Column:
+    """Two-sided exact p of a signed-rank sum.
+
+    ``ranks`` is the array of doubled ranks (whole numbers also with ties), ``smaller`` the
+    smaller of the two doubled rank sums. Under the null every sign is a fair coin: the
+    distribution of the sum is built rank by rank, as an array over all sums.
+    """
+    sums = F.aggregate(ranks, F.lit(0), lambda total, r: total + r)
+    start = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), sums))
+    chances = F.aggregate(ranks, start, lambda p, r: F.zip_with(
+        p, F.slice(F.concat(F.array_repeat(F.lit(0.0), r), p), F.lit(1), F.size(p)), lambda x, y: (x + y) / 2))
+    tail = F.aggregate(F.slice(chances, F.lit(1), smaller + 1), F.lit(0.0), lambda total, x: total + x)
+    return F.least(F.lit(1.0), 2 * tail)
+
+
+def wilcoxon(pairs: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """Signed-rank test of a - b: rank sums, z with tie correction and two-sided p, per group.
 
-    Zero differences are left out and tied sizes share their mean rank.
+    Zero, NULL and NaN differences are left out and tied sizes share their mean rank. Up to
+    ``EXACT_PAIRS`` pairs p is exact, beyond that the normal tail of z. A group without any
+    difference has no row; without ``by`` there is one row, with NULLs in that case.
     """
+    by = list(by)
     diff = F.col(a) - F.col(b)
     hist = (
-        pairs.select(diff.alias("d")).where(F.col("d") != 0)
-        .groupBy(F.abs("d").alias("size"))
+        pairs.select(*by, diff.alias("d")).where((F.col("d") != 0) & ~F.isnan("d"))
+        .groupBy(*by, F.abs("d").alias("size"))
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("n_plus"))
     )
-    ranked = cumulative_by_value(hist, "size", {"n": "below"})
+    ranked = cumulative_by_value(hist, "size", {"n": "below"}, by)
     rank = F.col("below") + (F.col("n") + 1) / 2
     n = F.col("n_pairs")
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
+    # Only ranks up to the limit are gathered, so the array is short in groups of any size.
+    doubled = F.when(F.col("below") + F.col("n") <= EXACT_PAIRS, F.array_repeat(
+        (2 * F.col("below") + F.col("n") + 1).cast("int"), F.col("n").cast("int")))
+    smaller = (2 * F.least("w_plus", "w_minus")).cast("int")
     return (
-        ranked.agg(
+        ranked.groupBy(*by).agg(
             F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_pairs"),
             F.sum(rank * F.col("n_plus")).alias("w_plus"),
             F.sum(rank * (F.col("n") - F.col("n_plus"))).alias("w_minus"),
             F.sum((F.pow("n", F.lit(3)) - F.col("n"))).alias("ties"),
+            F.flatten(F.collect_list(doubled)).alias("_ranks"),
         )
         .withColumn("z", F.when(variance > 0, (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(variance)))
-        .drop("ties")
+        .withColumn("p", F.when(n.between(1, EXACT_PAIRS), signed_rank_p(F.col("_ranks"), smaller))
+                    .when(n > EXACT_PAIRS, two_sided_p("z")))
+        .drop("ties", "_ranks")
     )
 
 

@@ -10,14 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import frame_index
-from ..functions.keys import seed_from_parts
-from ..functions.vectors import from_tensor, to_tensor
+from ..functions.draws import normal_draws
 from ..schema import TRACK, WINDOW
 from .ordering import CHUNK_ROWS, HOT_GROUP_ROWS, Ordered, hash_rank, ordered
 
@@ -145,39 +142,25 @@ def add_fill_noise(
 ) -> DataFrame:
     """Add N(0, noise_std) to positions filled from a neighbour.
 
-    ``assembled`` needs ``filled`` and ``source_pos`` beside the vectors. The
-    stream of each window is seeded by (seed, video, target, start, noise_std),
-    so it depends on neither order nor partitioning; windows without gaps pass
-    through untouched.
+    ``assembled`` needs ``filled`` and ``source_pos`` beside the vectors. The draw of a
+    dimension is that of (seed, video, target, start, noise_std, position, dimension), so it
+    depends on neither order nor partitioning; windows without gaps pass through untouched.
+    NULL windows and vectors stay NULL.
     """
     if noise_std == 0:
         return assembled
     std = float(noise_std)
+    drawn = F.zip_with("filled", "source_pos", lambda f, at: f & at.isNotNull())
+    name = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in WINDOW], F.lit(repr(std)))
 
-    @F.arrow_udf("array<array<float>>")
-    def noisy(
-        values: pa.Array, noise_at: pa.Array, video: pa.Array, target: pa.Array, start: pa.Array
-    ) -> pa.Array:
-        present = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))
-        windows = to_tensor(values.drop_null()).astype(np.float32)
-        gaps, videos, targets, starts = (c.to_pylist() for c in (noise_at, video, target, start))
-        for window, row in zip(windows, present):
-            at = np.flatnonzero(gaps[row])
-            rng = np.random.default_rng(
-                seed_from_parts(seed, videos[row], targets[row], starts[row], std))
-            draws = rng.standard_normal((len(at), window.shape[1])) * std
-            window[at] += draws.astype(np.float32)
-        if len(present) == len(values):
-            return from_tensor(windows)
-        slots = np.full(len(values), None, dtype=object)
-        slots[present] = np.arange(len(present))
-        return from_tensor(windows).take(pa.array(slots.tolist(), pa.int64()))
+    def moved(item: Column, i: Column) -> Column:
+        draws = normal_draws(F.concat(name, F.lit(":"), i.cast("string")), F.size(item["v"]))
+        noisy = F.zip_with(item["v"], draws, lambda x, z: (x + (z * std).cast("float")).cast("float"))
+        return F.when(item["at"], noisy).otherwise(item["v"])
 
-    drawn = F.zip_with("filled", "source_pos", lambda f, at: f & at.isNotNull())
-    # Only windows with a gap are sent to Python; the others stay where they are.
-    gappy = F.when(F.exists(drawn, lambda x: x), F.col(value))
-    changed = noisy(gappy, drawn, F.col("video_id"), F.col("target_id"), F.col("start"))
-    return assembled.withColumn(value, F.coalesce(changed, F.col(value)))
+    pairs = F.zip_with(value, drawn, lambda v, at: F.struct(v.alias("v"), at.alias("at")))
+    changed = F.when(F.exists(drawn, lambda x: x), F.transform(pairs, moved)).otherwise(F.col(value))
+    return assembled.withColumn(value, changed)
 
 
 def attach_features(rows: DataFrame, store: DataFrame, key: str = "key") -> DataFrame:

@@ -481,11 +481,11 @@ REPLICATES_SQL = """,
 reps AS (SELECT *, CAST('0x' || substr(sha256('rep:' || vec_id), 1, 4) AS BIGINT) % 5 AS seed FROM scores), """
 
 
-def replicates(spark, sf):
-    """Five disjoint replicate groups of the scored vectors, by hash."""
+def replicates(spark, sf, groups=5):
+    """Disjoint replicate groups of the scored vectors, by hash."""
     digest = F.sha2(F.concat(F.lit("rep:"), F.col("vec_id").cast("string")), 256)
     return scored(spark, sf).withColumn(
-        "seed", F.conv(F.substring(digest, 1, 4), 16, 10).cast("long") % 5)
+        "seed", F.conv(F.substring(digest, 1, 4), 16, 10).cast("long") % groups)
 
 
 @query("leaderboard", REPLICATES_SQL + AUROC_SQL.format(keys="model, seed", source="reps") + """
@@ -518,8 +518,39 @@ def wilcoxon(spark, sf):
         F.max(F.when(F.col("model") == "euclidean", F.col("score"))).alias("e"))
     pairs_ = wide.select(
         F.round(F.round(F.col("m") / DIM, 4) - F.round("e", 4), 4).alias("a"), F.lit(0.0).alias("b"))
-    return om.wilcoxon(pairs_, "a", "b").withColumns({
-        "p": F.round(om.two_sided_p("z"), 6), "z": F.round("z", 6)})
+    return om.wilcoxon(pairs_, "a", "b").withColumns({c: F.round(c, 6) for c in ("p", "z")})
+
+
+REPLICATES = 40
+
+
+@query("wilcoxon_replicates", f""",
+reps AS (SELECT *, CAST('0x' || substr(sha256('rep:' || vec_id), 1, 4) AS BIGINT) % {REPLICATES} AS seed FROM scores),
+{AUROC_SQL.format(keys="model, seed", source="reps")},
+m AS (UNPIVOT (SELECT model, seed, round(auroc, 9) AS auroc, round(auprc, 9) AS auprc FROM areas) ON auroc, auprc INTO NAME metric VALUE area),
+nz AS (SELECT metric, seed, round(max(area) FILTER (model = 'mahalanobis') - max(area) FILTER (model = 'euclidean'), 9) AS d
+  FROM m GROUP BY ALL HAVING d <> 0 AND NOT isnan(d)),
+r AS (SELECT metric, d, 2 * rank() OVER (PARTITION BY metric ORDER BY abs(d)) + count(*) OVER (PARTITION BY metric, abs(d)) - 1 AS rk2 FROM nz),
+s AS (SELECT metric, count(*) AS n, list(rk2) AS rk, CAST(sum(rk2) AS BIGINT) AS total, coalesce(sum(rk2) FILTER (d > 0), 0) AS plus2,
+  coalesce(sum(rk2) FILTER (d < 0), 0) AS minus2 FROM r GROUP BY metric),
+dp(metric, k, f) AS (
+  SELECT metric, 0::BIGINT, list_transform(range(total + 1), lambda x: CASE WHEN x = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM s
+  UNION ALL
+  SELECT dp.metric, k + 1, list_transform(f, lambda x, i: (x + CASE WHEN i > rk[k + 1] THEN f[i - rk[k + 1]] ELSE 0.0::DOUBLE END) / 2)
+  FROM dp JOIN s USING (metric) WHERE k < n)
+SELECT metric, n AS n_pairs, plus2 / 2 AS w_plus, minus2 / 2 AS w_minus,
+  round(least(1, 2 * list_sum(f[1:CAST(least(plus2, minus2) AS BIGINT) + 1])), 6) AS p
+FROM s JOIN dp USING (metric) WHERE k = n
+""", f"RECURSIVE {SCORES_VIEWS}")
+def wilcoxon_replicates(spark, sf):
+    """Exact test of the two models over their areas in disjoint replicate groups."""
+    rows = materialize(replicates(spark, sf, REPLICATES))
+    keys = ["model", "seed"]
+    areas = om.auroc(rows, keys).join(om.auprc(rows, keys), keys).select(*keys, F.explode(F.create_map(*[
+        x for m in ("auroc", "auprc") for x in (F.lit(m), F.round(m, 9))])).alias("metric", "area"))
+    wide = areas.groupBy("metric", "seed").agg(*[F.max(F.when(F.col("model") == m, F.col("area"))).alias(m) for m in MODELS])
+    pairs_ = wide.select("metric", F.round(F.col("mahalanobis") - F.col("euclidean"), 9).alias("a"), F.lit(0.0).alias("b"))
+    return om.wilcoxon(pairs_, "a", "b", ["metric"]).drop("z").withColumn("p", F.round("p", 6))
 
 
 @query("delong", """,

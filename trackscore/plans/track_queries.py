@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as fb
 from ..functions import keys as fk
-from ..functions.vectors import zeros
+from ..functions.draws import normal_draw_sql
+from ..functions.vectors import row_function, zeros
 from ..operators import scaling, splits, store, tracks
 from ..schema import WINDOW
 from ..session import materialize, scratch_path
@@ -213,13 +214,28 @@ def assembled_windows(spark, sf):
         F.round(F.aggregate(total, F.lit(0.0), lambda a, x: a + x), 4).alias("ordered_sum"))
 
 
-@query("noisy_fill")
+NOISE, NOISE_SEED = 0.05, 42
+
+
+@query("noisy_fill", FILLED_SQL + f""",
+gap AS (SELECT f.*, unnest(generate_series(0, {DIM - 1}))::BIGINT AS d, unnest(e.embedding) AS x
+  FROM filled f JOIN embeddings e ON e.vec_id = f.source_vec),
+val AS (SELECT video_id, target_id, start, i, d, CASE WHEN filled THEN CAST(x + CAST({normal_draw_sql(
+    f"'{NOISE_SEED}:' || video_id || ':' || target_id || ':' || start || ':{NOISE!r}:' || i", "d")} * {NOISE}::DOUBLE AS FLOAT) AS FLOAT)
+  ELSE x END AS x FROM gap),
+tot AS (SELECT video_id, target_id, start, i, round(sum(x::DOUBLE), 5) AS total,
+  round(max(x::DOUBLE) FILTER (d = 0), 6) AS first, round(max(x::DOUBLE) FILTER (d = {DIM - 1}), 6) AS last FROM val GROUP BY ALL)
+SELECT f.video_id, f.target_id, f.start, f.i, coalesce(first, 0) AS first_dim, coalesce(last, 0) AS last_dim, coalesce(total, 0) AS total
+FROM filled f LEFT JOIN tot USING (video_id, target_id, start, i)
+""")
 def noisy_fill(spark, sf):
     whole = tracks.assemble_windows(
         feature_windows(spark, sf), "feature", "filled", "source_pos")
-    noisy = tracks.add_fill_noise(whole, 0.05, 42)
-    first = F.transform("feature", lambda v: F.round(v[0].cast("double"), 6))
-    return noisy.select(*WINDOW, first.alias("first_dim"))
+    noisy = tracks.add_fill_noise(whole, NOISE, NOISE_SEED).select(*WINDOW, F.posexplode("feature").alias("i", "v"))
+    total = row_function(lambda x: x.sum(axis=1), "v")
+    return noisy.select(
+        *WINDOW, "i", F.round(F.col("v")[0].cast("double"), 6).alias("first_dim"),
+        F.round(F.element_at("v", -1).cast("double"), 6).alias("last_dim"), F.round(total, 5).alias("total"))
 
 
 @query("clips", """,
