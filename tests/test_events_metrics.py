@@ -232,6 +232,66 @@ def test_iou_tracks_follow_a_moving_box(spark, plan):
     assert got == want
 
 
+def overlap(a, b):
+    wide, high = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    shared = max(wide, 0) * max(high, 0)
+    total = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - shared
+    return shared / total if total > 0 else 0.0
+
+
+def brute_tracks(rows, min_iou, max_gap):
+    """Links taken one by one, best first: {box: (track, age, gap)}."""
+    pos = {}
+    for v in {r[0] for r in rows}:
+        for at, f in enumerate(sorted({r[1] for r in rows if r[0] == v})):
+            pos[v, f] = at
+    edges = []
+    for a in rows:
+        for b in rows:
+            gap = pos[b[0], b[1]] - pos[a[0], a[1]]
+            if a[0] == b[0] and 1 <= gap <= max_gap and overlap(a[3:], b[3:]) >= min_iou:
+                edges.append((gap, -overlap(a[3:], b[3:]), a[2], b[2]))
+    follower, before = {}, {}
+    for gap, _, a, b in sorted(edges):
+        if a not in follower and b not in before:
+            follower[a], before[b] = b, (a, gap)
+    out = {}
+    for r in rows:
+        box, age = r[2], 0
+        while box in before:
+            box, age = before[box][0], age + 1
+        out[r[2]] = (box, age, before.get(r[2], (None, None))[1])
+    return out
+
+
+@pytest.mark.parametrize("plan", PLANS)
+def test_tracks_survive_missed_frames_and_crossings(spark, plan):
+    """Two objects cross; one is missed in some frames, others appear at random."""
+    rows, n = [], 0
+    for t in range(30):
+        left, right = 0.02 * t, 0.6 - 0.02 * t
+        boxes = [(left, 0.30, left + 0.2, 0.60), (right, 0.35, right + 0.2, 0.65)]
+        for k, box in enumerate(boxes):
+            if not (k == 0 and t in (5, 6, 20)):
+                rows.append(("v", t, n + k, *box))
+        rows.append(("v", t, n + 2, 0.9, 0.9, 1.0, 1.0) if t % 7 else ("v", t, n + 2, 0.9, 0.0, 1.0, 0.1))
+        n += 3
+    rng = np.random.default_rng(5)
+    for t in range(12):
+        for _ in range(6):
+            x, y = np.round(rng.uniform(0, 0.5, 2), 2)
+            rows.append(("w", t, n, float(x), float(y), float(x) + 0.3, float(y) + 0.3))
+            n += 1
+    boxes = spark.createDataFrame(
+        rows, "video_id string, frame_idx int, box_id long, x1 double, y1 double, x2 double, y2 double")
+    got = {r.box_id: (r.track_id, r.age, r.gap) for r in quality.tracked_boxes(boxes, 0.3, 3, **plan).collect()}
+    assert got == brute_tracks(rows, 0.3, 3)
+    # The missed object keeps its track over both gaps; one pass over adjacent frames loses it.
+    assert got[3 * 7] == (0, 5, 3) and got[3 * 29][0] == 0
+    assert {r.box_id: r.track_id for r in quality.iou_tracks(boxes, 0.3, **plan).collect()}[3 * 7] == 3 * 7
+    assert quality.tracked_boxes(boxes.where("false"), **plan).collect() == []
+
+
 def test_corruptions(spark):
     df = spark.createDataFrame([(1, [0, 1, 2, 3, 4, 5], [9] * 6)], "id int, w array<int>, d array<int>")
     row = df.select(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch_path
 from .ordering import CHUNK_ROWS, HOT_GROUP_ROWS, ordered
 from .tracks import tracks
 
@@ -39,8 +39,8 @@ def iou():
     return F.when(total > 0, shared / total).otherwise(F.lit(0.0))
 
 
-def overlapping_pairs(boxes: DataFrame, min_iou: float, **plan) -> DataFrame:
-    """Pairs (box, next_box, iou) of adjacent observed frames that overlap enough.
+def overlapping_pairs(boxes: DataFrame, min_iou: float, max_gap: int = 1, **plan) -> DataFrame:
+    """Pairs (box, next_box, gap, iou) that overlap enough, ``gap`` = 1 .. ``max_gap`` observed frames apart.
 
     Boxes meet only in grid cells both cover, and a pair counts in the one cell
     that holds the corner of its overlap, so boxes far apart are never paired
@@ -60,13 +60,14 @@ def overlapping_pairs(boxes: DataFrame, min_iou: float, **plan) -> DataFrame:
     )
     meet = ["video_id", "frame_pos", "_gx", "_gy"]
     left = gridded.withColumnRenamed("box", "a")
-    right = gridded.withColumn("frame_pos", F.col("frame_pos") - 1).withColumnRenamed("box", "b")
+    gaps = F.explode(F.sequence(F.lit(1), F.lit(max_gap))).alias("gap")
+    right = gridded.select("*", gaps).withColumn("frame_pos", F.col("frame_pos") - F.col("gap")).withColumnRenamed("box", "b")
     corner_x = F.floor(F.greatest(F.col("a.x1"), F.col("b.x1")) * GRID)
     corner_y = F.floor(F.greatest(F.col("a.y1"), F.col("b.y1")) * GRID)
     return (
         left.join(right, meet)
         .where((F.col("_gx") == corner_x) & (F.col("_gy") == corner_y))
-        .select(F.col("a.box_id").alias("box"), F.col("b.box_id").alias("next_box"), iou().alias("iou"))
+        .select(F.col("a.box_id").alias("box"), F.col("b.box_id").alias("next_box"), "gap", iou().alias("iou"))
         .where(F.col("iou") >= min_iou)
     )
 
@@ -77,10 +78,7 @@ def iou_tracks(
 ) -> DataFrame:
     """Track per box: boxes of adjacent frames that are each other's best overlap.
 
-    ``boxes`` has (video_id, frame_idx, box_id, corners). A box has at most one
-    follower, so tracks are chains; each box finds the head of its chain by
-    pointer doubling, in as many rounds as the longest chain has binary digits.
-    Every round joins only unresolved boxes, whose pointers are all different.
+    ``boxes`` has (video_id, frame_idx, box_id, corners).
     """
     boxes = materialize(boxes)
     pairs = materialize(overlapping_pairs(boxes, min_iou, hot_rows=hot_rows, chunk_rows=chunk_rows))
@@ -90,9 +88,60 @@ def iou_tracks(
     backward = pairs.groupBy("next_box").agg(
         F.max(F.struct(F.col("iou"), (-F.col("box")).alias("n"))).alias("_m")
     ).select("next_box", (-F.col("_m.n")).alias("box"))
-    links = forward.join(backward, ["box", "next_box"]).select(
-        F.col("next_box").alias("box_id"), F.col("box").alias("pointer"))
+    return chained(boxes, forward.join(backward, ["box", "next_box"])).select(
+        "video_id", "frame_idx", "box_id", "track_id", "age")
 
+
+def matched_links(pairs: DataFrame) -> DataFrame:
+    """One-to-one links (box, next_box, gap, iou): every box has one follower and follows one box at most.
+
+    Shorter gaps go before longer ones, then larger overlaps, then smaller ids. In a round
+    each pair that is the best left for both its boxes is taken and the pairs that compete with
+    it are dropped; that is what taking all pairs in order, one by one, would choose. A
+    round is two shuffles of the pairs that are left.
+    """
+    best_first = ["gap", F.desc("iou"), "box", "next_box"]
+    out, into = Window.partitionBy("box"), Window.partitionBy("next_box")
+    path = scratch_path(pairs.sparkSession, "links")
+    left = pairs
+    while True:
+        ranked = left.select("*", F.row_number().over(out.orderBy(*best_first)).alias("_out")).select(
+            "*", F.row_number().over(into.orderBy(*best_first)).alias("_in")).withColumn(
+            "_taken", (F.col("_out") == 1) & (F.col("_in") == 1))
+        ranked = ranked.withColumn("_met", F.max("_taken").over(into)).withColumn("_left", F.max("_taken").over(out))
+        state = materialize(ranked)
+        state.where("_taken").select(*pairs.columns).write.mode("append").parquet(path)
+        left = state.where(~F.col("_met") & ~F.col("_left")).select(*pairs.columns)
+        if left.isEmpty():
+            return pairs.sparkSession.read.schema(pairs.schema).parquet(path)
+
+
+def tracked_boxes(
+    boxes: DataFrame, min_iou: float = 0.3, max_gap: int = 3,
+    hot_rows: int = HOT_GROUP_ROWS, chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Track per box, over up to ``max_gap - 1`` missed frames and with one follower per box.
+
+    ``boxes`` has (video_id, frame_idx, box_id, corners). Adds ``track_id`` (the first box),
+    ``age`` (boxes before it in the track) and ``gap`` (observed frames since the box before
+    it; NULL at the start). Where boxes cross, the larger overlap keeps the link and the
+    other box takes its next best, instead of ending its track.
+    """
+    boxes = materialize(boxes)
+    pairs = overlapping_pairs(boxes, min_iou, max_gap, hot_rows=hot_rows, chunk_rows=chunk_rows)
+    return chained(boxes, matched_links(materialize(pairs)))
+
+
+def chained(boxes: DataFrame, links: DataFrame) -> DataFrame:
+    """Boxes with the head of their chain of links (``box``, ``next_box``) and their place in it.
+
+    A box has at most one follower, so tracks are chains; each box finds its head by pointer
+    doubling, in as many rounds as the longest chain has binary digits. A round joins the
+    unresolved boxes, whose pointers are all different, with the (id, pointer, age) of all.
+    """
+    links = links.select(F.col("next_box").alias("box_id"), F.col("box").alias("pointer"),
+                         F.col("gap") if "gap" in links.columns else F.lit(1).alias("gap"))
+    links = materialize(links)
     state = materialize(boxes.select("box_id").join(links, "box_id", "left").select(
         "box_id",
         F.coalesce("pointer", "box_id").alias("pointer"),
@@ -109,7 +158,7 @@ def iou_tracks(
             "box_id", F.col("_next").alias("pointer"),
             (F.col("age") + F.col("_age")).alias("age"), F.col("_done").alias("done")))
         finished, unfinished = finished.unionByName(moved.where("done")), moved.where(~F.col("done"))
-    state = finished
     return boxes.join(
-        state.select("box_id", F.col("pointer").alias("track_id"), "age"), "box_id"
-    ).select("video_id", "frame_idx", "box_id", "track_id", "age")
+        finished.select("box_id", F.col("pointer").alias("track_id"), "age"), "box_id"
+    ).join(links.select("box_id", "gap"), "box_id", "left").select(
+        "video_id", "frame_idx", "box_id", "track_id", "age", "gap")

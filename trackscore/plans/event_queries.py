@@ -185,14 +185,22 @@ def identity_counts(spark, sf):
 MIN_IOU = 0.1
 
 
-@query("iou_tracks", f""",
+BOXES_SQL = """,
 cl AS (SELECT video_id, CAST(trunc(timestamp * 25) AS BIGINT) AS frame_idx, row_ord,
   greatest(0.0::DOUBLE, least(1.0::DOUBLE, x1)) AS x1, greatest(0.0::DOUBLE, least(1.0::DOUBLE, y1)) AS y1,
   greatest(0.0::DOUBLE, least(1.0::DOUBLE, x2)) AS x2, greatest(0.0::DOUBLE, least(1.0::DOUBLE, y2)) AS y2 FROM annotations),
 b AS (SELECT video_id, frame_idx, min(row_ord) AS box_id, x1, y1, x2, y2 FROM cl WHERE x1 < x2 AND y1 < y2 GROUP BY ALL),
 fr AS (SELECT video_id, frame_idx, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) AS fp
   FROM (SELECT DISTINCT video_id, frame_idx FROM b)),
-bf AS (SELECT b.*, fp FROM b JOIN fr USING (video_id, frame_idx)),
+bf AS (SELECT b.*, fp FROM b JOIN fr USING (video_id, frame_idx))"""
+
+
+def track_boxes(spark, sf):
+    rows = fb.drop_degenerate(fb.clamp_boxes(fb.with_frame_index(dt.annotations(spark, sf))))
+    return rows.groupBy("video_id", "frame_idx", "x1", "y1", "x2", "y2").agg(F.min("row_ord").alias("box_id"))
+
+
+@query("iou_tracks", f"""{BOXES_SQL},
 pr AS (SELECT p.box_id AS a, q.box_id AS n,
   greatest(least(p.x2,q.x2)-greatest(p.x1,q.x1), 0.0::DOUBLE) * greatest(least(p.y2,q.y2)-greatest(p.y1,q.y1), 0.0::DOUBLE) AS s,
   (p.x2-p.x1)*(p.y2-p.y1) + (q.x2-q.x1)*(q.y2-q.y1) AS t
@@ -209,10 +217,34 @@ SELECT b.video_id, b.frame_idx, b.box_id, ch.track_id, ch.age FROM b JOIN (
   SELECT * FROM chain) ch USING (box_id)
 """)
 def iou_tracks(spark, sf):
-    rows = fb.drop_degenerate(fb.clamp_boxes(fb.with_frame_index(dt.annotations(spark, sf))))
-    boxes = rows.groupBy("video_id", "frame_idx", "x1", "y1", "x2", "y2").agg(
-        F.min("row_ord").alias("box_id"))
-    return quality.iou_tracks(boxes, MIN_IOU)
+    return quality.iou_tracks(track_boxes(spark, sf), MIN_IOU)
+
+
+MAX_GAP = 3
+
+
+@query("tracked_boxes", f"""{BOXES_SQL},
+pr AS (SELECT p.box_id AS a, q.box_id AS n, q.fp - p.fp AS gap,
+  greatest(least(p.x2,q.x2)-greatest(p.x1,q.x1), 0.0::DOUBLE) * greatest(least(p.y2,q.y2)-greatest(p.y1,q.y1), 0.0::DOUBLE) AS s,
+  (p.x2-p.x1)*(p.y2-p.y1) + (q.x2-q.x1)*(q.y2-q.y1) AS t
+  FROM bf p JOIN bf q ON p.video_id = q.video_id AND q.fp > p.fp AND q.fp <= p.fp + {MAX_GAP}),
+ok AS (SELECT a, n, gap, s / (t - s) AS iou FROM pr WHERE s / (t - s) >= {MIN_IOU} AND s > 0),
+m(a, n, gap, iou, pick) AS (
+  SELECT a, n, gap, iou, false FROM ok
+  UNION ALL
+  SELECT a, n, gap, iou, ra = 1 AND rn = 1 FROM (
+    SELECT *, row_number() OVER (PARTITION BY a ORDER BY gap, iou DESC, a, n) AS ra,
+      row_number() OVER (PARTITION BY n ORDER BY gap, iou DESC, a, n) AS rn
+    FROM (SELECT *, bool_or(pick) OVER (PARTITION BY a) AS pa, bool_or(pick) OVER (PARTITION BY n) AS pn FROM m)
+    WHERE NOT pa AND NOT pn)),
+lk AS (SELECT a, n, gap FROM m WHERE pick),
+chain(box_id, track_id, age, gap) AS (
+  SELECT box_id, box_id, 0::BIGINT, NULL::BIGINT FROM b WHERE box_id NOT IN (SELECT n FROM lk)
+  UNION ALL SELECT lk.n, chain.track_id, chain.age + 1, lk.gap FROM chain JOIN lk ON lk.a = chain.box_id)
+SELECT b.video_id, b.frame_idx, b.box_id, track_id, age, CAST(chain.gap AS INTEGER) AS gap FROM b JOIN chain USING (box_id)
+""", views=f"RECURSIVE {dt.ANNOTATIONS_SQL}")
+def tracked_boxes(spark, sf):
+    return quality.tracked_boxes(track_boxes(spark, sf), MIN_IOU, MAX_GAP)
 
 
 ARRAYS_SQL = FILLED_SQL + """,
