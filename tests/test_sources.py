@@ -239,6 +239,32 @@ def test_feature_stream(spark, annotations, tmp_path):
     assert drain() == 7
 
 
+def test_feature_stream_drops_repeats_in_state(spark, tmp_path):
+    """Repeats of other triggers, before and after a restart, do not reach a batch within the delay; later ones do."""
+    source, path, progress = str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "progress")
+    batches = [
+        [("a", 0), ("b", 10), ("a", 20)],
+        [("b", 60), ("c", 70)],
+        [("a", 90), ("c", 100), ("d", 110)],
+        [("e", 1000)],
+        [("a", 1010), ("c", 5), (None, 1020)],  # a is new again, c comes too late
+    ]
+
+    def run():
+        stream = spark.readStream.schema("key string, event_time timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+        start_feature_stream(stream, path, "sig", extractor, str(tmp_path / "ck"), "event_time", "200 seconds", progress).awaitTermination()
+        return sorted(tuple(r) for r in spark.read.parquet(progress).where("n_keys > 0").select("batch_id", "n_keys").collect())
+
+    for i, rows in enumerate(batches):
+        frame = spark.createDataFrame([(k, float(t)) for k, t in rows], "key string, t double")
+        frame.select("key", F.timestamp_seconds("t").alias("event_time")).coalesce(1).write.mode("append").parquet(source)
+        if i in (1, 3, 4):
+            found = run()
+    counts = [n for _, n in found]
+    assert counts == [2, 1, 1, 1, 1] and store.read_store(spark, path, "sig").count() == 5
+    assert run() == found  # nothing new: nothing changes
+
+
 def test_stream_events_agree_with_batch(spark, tmp_path):
     rng = np.random.default_rng(9)
     rows, n = [], 0

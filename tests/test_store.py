@@ -84,6 +84,53 @@ def test_errors_leave_the_store_alone(annotations, spark, tmp_path):
     assert store.read_store(spark, path, SIGNATURE).count() == 2
 
 
+def test_two_writers_store_a_key_once(annotations, spark, tmp_path, monkeypatch):
+    """Another writer publishes between this one's look at the store and its publication; it wins its keys."""
+    path = str(tmp_path / "store")
+    keys = with_feature_key(annotations).select("key").orderBy("key")
+    early, late = keys.limit(4), keys
+    publish, others = store.publish, []
+
+    def interrupted(*args):
+        if not others:
+            others.append(1)
+            store.ensure(early, path, SIGNATURE, lambda key: extractor(key) + 1).collect()
+        return publish(*args)
+
+    monkeypatch.setattr(store, "publish", interrupted)
+    got = store.ensure(late, path, SIGNATURE, extractor).collect()
+    assert len(got) == 7 and store.last_batch(spark, path, SIGNATURE) == 2
+    won = {r.key for r in early.collect()}
+    for row in got:
+        np.testing.assert_allclose(row.feature, extractor(row.key) + (row.key in won), rtol=1e-6)
+    # The batches that were there at the start are still readable as they were.
+    assert store.read_store(spark, path, SIGNATURE, 0).isEmpty() and store.read_store(spark, path, SIGNATURE, 1).count() == 4
+    assert list((tmp_path / "store" / "_staging").iterdir()) == []
+
+
+def test_a_failed_publication_leaves_nothing(annotations, spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    keys = with_feature_key(annotations).select("key")
+    store.ensure(keys.limit(3), path, SIGNATURE, extractor).collect()
+
+    def broken(self, source, target):
+        raise OSError("the file system went away")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(store._Folder, "move", broken)
+        with pytest.raises(OSError, match="went away"):
+            store.ensure(keys, path, SIGNATURE, extractor)
+    assert store.read_store(spark, path, SIGNATURE).count() == 3
+    assert list((tmp_path / "store" / "_staging").iterdir()) == []
+    # The number is taken: the rename refuses, and the next one is used.
+    folder = store._Folder(spark, path)
+    assert not folder.move(f"{path}/signature={SIGNATURE}/batch=000000001", f"{path}/signature={SIGNATURE}/batch=000000001")
+    assert store.ensure(keys, path, SIGNATURE, extractor).count() == 7
+    rows = store.read_store(spark, path, SIGNATURE)
+    store.append_store(rows, path)
+    assert store.read_store(spark, path, SIGNATURE).count() == 7
+
+
 def test_other_weights_open_another_store(annotations, spark, tmp_path):
     path = str(tmp_path / "store")
     keys = with_feature_key(annotations).select("key")

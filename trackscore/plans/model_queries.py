@@ -145,6 +145,34 @@ def stream_features(spark, sf):
     return store.read_store(spark, path, signature).select("key", "valid")
 
 
+ROUNDS = 4
+
+
+@query("stream_feature_dedup", f"""
+SELECT key, f % 11 <> 0 AS valid FROM (
+  SELECT DISTINCT {KEY_SQL} AS key, CAST(trunc(timestamp * 25) AS BIGINT) AS f FROM annotations)
+""")
+def stream_feature_dedup(spark, sf):
+    """The stored keys after a stream of several triggers, with repeats and a restart.
+
+    A quarter of the events arrives per trigger, each with a second copy of the quarter before;
+    the stream stops half-way and goes on from its checkpoint.
+    """
+    rows = fk.with_feature_key(dt.annotations(spark, sf, "ts")).select(
+        "key", F.col("ts").cast("timestamp").alias("event_time"), F.col("row_ord").alias("at"))
+    n = rows.agg(F.max("at")).first()[0] or 0
+    source, path, state = (scratch_path(spark, name) for name in ("keys", "store", "stream"))
+    signature = fk.store_signature("1" * 64)
+    quarter = F.floor(F.col("at") * ROUNDS / (n + 1))
+    for turn in range(ROUNDS):
+        # One file is one trigger.
+        rows.where(quarter.isin(turn, turn - 1)).select("key", "event_time").coalesce(1).write.mode("append").parquet(source)
+        if turn in (1, ROUNDS - 1):
+            keys = spark.readStream.schema("key string, event_time timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+            start_feature_stream(keys, path, signature, key_vector, state, "event_time", "12 hours").awaitTermination()
+    return store.read_store(spark, path, signature).select("key", "valid")
+
+
 DELAY = timedelta(minutes=10)
 DAY = 86_400.0
 #: No track is silent for so long; and a time that tracks often are.
