@@ -41,7 +41,7 @@ def test_agrees_with_the_library(spark, awkward, library):
 def test_small_steps_and_a_full_memo_change_nothing(monkeypatch, library):
     import pyarrow as pa
 
-    coder = pairbpe.Coder(pairbpe.Vocabulary.read(vocabulary_path()))
+    coder = pairbpe.Coder(pairbpe.Vocabulary.read(vocabulary_path()).tables())
     texts = pa.array(TEXTS * 3)
     want = coder.encode(texts)
     monkeypatch.setattr(pairbpe, "MEMO", 3)
@@ -58,3 +58,13 @@ def test_empty_table_and_other_files(spark, awkward, tmp_path):
     other = vocabulary_path().replace("word_bpe_49k", "byte_bpe_50k")
     with pytest.raises((ValueError, KeyError, TypeError)):
         pairbpe.Vocabulary.read(other)
+
+
+def test_tables_need_no_package_to_be_loaded():
+    """Executors get the tables by a broadcast, which pickles classes by name: there are only built-in types and arrays."""
+    import pickle
+    import pickletools
+
+    data = pickle.dumps(pairbpe.Vocabulary.read(vocabulary_path()).tables())
+    names = {arg for op, arg, _ in pickletools.genops(data) if op.name in ("GLOBAL", "SHORT_BINUNICODE") and isinstance(arg, str)}
+    assert not any(n.startswith("trackscore") for n in names)

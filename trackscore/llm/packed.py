@@ -33,13 +33,19 @@ MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 BATCH_ROWS = 2000
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let tasks get whole texts by ``BATCH_ROWS`` at most: Spark's default of 10,000 holds tens of MB on both sides."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Let tasks get texts by ``BATCH_ROWS`` and ``BATCH_BYTES`` at most: Spark's defaults hold tens of MB on both sides.
+
+    The settings are read when a plan runs, so they stay with the session.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
+                       ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def release() -> None:

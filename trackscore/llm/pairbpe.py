@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from . import packed
 
-MEMO = 100_000  # pre-tokens a task remembers
-STEP_BYTES = 5_000_000  # of texts whose new pre-tokens are merged together
+MEMO = 60_000  # pre-tokens, and as many words, that a task remembers
+STEP_BYTES = 3_000_000  # of texts whose new pre-tokens are merged together
 
 
 def byte_symbols() -> list[str]:
@@ -61,6 +61,25 @@ class Vocabulary:
         return cls(model["vocab"], merges, before[0]["pattern"]["Regex"], model["end_of_word_suffix"] or "",
                    {t["content"]: t["id"] for t in spec["added_tokens"]})
 
+    def tables(self) -> dict:
+        """What coding needs, as arrays and built-in types: tasks can load it without this package."""
+        ids, symbols = self.ids, byte_symbols()
+        names = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
+        base = max(names) + 1
+        first: dict[int, int] = {}
+        for rank, (a, b) in enumerate(self.merges):
+            first.setdefault(ids[a] * base + ids[b], rank)
+        keys = np.array(sorted(first), np.int64)
+        return {
+            "pattern": self.pattern, "special": dict(self.special), "names": [names.get(i, "") for i in range(base)],
+            "inner": np.array([ids.get(s, -1) for s in symbols], np.int64),
+            "last": np.array([ids.get(s + self.suffix, -1) for s in symbols], np.int64),
+            "keys": keys, "ranks": np.array([first[k] for k in keys.tolist()], np.int64),
+            "made": np.array([ids[a + b] for a, b in self.merges], np.int64),
+            "left": np.array([ids[a] for a, _ in self.merges], np.int64),
+            "right": np.array([ids[b] for _, b in self.merges], np.int64),
+        }
+
 
 def _distinct(parts: list[np.ndarray]) -> np.ndarray:
     """Ascending distinct values."""
@@ -69,29 +88,17 @@ def _distinct(parts: list[np.ndarray]) -> np.ndarray:
 
 
 class Coder:
-    """Encodes and decodes with one vocabulary; a task makes one."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        v = vocabulary
-        self.suffix, self.special = v.suffix, v.special
-        self.pattern = regex.compile(v.pattern)
-        self.marks = regex.compile("|".join(map(regex.escape, sorted(v.special, key=len, reverse=True)))) if v.special else None
-        symbols = byte_symbols()
-        self.inner = np.array([v.ids.get(s, -1) for s in symbols], np.int64)
-        self.last = np.array([v.ids.get(s + v.suffix, -1) for s in symbols], np.int64)
-        names = {i: t for t, i in v.ids.items()} | {i: t for t, i in v.special.items()}
-        self.names = [names.get(i, "") for i in range(max(names) + 1)]
-        self.base = len(self.names)
-        keys, made = {}, []
-        for rank, (a, b) in enumerate(v.merges):
-            keys.setdefault(v.ids[a] * self.base + v.ids[b], rank)
-            made.append(v.ids[a + b])
-        self.keys = np.array(sorted(keys), np.int64)
-        self.ranks = np.array([keys[k] for k in self.keys.tolist()], np.int64)
-        self.made = np.array(made, np.int64)
-        self.left = np.array([v.ids[a] for a, _ in v.merges], np.int64)
-        self.right = np.array([v.ids[b] for _, b in v.merges], np.int64)
+    """Encodes and decodes with the tables of one vocabulary; a task makes one."""
+
+    def __init__(self, tables: dict):
+        self.special, self.names, self.base = tables["special"], tables["names"], len(tables["names"])
+        self.inner, self.last, self.keys, self.ranks, self.made, self.left, self.right = (
+            tables[name] for name in ("inner", "last", "keys", "ranks", "made", "left", "right"))
+        self.pattern = regex.compile(tables["pattern"])
+        marks = sorted(self.special, key=len, reverse=True)
+        self.marks = regex.compile("|".join(map(regex.escape, marks))) if marks else None
         self.memo: dict[bytes, str] = {}
+        self.words: dict[bytes, str] = {}
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where it does not merge."""
@@ -185,15 +192,21 @@ class Coder:
 
     def encode_words(self, words: list[bytes]) -> list[str]:
         """Ids of each distinct white-space word, in decimal, joined by one space."""
-        cut = [self.pieces_of(w.decode("utf-8")) for w in words]
-        wanted = {p for parts in cut for p in parts if type(p) is bytes}
-        new = [p for p in wanted if p not in self.memo]
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {p: self.memo[p] for p in wanted if p in self.memo}
-        if new:
-            self.memo.update(zip(new, (" ".join(map(str, ids.tolist())) for ids in self.merge(new))))
-        memo = self.memo
-        return [" ".join([memo[p] if type(p) is bytes else str(p) for p in parts]) for parts in cut]
+        known = self.words
+        unseen = [w for w in words if w not in known]
+        if len(known) + len(unseen) > MEMO:
+            known = self.words = {w: known[w] for w in words if w in known}
+        if unseen:
+            cut = [self.pieces_of(w.decode("utf-8")) for w in unseen]
+            wanted = {p for parts in cut for p in parts if type(p) is bytes}
+            new = [p for p in wanted if p not in self.memo]
+            if len(self.memo) + len(new) > MEMO:
+                self.memo = {p: self.memo[p] for p in wanted if p in self.memo}
+            if new:
+                self.memo.update(zip(new, (" ".join(map(str, ids.tolist())) for ids in self.merge(new))))
+            memo = self.memo
+            known.update(zip(unseen, (" ".join([memo[p] if type(p) is bytes else str(p) for p in parts]) for parts in cut)))
+        return [known[w] for w in words]
 
     def encode(self, column) -> tuple[list[str], list[str]]:
         """(ids, decoded text) of each text of an Arrow string column."""
@@ -267,7 +280,7 @@ def encode(docs: DataFrame, vocabulary_path: str, *, text: str = "text") -> Data
     are joined by spaces.
     """
     packed.small_batches(docs.sparkSession)
-    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(vocabulary_path))
+    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(vocabulary_path).tables())
     kept = [c for c in docs.columns if c not in ("n_tokens", "token_ids", "decoded")]
     inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(f"`{text}`").cast("string").alias("_text"))
     schema = ", ".join([*(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)),
