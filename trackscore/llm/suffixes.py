@@ -72,8 +72,10 @@ class _Anchors:
             # A position is an anchor if some window has its minimum there.
             edge = np.zeros(inner - 1, np.uint64)
             self.at = np.flatnonzero(h == spread_minimum(np.concatenate([edge, least, edge]), inner, largest=True))
+            self.least = least
         else:
-            self.at = np.zeros(0, np.int64)
+            self.at, self.least = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.height = h[self.at]
         # Anchors have small hashes; mixed once more they spread evenly over the buckets.
         with np.errstate(over="ignore"):
             self.prints, self.docs = packed.mixed(h[self.at] + packed.ODD), of_byte[self.at]
@@ -93,7 +95,9 @@ class _Anchors:
 
         Returns (hash, bytes, bounds, owner, position -> context). A context has the
         ``length - anchor`` bytes before the anchor and ``length`` from it; what lies beyond
-        the text is zero, and ``bounds`` says how much there is of either.
+        the text is zero. ``bounds`` says at which of its windows, from and to, the anchor is
+        the minimum: a window is compared there and nowhere else. That depends on the window's
+        bytes alone, so equal windows are compared at the same place of equal anchors.
         """
         reach = length - anchor
         at, docs, prints = self.at[keep], self.docs[keep], self.prints[keep]
@@ -120,7 +124,12 @@ class _Anchors:
         of[order] = context
         first = order[fresh]
         owner = np.minimum.reduceat(self.ids[docs[order]], np.flatnonzero(fresh)) if len(order) else np.zeros(0, np.int64)
-        bounds = np.stack([left[first], right[first]], axis=1).astype(np.uint8)
+        start = at[first][:, None] - reach + np.arange(reach + 1)
+        inside = (start >= 0) & (start < len(self.least))
+        lowest = self.least[np.clip(start, 0, max(0, len(self.least) - 1))] == self.height[keep][first][:, None] if len(at) else inside
+        mine = inside & lowest
+        begin = mine.argmax(axis=1) if len(first) else np.zeros(0, np.int64)
+        bounds = np.stack([begin, begin + mine.sum(axis=1)], axis=1).astype(np.uint8)
         return prints[first], body[first], bounds, owner, of, at, docs
 
 
@@ -223,12 +232,10 @@ def _merged(strings: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def earlier_windows(body: np.ndarray, bounds: np.ndarray, owners: np.ndarray, length: int, anchor: int,
                     batches: int = BATCHES) -> np.ndarray:
-    """For each context and window start: does the window start in a smaller document too?"""
-    reach = length - anchor
-    starts = reach + 1
+    """For each context and window start within its bounds: does the window start in a smaller document too?"""
+    starts = length - anchor + 1
     offsets = np.arange(starts)
-    left, right = bounds[:, :1].astype(np.int64), bounds[:, 1:].astype(np.int64)
-    real = (offsets >= reach - left) & (offsets + length <= reach + right)
+    real = (offsets >= bounds[:, :1]) & (offsets < bounds[:, 1:])
     answer = np.zeros((len(body), starts), bool)
     levels = SuffixLevels()
     order = np.argsort(owners, kind="stable")
