@@ -1,5 +1,7 @@
 """Benchmark leaks, verbatim and with other slot values."""
 
+import random
+
 from llm_help import documents
 from pyspark.sql import functions as F
 
@@ -9,8 +11,11 @@ ITEM = ("Yesterday Anna Berg bought 12 kg of rice and 30 kg of beans for 45.50 e
         "then Carl Lund carried 12 kg of it home to Anna Berg over 3 km of road.")
 SWAPPED = ("Yesterday Mira Holt bought 7 kg of rice and 99 kg of beans for 1,200 euros, "
            "then Otto Quist carried 7 kg of it home to Mira Holt over 8 miles of road.")
-BROKEN = ("Yesterday Mira Holt bought 7 kg of rice and 99 kg of beans for 1,200 euros, "
-          "then Otto Quist carried 6 kg of it home to Olga Finn over 8 miles of road.")
+# No stretch of 13 tokens is filled consistently: a value of the item that comes again stands for another one.
+DENSE = "put 12 kg of rice and 12 kg of beans then 12 kg of salt or 12 kg of figs in"
+BROKEN = "put 12 kg of rice and 13 kg of beans then 14 kg of salt or 15 kg of figs in"
+LATER = ("Yesterday Mira Holt bought 7 kg of rice and 99 kg of beans for 1,200 euros, "
+         "then Otto Quist carried 6 kg of it home to Olga Finn over 8 miles of road.")
 SHORT = "the small grey cat sat under nine old red trees"
 
 
@@ -32,21 +37,57 @@ def test_verbatim_and_reparameterised_items_are_found(spark, awkward, prose):
     bench = items(spark, [(1, ITEM), (2, SHORT), (3, None), (4, ""), (5, "too short"), (6, prose(50)), (1, ITEM)])
     leaks = templates.find_leaks(docs, bench).collect()
     found = {(r.doc_id, r.item_id) for r in leaks}
-    assert found == {(900, 1), (901, 1), (902, 1), (904, 2), (906, 1), (None, 1)}
+    assert found == {(900, 1), (901, 1), (902, 1), (904, 2), (905, 1), (906, 1), (None, 1)}
     assert {r.doc_id: r.exact for r in leaks if r.doc_id in (900, 901)} == {900: True, 901: False}
 
 
 def test_slots_must_be_filled_consistently(spark, prose):
-    docs = documents(spark, [(1, SWAPPED), (2, BROKEN)])
-    assert {r.doc_id for r in templates.find_leaks(docs, items(spark, [(1, ITEM)])).collect()} == {1}
+    docs = documents(spark, [(1, SWAPPED), (2, BROKEN), (3, DENSE.replace("12", "9"))])
+    leaks = templates.find_leaks(docs, items(spark, [(1, ITEM), (2, DENSE)])).collect()
+    assert {(r.doc_id, r.item_id) for r in leaks} == {(1, 1), (3, 2)}
 
 
 def test_copied_stretch_of_an_inconsistent_run(spark, prose):
     """A copy that changes one repeated number at the end; the run goes on over it."""
     changed = ITEM.replace("carried 12 kg", "carried 13 kg")
-    docs = documents(spark, [(1, f"{prose(9)} {changed} {prose(9)}"), (2, BROKEN)])
+    docs = documents(spark, [(1, f"{prose(9)} {changed} {prose(9)}"), (2, LATER)])
     leaks = templates.find_leaks(docs, items(spark, [(1, ITEM)])).collect()
-    assert {r.doc_id for r in leaks} == {1} and all(r.exact and r.n_tokens >= templates.LEAK for r in leaks)
+    assert {r.doc_id for r in leaks} == {1, 2} and all(r.n_tokens >= templates.LEAK for r in leaks)
+    assert any(r.exact for r in leaks if r.doc_id == 1) and not any(r.exact for r in leaks if r.doc_id == 2)
+
+
+def brute_stretches(d, i):
+    """Maximal stretches (start, length) whose slots are filled one to one."""
+    def fine(a, z):
+        pairs = {(d[k], i[k]) for k in range(a, z) if i[k].startswith("<")}
+        return len(pairs) == len({p[0] for p in pairs}) == len({p[1] for p in pairs})
+
+    n = len(d)
+    good = [(a, z) for a in range(n) for z in range(a + 1, n + 1) if fine(a, z)]
+    return {(a, z - a) for a, z in good if not any((b, y) != (a, z) and b <= a and z <= y for b, y in good)}
+
+
+def test_consistent_stretches_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for n in range(60):
+        kinds = [rng.random() < 0.6 for _ in range(rng.randint(1, 14))]
+        rows.append((n, [f"<n:{rng.randint(1, 3)}>" if k else "w" for k in kinds], [f"<n:{rng.randint(1, 3)}>" if k else "w" for k in kinds]))
+    got = {}
+    for r in templates.consistent_stretches(spark.createDataFrame(rows, "id int, d array<string>, i array<string>")).collect():
+        got.setdefault(r.id, set()).add((r.leak.at, r.leak.n))
+        part = slice(r.leak.at, r.leak.at + r.leak.n)
+        assert r.leak.exact == (r.d[part] == r.i[part])
+    assert got == {n: brute_stretches(d, i) for n, d, i in rows}
+
+
+def test_short_items_and_other_case(spark, prose):
+    rows = [(1, f"{prose(9)} five small words Stand here {prose(9)}"), (2, "FIVE SMALL WORDS STAND HERE"), (3, "five small words stand there"),
+            (4, f"{prose(3)}. {ITEM.lower()} {prose(3)}"), (5, "too short Item"), (6, f"{prose(4)} pay 7 dollars to Ann now {prose(4)}"),
+            (7, "pay 8 dollars to Ann now"), (None, "five small words stand here"), (1, "again five small words stand here")]
+    bench = items(spark, [(1, "Five small words stand here."), (2, "too short item"), (3, "Pay 7 dollars to Ann now"), (4, ITEM)])
+    found = {(r.doc_id, r.item_id) for r in templates.find_leaks(documents(spark, rows), bench).collect()}
+    assert found == {(1, 1), (2, 1), (None, 1), (4, 4), (6, 3)}
 
 
 def test_items_with_few_ordinary_words(spark, prose):

@@ -5,9 +5,9 @@ a benchmark item that was re-parameterised keeps its template. Windows of ``WIND
 template tokens are hashed and joined: benchmark items give a window at every position,
 documents one at every few positions, close enough that no leak can slip between them.
 A shared window names a diagonal of document and item, on which all tokens are compared.
-A run of equal template tokens is a leak if it is long enough and its slots are filled
+A stretch of equal template tokens is a leak if it is long enough and its slots are filled
 consistently: equal values of the item stand for equal values of the document, and
-different for different. In other runs, long enough copies word for word are leaks.
+different for different.
 
 DataFrame functions only. Benchmark windows are broadcast where their counted number is
 at most ``BROADCAST_WINDOWS``; beyond that Spark joins them by its own choice.
@@ -19,12 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from . import packed
 
 WINDOW = 8
 LEAK = 13  # tokens in a row, or the whole item where it is shorter
 STRIDE = 6
+LEAST = 5  # tokens of the shortest item that is searched
 LITERALS = 2  # ordinary words that a window needs to be met by its template; others are met by their own values
 BROADCAST_WINDOWS = 500_000
 
@@ -59,9 +60,26 @@ def template_tokens(text: Column, values: bool = False, name: str = NAME) -> Col
 
 
 def _readings(text: Column) -> Column:
-    """(reading, filled): names inside sentences only, and every capitalised word, wherever it stands."""
-    return F.inline(F.array(*(F.struct(F.lit(i).alias("reading"), template_tokens(text, True, name).alias("filled"))
-                              for i, name in enumerate((NAME, CAPITALISED)))))
+    """(reading, filled, template, own): the text's tokens read in three ways, with a code per token.
+
+    Names are capitalised words inside sentences (0), all capitalised words (1), or none (2:
+    names and units are ordinary words, whatever their case). ``template`` codes a slot by its kind, ``own`` by its value.
+    """
+    def coded(reading: Column, filled: Column) -> Column:
+        return F.struct(
+            reading.cast("int").alias("reading"), filled.alias("filled"),
+            F.transform(filled, lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 2)).otherwise(t))).alias("template"),
+            F.transform(filled, lambda t: F.xxhash64(t)).alias("own"))
+
+    def unnamed(t: Column) -> Column:
+        return F.when(t.startswith("<p:") | t.startswith("<u:"), F.substring(t, F.lit(4), F.length(t) - 4)).otherwise(t)
+
+    # Arrays of one element bind their token list, so that it is made once.
+    inside = F.transform(F.array(template_tokens(text, True, NAME)), lambda f: coded(F.lit(0), f))
+    named = F.array(template_tokens(text, True, CAPITALISED))
+    both = F.transform(named, lambda f: F.array(f, F.transform(f, unnamed)))
+    anywhere = F.transform(F.flatten(both), lambda f, i: coded(i + 1, f))
+    return F.inline(F.concat(inside, anywhere))
 
 
 def _is_slot(token: Column) -> Column:
@@ -82,35 +100,35 @@ def _starts(tokens: Column, width: int, stride: int) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
 
 
-def _hash(tokens: Column) -> Column:
-    return F.xxhash64("reading", F.array_join(tokens, " "))
+def _literals(template: Column, at: Column, width: int) -> Column:
+    """Ordinary words of a window."""
+    kinds = [F.xxhash64(F.lit(f"<{k}")) for k in "pnu"]
+    return F.size(F.filter(_window(template, at, width), lambda c: (c != kinds[0]) & (c != kinds[1]) & (c != kinds[2])))
 
 
-def _literals(window: Column) -> Column:
-    return F.size(F.filter(window, lambda t: ~_is_slot(t)))
-
-
-def _print(filled: Column, at: Column, width: int) -> Column:
+def _print(at: Column, width: int) -> Column:
     """Hash of a window: of its template if it has enough ordinary words, else of its own values."""
-    own = _window(filled, at, width)
-    return F.when(_literals(own) >= LITERALS, _hash(_template(own))).otherwise(_hash(own))
+    template, own = F.col("template"), F.col("own")
+    return F.xxhash64("reading", F.when(_literals(template, at, width) >= LITERALS, _window(template, at, width))
+                      .otherwise(_window(own, at, width)))
 
 
-def _sampled(filled: Column, width: int, stride: int) -> Column:
+def _sampled(width: int, stride: int) -> Column:
     """Starts every ``stride`` tokens; where the window there has too few ordinary words, all starts around it too."""
-    last = F.size(filled) - width
+    template = F.col("template")
+    last = F.size(template) - width
 
     def around(at: Column) -> Column:
-        thin = _literals(_window(filled, at, width)) < LITERALS
+        thin = _literals(template, at, width) < LITERALS
         return F.when(thin, F.sequence(F.greatest(at - (stride - 1), F.lit(0)), F.least(at + (stride - 1), last))).otherwise(F.array(at))
 
-    return F.array_distinct(F.flatten(F.transform(_starts(filled, width, stride), around)))
+    return F.array_distinct(F.flatten(F.transform(_starts(template, width, stride), around)))
 
 
 def benchmark_windows(items: DataFrame, width: int) -> DataFrame:
     """(item, at, print) for every window of an item in one reading."""
-    placed = items.select("item", "reading", "filled", F.explode(_starts(F.col("filled"), width, 1)).alias("at"))
-    return placed.select("item", "at", _print(F.col("filled"), F.col("at"), width).alias("print"))
+    placed = items.select("item", "reading", "template", "own", F.explode(_starts(F.col("filled"), width, 1)).alias("at"))
+    return placed.select("item", "at", _print(F.col("at"), width).alias("print"))
 
 
 def _bounded(windows: DataFrame, count: int) -> DataFrame:
@@ -124,27 +142,60 @@ def _stretches(same: Column) -> Column:
                       lambda a, z: F.struct((a + 1).alias("at"), (z - a - 1).alias("n")))
 
 
+def consistent_stretches(runs: DataFrame) -> DataFrame:
+    """``runs`` (with token arrays ``d`` and ``i`` of equal templates) with ``leak`` (at, n, exact): a row per
+    maximal stretch in which equal values of the item stand for equal ones of the document, and different for different.
+
+    A slot is barred by the last slot before it that contradicts it. A stretch starts after
+    such a slot, or with the run, and ends before the first slot that is barred by one inside.
+    """
+    indexed = F.transform(F.arrays_zip("d", "i"), lambda x, at: F.struct(at.alias("at"), x["d"].alias("d"), x["i"].alias("i")))
+    slots = materialize(runs.withColumn("slots", F.filter(indexed, lambda x: _is_slot(x["i"]))))
+
+    def barred(x: Column) -> Column:
+        against = F.filter("slots", lambda y: (y["at"] < x["at"]) & ((y["d"] == x["d"]) != (y["i"] == x["i"])))
+        return F.struct(x["at"].alias("at"), F.coalesce(F.array_max(F.transform(against, lambda y: y["at"])), F.lit(-1)).alias("by"))
+
+    # Distinct pairs decide whether anything contradicts at all; nearly all runs stop here.
+    pairs = F.array_distinct(F.transform("slots", lambda x: F.struct(x["d"], x["i"])))
+    fine = ((F.size(pairs) == F.size(F.array_distinct(F.col("slots.d")))) & (F.size(pairs) == F.size(F.array_distinct(F.col("slots.i")))))
+    bars = slots.withColumn("bars", F.when(fine, F.array().cast("array<struct<at:int,by:int>>"))
+                            .otherwise(F.transform("slots", barred)))
+    starts = F.array_distinct(F.concat(F.array(F.lit(0)), F.transform("bars", lambda b: b["by"] + 1)))
+    begun = materialize(bars.withColumn("at", F.explode(starts)))
+    end = F.coalesce(F.array_min(F.transform(F.filter("bars", lambda b: b["by"] >= F.col("at")), lambda b: b["at"])), F.size("d"))
+    ended = begun.withColumn("end", end)
+    # A start is needed if the slot before it contradicts one inside.
+    needed = (F.col("at") == 0) | F.exists("bars", lambda b: (b["by"] == F.col("at") - 1) & (b["at"] < F.col("end")))
+    inside = F.filter("slots", lambda x: (x["at"] >= F.col("at")) & (x["at"] < F.col("end")))
+    return ended.where(needed).withColumn("leak", F.struct(
+        "at", (F.col("end") - F.col("at")).alias("n"), F.forall(inside, lambda x: x["d"] == x["i"]).alias("exact"))).drop(
+        "slots", "bars", "at", "end")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text",
-               item_key: str = "item_id", item_text: str = "text", width: int = WINDOW, leak: int = LEAK) -> DataFrame:
+               item_key: str = "item_id", item_text: str = "text", width: int = WINDOW, leak: int = LEAK,
+               least: int = LEAST) -> DataFrame:
     """(key, row, item_id, start, n_tokens, exact): leaked runs, one row per document, item and start.
 
     ``start`` counts template tokens of the document, ``n_tokens`` is the run's length,
     ``exact`` says that all slots have the item's own values, and ``row`` identifies the
-    row (key and text) for joins. A leak is a run of ``leak`` template tokens, or of a
-    whole item that is shorter, whose slots are filled consistently; where a run is not, its
-    stretches of ``leak`` tokens (or the item) that have the item's own values are leaks. Runs are
-    found by a window with two ordinary words, or by one with the item's own values. Texts are read
-    twice, with names inside sentences only and with every capitalised word as a name. Items
-    of fewer than ``width`` tokens, or null, are too short to tell and are not searched.
+    row (key and text) for joins. A leak is a stretch of ``leak`` template tokens, or of a
+    whole item that is shorter, whose slots are filled consistently. Runs are found by a window
+    with two ordinary words, or by one with the item's own values. Texts are read three times:
+    with names inside sentences only, with every capitalised word as a name, and without
+    names, so copies in another case are found. Items of fewer than ``width`` tokens are found as
+    copies word for word, whole; those of fewer than ``least``, or null, are too short to tell.
 
     Null and empty texts hold no leak. Rows with a null key are searched like others.
     Repeated items and repeated rows count once. Other columns are not used. An empty table on either side gives an empty result.
     """
     items = benchmark.select(F.col(f"`{item_key}`").alias("item"), _readings(F.col(f"`{item_text}`")))
-    items = items.where(F.size("filled") >= width).distinct()
+    items = items.where(F.size("filled") >= least).distinct()
     path = scratch_path(docs.sparkSession, "templates")
     items.withColumn("item_row", F.xxhash64("item", "reading", "filled")).write.parquet(path)
-    items = docs.sparkSession.read.parquet(path)
+    every = docs.sparkSession.read.parquet(path)
+    items, short = every.where(F.size("filled") >= width), every.where((F.size("filled") < width) & (F.col("reading") == 2))
     windows = benchmark_windows(items.drop("item").withColumnRenamed("item_row", "item"), width)
     count, shortest = windows.count(), items.agg(F.min(F.size("filled"))).first()[0]
     stride = max(1, min(STRIDE, min(leak, shortest or leak) - width + 1))
@@ -152,7 +203,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
     rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
     rows = rows.withColumn("_row", F.xxhash64("_key", "_text"))
     tokens = rows.select("_row", _readings(F.col("_text")))
-    prints = F.transform(_sampled(F.col("filled"), width, stride), lambda i: _print(F.col("filled"), i, width))
+    prints = F.transform(_sampled(width, stride), lambda i: _print(i, width))
     known = windows.select("print").distinct()
     near = tokens.select("_row", F.explode(prints).alias("print")).join(_bounded(known, count), "print").select("_row").distinct()
     path = scratch_path(docs.sparkSession, "suspects")
@@ -161,15 +212,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
 
     close = rows.join(suspects, "_row", "left_semi").dropDuplicates(["_row"])
     path = scratch_path(docs.sparkSession, "suspect-texts")
-    close.select("_row", "_key", _readings(F.col("_text"))).withColumnRenamed("filled", "doc_tokens").write.parquet(path)
+    close.select("_row", "_key", _readings(F.col("_text"))).write.parquet(path)
     close = docs.sparkSession.read.parquet(path)
-    places = F.transform(_sampled(F.col("doc_tokens"), width, stride),
-                         lambda i: F.struct(i.alias("from"), _print(F.col("doc_tokens"), i, width).alias("print")))
+    places = F.transform(_sampled(width, stride), lambda i: F.struct(i.alias("from"), _print(i, width).alias("print")))
     met = (close.select("_row", "reading", F.inline(places)).join(_bounded(windows, count), "print")
            .select("_row", "reading", "item", (F.col("from") - F.col("at")).alias("offset")).distinct())
     # Every diagonal that holds a leak has a met window; on it all tokens are compared.
     named = items.select(F.col("item_row").alias("item"), F.col("item").alias("item_id"), F.col("filled").alias("item_tokens"))
-    both = met.join(named, "item").join(close, ["_row", "reading"])
+    both = met.join(named, "item").join(close.withColumnRenamed("filled", "doc_tokens"), ["_row", "reading"])
     first, last = F.greatest("offset", F.lit(0)), F.least(F.size("doc_tokens"), F.size("item_tokens") + F.col("offset"))
     both = both.select("_row", "_key", "item_id", first.alias("first"), F.least(F.lit(leak), F.size("item_tokens")).alias("needed"),
                        F.slice("doc_tokens", first + 1, last - first).alias("d"),
@@ -178,19 +228,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
     alike = alike.where("run.n >= needed").select("_row", "_key", "item_id", "needed", (F.col("first") + F.col("run.at")).alias("first"),
                                                   F.slice("d", F.col("run.at") + 1, F.col("run.n")).alias("d"),
                                                   F.slice("i", F.col("run.at") + 1, F.col("run.n")).alias("i"))
-    slots = alike.withColumn("slots", F.filter(F.arrays_zip("d", "i"), lambda x: _is_slot(x["i"])))
-    pairs = F.size(F.array_distinct("slots"))
-    consistent = (pairs == F.size(F.array_distinct(F.col("slots.d")))) & (pairs == F.size(F.array_distinct(F.col("slots.i"))))
-    copied = _stretches(F.zip_with("d", "i", lambda d, i: d == i))
-    whole = F.array(F.struct(F.lit(0).alias("at"), F.size("d").alias("n")))
-    runs = slots.withColumn("leak", F.explode(F.when(consistent, whole).otherwise(copied))).where("leak.n >= needed")
+    runs = consistent_stretches(alike).where("leak.n >= needed")
     found = runs.select(
         F.col("_key").alias(key), F.col("_row").alias("row"), "item_id", (F.col("first") + F.col("leak.at")).alias("start"),
-        F.col("leak.n").alias("n_tokens"), (~consistent | F.forall("slots", lambda x: x["d"] == x["i"])).alias("exact"))
+        F.col("leak.n").alias("n_tokens"), F.col("leak.exact").alias("exact"))
+    found = found.unionByName(_short_copies(tokens, rows, short, key))
     longest = found.groupBy(key, "row", "item_id", "start").agg(F.max(F.struct("n_tokens", "exact")).alias("run"))
     return longest.select(key, "row", "item_id", "start", "run.n_tokens", "run.exact")
 
 
+def _short_copies(tokens: DataFrame, rows: DataFrame, short: DataFrame, key: str) -> DataFrame:
+    """Whole copies, word for word, of items that are shorter than a window: every start of a text is compared."""
+    sizes = [r[0] for r in short.select(F.size("filled")).distinct().collect()]  # below the width: a few numbers
+    wanted = short.select(F.col("item").alias("item_id"), F.col("filled").alias("wanted"), F.xxhash64("own").alias("print"))
+
+    def copies(n: int) -> Column:
+        return F.transform(_starts(F.col("own"), n, 1), lambda i: F.struct(
+            i.alias("start"), F.lit(n).alias("n_tokens"), F.xxhash64(_window(F.col("own"), i, n)).alias("print"),
+            _window(F.col("filled"), i, n).alias("copy")))
+
+    none = F.array().cast("array<struct<start:int,n_tokens:int,print:bigint,copy:array<string>>>")
+    plain = tokens.where(F.col("reading") == 2) if sizes else tokens.where(F.lit(False))
+    met = plain.select("_row", F.inline(F.concat(none, *map(copies, sizes)))).join(wanted, "print").where(F.col("copy") == F.col("wanted"))
+    named = rows.select("_row", "_key").distinct()
+    return met.join(named, "_row").select(
+        F.col("_key").alias(key), F.col("_row").alias("row"), "item_id", "start", "n_tokens", F.lit(True).alias("exact"))
+
+
 def without_leaks(docs: DataFrame, leaks: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a leak; null keys and texts are kept."""
     name = packed.unused(docs, "_row")
