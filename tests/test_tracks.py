@@ -84,6 +84,15 @@ def test_noise_is_seeded_per_window(featured):
     assert not np.array_equal(windows_of(rows, 0.05, seed=1)[0], noisy[0])
 
 
+def test_a_key_without_stored_vector_is_an_error(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "key string, row_ord int")
+    kept = spark.createDataFrame([("a", [1.0]), ("b", None)], "key string, feature array<float>")
+    got = {r.row_ord: r.feature for r in tracks.attach_features(rows, kept).collect()}
+    assert got == {1: [1.0], 2: None, 3: None}
+    with pytest.raises(Exception, match="no stored vector for key b"):
+        tracks.attach_features(rows, kept.where("key = 'a'")).collect()
+
+
 def test_all_invalid_becomes_zeros(featured, annotations):
     rows = annotations.select("*", F.lit(None).cast("array<float>").alias("feature"), F.lit(False).alias("valid"))
     for window in windows_of(rows, 0.05).values():

@@ -164,8 +164,16 @@ def add_fill_noise(
 
 
 def attach_features(rows: DataFrame, store: DataFrame, key: str = "key") -> DataFrame:
-    """Join features before windowing, so each vector moves once, not once per window."""
-    return rows.join(store, key, "left")
+    """Join features before windowing, so each vector moves once, not once per window.
+
+    A key that the store lacks is an error: a missing vector would drop out of every mean
+    unseen. A stored key without a vector keeps NULL, as does a row without a key.
+    """
+    found = rows.join(store.withColumn("_stored", F.lit(True)), key, "left")
+    absent = F.col(key).isNotNull() & F.col("_stored").isNull()
+    message = F.concat(F.lit("no stored vector for key "), F.col(key).cast("string"))
+    kind = store.schema["feature"].dataType
+    return found.withColumn("feature", F.when(absent, F.raise_error(message).cast(kind)).otherwise(F.col("feature"))).drop("_stored")
 
 
 def pair_negatives(

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 # How event types stand for actions, and the DuckDB text of the
 # same view.
@@ -34,24 +33,13 @@ ANNOTATIONS_SQL = """annotations AS (
   FROM events)"""
 
 
-_schemas: dict[str, StructType] = {}
-_counts: dict[str, int] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A shared table. Its schema is read from the file once, which saves a job per use."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def vector_count(spark: SparkSession, sf_dir: str) -> int:
-    """Number of stored vectors, which events refer to in turn (read once from file footers)."""
-    path = f"{sf_dir}/embeddings.parquet"
-    if path not in _counts:
-        _counts[path] = max(1, table(spark, sf_dir, "embeddings").count())
-    return _counts[path]
+    """Number of stored vectors, which events refer to in turn (read from file footers, at every call)."""
+    return max(1, table(spark, sf_dir, "embeddings").count())
 
 
 def annotations(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
