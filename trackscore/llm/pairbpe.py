@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from . import packed
 
-MEMO = 60_000  # pre-tokens, and as many words, that a task remembers
-STEP_BYTES = 3_000_000  # of texts whose new pre-tokens are merged together
+MEMO = 30_000  # pre-tokens, and as many words, that a task remembers
+STEP_BYTES = 1_000_000  # of texts whose new pre-tokens are merged together
 
 
 def byte_symbols() -> list[str]:
@@ -262,7 +262,8 @@ def _coded(vocabulary):
                             names=[*step.column_names[:-1], "_n", "_ids", "_decoded"])
             del step, ids, back
             yield from done.to_batches(max_chunksize=packed.BATCH_ROWS)
-        packed.release()
+            del done
+            packed.release()
 
     return coded
 
