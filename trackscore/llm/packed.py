@@ -48,9 +48,10 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
-def release() -> None:
+def release(collect: bool = True) -> None:
     """Hand freed memory back to the system: Spark keeps a Python worker for its next task."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import packed
 
 MEMO = 30_000  # pre-tokens, and as many words, that a task remembers
-STEP_BYTES = 1_000_000  # of texts whose new pre-tokens are merged together
+STEP_BYTES = 1_500_000  # of texts whose new pre-tokens are merged together
 
 
 def byte_symbols() -> list[str]:
@@ -263,7 +263,8 @@ def _coded(vocabulary):
             del step, ids, back
             yield from done.to_batches(max_chunksize=packed.BATCH_ROWS)
             del done
-            packed.release()
+            packed.release(collect=False)
+        packed.release()
 
     return coded
 
