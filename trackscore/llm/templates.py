@@ -40,23 +40,31 @@ UNITS = (
 
 # A look-ahead comes first where one can reject most positions cheaply.
 NAME = r"(?=\p{Lu})(?<=[^.!?:\s>][)\]\"',;]?[ ])\p{Lu}\p{L}+"
-CAPITALISED = r"(?<![\p{L}\p{N}])\p{Lu}\p{L}+"
 NUMBER = r"(?=[+\-$€£\p{Nd}])(?<![\p{L}\p{N}<])[+-]?[$€£]?\p{Nd}+(?:[.,:/]\p{Nd}+)*%?(?![\p{N}])"
 UNIT = r"(?i)(<n(?::[^>]*)?>[ ]?)(%s)(?![\p{L}\p{N}])" % "|".join(UNITS)
-TOKEN = r"<[pnu](?::[^>]*)?>|[\p{L}\p{N}]+"
+# Further capitalised words of a text whose names are marked.
+REST = r"(?<![\p{L}\p{N}])(?<!<p:)\p{Lu}\p{L}+"
+TOKEN = r"<[pqnu](?::[^>]*)?>|[\p{L}\p{N}]+"
 
 
-def template_tokens(text: Column, values: bool = False, name: str = NAME) -> Column:
+def _plain(text: Column) -> Column:
+    """The text with angle brackets as spaces, and runs of white space as one."""
+    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "<>", "  "), r"\s+", " ")
+
+
+def _tokens(named: Column, values: bool) -> Column:
+    """Tokens of a text whose names are marked."""
+    marked = F.regexp_replace(named, NUMBER, "<n:$0>" if values else "<n>")
+    marked = F.regexp_replace(marked, UNIT, "$1<u:$2>" if values else "$1<u>")
+    return F.regexp_extract_all(F.lower(marked), F.lit(TOKEN), F.lit(0))
+
+
+def template_tokens(text: Column, values: bool = False) -> Column:
     """Tokens of a text; slots are <p>, <n> and <u>, or <p:value> and so on with ``values``.
 
-    Both forms have the same number of tokens. Angle brackets of the text count as spaces, and
-    runs of white space as one. Names are capitalised words inside a sentence, or what ``name`` matches.
+    Both forms have the same number of tokens. Names are capitalised words inside a sentence.
     """
-    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "<>", "  "), r"\s+", " ")
-    plain = F.regexp_replace(plain, name, "<p:$0>" if values else "<p>")
-    plain = F.regexp_replace(plain, NUMBER, "<n:$0>" if values else "<n>")
-    plain = F.regexp_replace(plain, UNIT, "$1<u:$2>" if values else "$1<u>")
-    return F.regexp_extract_all(F.lower(plain), F.lit(TOKEN), F.lit(0))
+    return _tokens(F.regexp_replace(_plain(text), NAME, "<p:$0>" if values else "<p>"), values)
 
 
 def _readings(text: Column) -> Column:
@@ -71,15 +79,19 @@ def _readings(text: Column) -> Column:
             F.transform(filled, lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 2)).otherwise(t))).alias("template"),
             F.transform(filled, lambda t: F.xxhash64(t)).alias("own"))
 
-    def unnamed(t: Column) -> Column:
-        return F.when(t.startswith("<p:") | t.startswith("<u:"), F.substring(t, F.lit(4), F.length(t) - 4)).otherwise(t)
+    def without(kinds: str, t: Column) -> Column:
+        """The value of a token marked with one of ``kinds``, other tokens as they are."""
+        marked = F.substring(t, 1, 3).isin(*[f"<{k}:" for k in kinds])
+        return F.when(marked, F.substring(t, F.lit(4), F.length(t) - 4)).otherwise(t)
 
-    # Arrays of one element bind their token list, so that it is made once.
-    inside = F.transform(F.array(template_tokens(text, True, NAME)), lambda f: coded(F.lit(0), f))
-    named = F.array(template_tokens(text, True, CAPITALISED))
-    both = F.transform(named, lambda f: F.array(f, F.transform(f, unnamed)))
-    anywhere = F.transform(F.flatten(both), lambda f, i: coded(i + 1, f))
-    return F.inline(F.concat(inside, anywhere))
+    # Capitalised words that are no names inside sentences are marked <q:...>; each reading takes them its way.
+    named = F.regexp_replace(F.regexp_replace(_plain(text), NAME, "<p:$0>"), REST, "<q:$0>")
+    # An array of one element binds the token list, so that it is made once.
+    three = F.transform(F.array(_tokens(named, True)), lambda f: F.array(
+        F.transform(f, lambda t: without("q", t)),
+        F.transform(f, lambda t: F.when(t.startswith("<q:"), F.concat(F.lit("<p:"), F.substring(t, F.lit(4), F.length(t)))).otherwise(t)),
+        F.transform(f, lambda t: without("pqu", t))))
+    return F.inline(F.transform(F.flatten(three), lambda f, i: coded(i, f)))
 
 
 def _is_slot(token: Column) -> Column:
@@ -114,15 +126,17 @@ def _print(at: Column, width: int) -> Column:
 
 
 def _sampled(width: int, stride: int) -> Column:
-    """Starts every ``stride`` tokens; where the window there has too few ordinary words, all starts around it too."""
+    """(from, print) every ``stride`` tokens; where the window there has too few ordinary words, at all starts around it."""
     template = F.col("template")
     last = F.size(template) - width
 
     def around(at: Column) -> Column:
-        thin = _literals(template, at, width) < LITERALS
-        return F.when(thin, F.sequence(F.greatest(at - (stride - 1), F.lit(0)), F.least(at + (stride - 1), last))).otherwise(F.array(at))
+        here = F.struct(at.alias("from"), F.xxhash64("reading", _window(template, at, width)).alias("print"))
+        near = F.sequence(F.greatest(at - (stride - 1), F.lit(0)), F.least(at + (stride - 1), last))
+        return F.when(_literals(template, at, width) >= LITERALS, F.array(here)).otherwise(
+            F.transform(near, lambda i: F.struct(i.alias("from"), _print(i, width).alias("print"))))
 
-    return F.array_distinct(F.flatten(F.transform(_starts(template, width, stride), around)))
+    return F.flatten(F.transform(_starts(template, width, stride), around))
 
 
 def benchmark_windows(items: DataFrame, width: int) -> DataFrame:
@@ -203,9 +217,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
     rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
     rows = rows.withColumn("_row", F.xxhash64("_key", "_text"))
     tokens = rows.select("_row", _readings(F.col("_text")))
-    prints = F.transform(_sampled(width, stride), lambda i: _print(i, width))
     known = windows.select("print").distinct()
-    near = tokens.select("_row", F.explode(prints).alias("print")).join(_bounded(known, count), "print").select("_row").distinct()
+    near = tokens.select("_row", F.inline(_sampled(width, stride))).select("_row", "print").join(_bounded(known, count), "print").select("_row").distinct()
     path = scratch_path(docs.sparkSession, "suspects")
     near.write.parquet(path)
     suspects = docs.sparkSession.read.parquet(path)
@@ -214,8 +227,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
     path = scratch_path(docs.sparkSession, "suspect-texts")
     close.select("_row", "_key", _readings(F.col("_text"))).write.parquet(path)
     close = docs.sparkSession.read.parquet(path)
-    places = F.transform(_sampled(width, stride), lambda i: F.struct(i.alias("from"), _print(i, width).alias("print")))
-    met = (close.select("_row", "reading", F.inline(places)).join(_bounded(windows, count), "print")
+    met = (close.select("_row", "reading", F.inline(_sampled(width, stride))).join(_bounded(windows, count), "print")
            .select("_row", "reading", "item", (F.col("from") - F.col("at")).alias("offset")).distinct())
     # Every diagonal that holds a leak has a met window; on it all tokens are compared.
     named = items.select(F.col("item_row").alias("item"), F.col("item").alias("item_id"), F.col("filled").alias("item_tokens"))
