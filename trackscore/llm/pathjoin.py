@@ -16,7 +16,7 @@ of a shingle meets the rest, as far as sizes and what follows the shingle allow.
 exact, so no link between members of large nodes is missed, and costs pairs only where components still differ.
 
 Candidate links are confirmed on the full sets. Links within one component say nothing
-new, so confirmation runs twice: first on the links most likely to join groups, then on
+new, so confirmation runs twice, blocks of sets at a time: first on the links most likely to join groups, then on
 every candidate between what are still different components. No link between
 components is skipped, and no list of all pairs of a group is made.
 """
@@ -37,6 +37,8 @@ TREES = 12
 LEAF = 32
 DEPTH = 4
 PART = 2000  # members of large nodes that meet at one shingle in one task
+BLOCK_SHINGLES = 250_000  # of the sets that one task compares with those of another block
+LEAST_BLOCKS = 8
 SLACK = 0.175  # of the threshold, that summaries may stay below it
 
 SUMMARY = "_id long, n long, class binary, sig array<int>"
@@ -186,14 +188,46 @@ def _central_links(dense: DataFrame, threshold: float, coordinates: int) -> Data
                                            & (F.col("a.node") != F.col("b.node")) & _may_link(threshold, coordinates)))
 
 
+def _linked(percent: int):
+    """Of the pairs of two blocks of sets, those that are similar enough."""
+    def linked(pairs, sets):
+        at = {node: i for i, node in enumerate(sets.column("node").to_pylist())}
+        shingles = sets.column("shingles").combine_chunks()
+        if isinstance(shingles, pa.ChunkedArray):  # no chunk at all
+            shingles = pa.array([], pa.list_(pa.int64()))
+        values, offsets = shingles.values.to_numpy(zero_copy_only=False), shingles.offsets.to_numpy()
+        us, vs = pairs.column("u").to_numpy(), pairs.column("v").to_numpy()
+        keep = np.zeros(len(us), bool)
+        for i, (u, v) in enumerate(zip(us.tolist(), vs.tolist())):
+            if u in at and v in at:
+                a, b = (values[offsets[at[x]]:offsets[at[x] + 1]] for x in (u, v))
+                if min(len(a), len(b)) * 100 >= max(len(a), len(b)) * percent:
+                    common = len(a) + len(b) - len(np.union1d(a, b))
+                    keep[i] = common * 100 >= (len(a) + len(b) - common) * percent
+        return pa.table([pa.array(us[keep], pa.int64()), pa.array(vs[keep], pa.int64())], names=["u", "v"])
+
+    return linked
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) whose full sets are similar enough."""
-    left = pairs.select("u", "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u")
-    both = left.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
-    common = F.size(F.array_intersect("su", "sv"))
-    union = F.size("su") + F.size("sv") - F.col("common")
-    return (both.select("u", "v", common.alias("common"), "su", "sv")
-            .where(F.col("common") * 100 >= union * percent).select("u", "v").distinct())
+    """Pairs (u, v) whose full sets are similar enough.
+
+    Sets are dealt into blocks of about ``BLOCK_SHINGLES``. Two blocks meet with the pairs between
+    them, so a set moves once for each block that it has a partner in, not once for each pair.
+    """
+    total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    blocks = max(LEAST_BLOCKS, packed.pieces(total, BLOCK_SHINGLES))
+
+    def block(node: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(node)), F.lit(blocks))
+
+    pairs = materialize(pairs.select("u", "v").distinct())
+    placed = pairs.select(F.least(block("u"), block("v")).alias("low"), F.greatest(block("u"), block("v")).alias("high"), "u", "v")
+    needed = placed.select("low", "high", F.explode(F.array("u", "v")).alias("node")).distinct()
+    moved = needed.join(sets.select("node", "shingles"), "node").select(
+        F.col("low").alias("one"), F.col("high").alias("other"), "node", "shingles")
+    return (placed.groupBy("low", "high").cogroup(moved.groupBy("one", "other"))
+            .applyInArrow(_linked(percent), "u long, v long"))
 
 
 def _likely(pairs: DataFrame, coordinates: int, threshold: float) -> DataFrame:
