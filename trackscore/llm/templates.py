@@ -28,6 +28,8 @@ STRIDE = 6
 LEAST = 5  # tokens of the shortest item that is searched
 LITERALS = 2  # ordinary words that a window needs to be met by its template; others are met by their own values
 BROADCAST_WINDOWS = 500_000
+KINDS = "pnuq"  # marks of slots; q is a capitalised word that is no name inside a sentence
+SIGN = -1 << 63  # codes of ordinary words are negative, those of slots the place of their mark
 
 # Unit words, recognised after a number.
 UNITS = (
@@ -44,12 +46,13 @@ NUMBER = r"(?=[+\-$€£\p{Nd}])(?<![\p{L}\p{N}<])[+-]?[$€£]?\p{Nd}+(?:[.,:/]
 UNIT = r"(?i)(<n(?::[^>]*)?>[ ]?)(%s)(?![\p{L}\p{N}])" % "|".join(UNITS)
 # Further capitalised words of a text whose names are marked.
 REST = r"(?<![\p{L}\p{N}])(?<!<p:)\p{Lu}\p{L}+"
+SPACES = r"(?:[^\S ]| (?=\s))\s*"  # runs of white space but for the single space
 TOKEN = r"<[pqnu](?::[^>]*)?>|[\p{L}\p{N}]+"
 
 
 def _plain(text: Column) -> Column:
     """The text with angle brackets as spaces, and runs of white space as one."""
-    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "<>", "  "), r"\s+", " ")
+    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "<>", "  "), SPACES, " ")
 
 
 def _tokens(named: Column, values: bool) -> Column:
@@ -67,31 +70,56 @@ def template_tokens(text: Column, values: bool = False) -> Column:
     return _tokens(F.regexp_replace(_plain(text), NAME, "<p:$0>" if values else "<p>"), values)
 
 
-def _readings(text: Column) -> Column:
-    """(reading, filled, template, own): the text's tokens read in three ways, with a code per token.
+def _coded(tokens: Column) -> Column:
+    """[(kind, word)] of marked tokens: the place of the mark in ``KINDS`` or 0, and a negative hash of the value."""
+    def coded(t: Column) -> Column:
+        kind = F.when(_is_slot(t), F.position(F.substring(t, 2, 1), F.lit(KINDS))).otherwise(F.lit(0))
+        value = F.when(_is_slot(t), F.substring(t, F.lit(4), F.length(t) - 4)).otherwise(t)
+        return F.struct(kind.alias("kind"), F.xxhash64(value).bitwiseOR(F.lit(SIGN)).alias("word"))
+
+    return F.transform(tokens, coded)
 
-    Names are capitalised words inside sentences (0), all capitalised words (1), or none (2:
-    names and units are ordinary words, whatever their case). ``template`` codes a slot by its kind, ``own`` by its value.
-    """
-    def coded(reading: Column, filled: Column) -> Column:
-        return F.struct(
-            reading.cast("int").alias("reading"), filled.alias("filled"),
-            F.transform(filled, lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 2)).otherwise(t))).alias("template"),
-            F.transform(filled, lambda t: F.xxhash64(t)).alias("own"))
 
+def _templates(codes: Column) -> list[Column]:
+    """Template codes in the three readings: a slot is its kind, an ordinary word its hash."""
+    name, number, _, capital = range(1, len(KINDS) + 1)
+    reading = [lambda c: F.when((c["kind"] == 0) | (c["kind"] == capital), c["word"]).otherwise(c["kind"]),
+               lambda c: F.when(c["kind"] == 0, c["word"]).otherwise(F.when(c["kind"] == capital, F.lit(name)).otherwise(c["kind"])),
+               lambda c: F.when(c["kind"] == number, F.lit(number)).otherwise(c["word"])]
+    return [F.transform(codes, r) for r in reading]
+
+
+def _fillings(tokens: Column) -> list[Column]:
+    """Tokens in the three readings, slots with their values."""
     def without(kinds: str, t: Column) -> Column:
         """The value of a token marked with one of ``kinds``, other tokens as they are."""
         marked = F.substring(t, 1, 3).isin(*[f"<{k}:" for k in kinds])
         return F.when(marked, F.substring(t, F.lit(4), F.length(t) - 4)).otherwise(t)
 
+    return [F.transform(tokens, lambda t: without("q", t)),
+            F.transform(tokens, lambda t: F.when(t.startswith("<q:"), F.concat(F.lit("<p:"), F.substring(t, F.lit(4), F.length(t)))).otherwise(t)),
+            F.transform(tokens, lambda t: without("pqu", t))]
+
+
+def _readings(text: Column, filled: bool = True) -> Column:
+    """(reading, template, word, filled): the text's tokens read in three ways, with two codes per token.
+
+    Names are capitalised words inside sentences (0), all capitalised words (1), or none (2:
+    names and units are ordinary words, whatever their case). ``template`` codes a slot by its kind, ``word``
+    codes the value of every token. ``filled`` has the tokens; a search that needs codes only leaves it out.
+    """
     # Capitalised words that are no names inside sentences are marked <q:...>; each reading takes them its way.
     named = F.regexp_replace(F.regexp_replace(_plain(text), NAME, "<p:$0>"), REST, "<q:$0>")
-    # An array of one element binds the token list, so that it is made once.
-    three = F.transform(F.array(_tokens(named, True)), lambda f: F.array(
-        F.transform(f, lambda t: without("q", t)),
-        F.transform(f, lambda t: F.when(t.startswith("<q:"), F.concat(F.lit("<p:"), F.substring(t, F.lit(4), F.length(t)))).otherwise(t)),
-        F.transform(f, lambda t: without("pqu", t))))
-    return F.inline(F.transform(F.flatten(three), lambda f, i: coded(i, f)))
+
+    def read(tokens: Column, codes: Column) -> Column:
+        extra = [[f.alias("filled")] for f in _fillings(tokens)] if filled else [[], [], []]
+        return F.array(*(F.struct(F.lit(i).alias("reading"), t.alias("template"), codes.getField("word").alias("word"), *extra[i])
+                         for i, t in enumerate(_templates(codes))))
+
+    # Arrays of one element bind the tokens and their codes, so that each is made once.
+    bound = F.transform(F.array(_tokens(named, True)), lambda tokens: F.flatten(
+        F.transform(F.array(_coded(tokens)), lambda codes: read(tokens, codes))))
+    return F.inline(F.flatten(bound))
 
 
 def _is_slot(token: Column) -> Column:
@@ -114,15 +142,14 @@ def _starts(tokens: Column, width: int, stride: int) -> Column:
 
 def _literals(template: Column, at: Column, width: int) -> Column:
     """Ordinary words of a window."""
-    kinds = [F.xxhash64(F.lit(f"<{k}")) for k in "pnu"]
-    return F.size(F.filter(_window(template, at, width), lambda c: (c != kinds[0]) & (c != kinds[1]) & (c != kinds[2])))
+    return F.size(F.filter(_window(template, at, width), lambda c: c < 0))
 
 
 def _print(at: Column, width: int) -> Column:
-    """Hash of a window: of its template if it has enough ordinary words, else of its own values."""
-    template, own = F.col("template"), F.col("own")
-    return F.xxhash64("reading", F.when(_literals(template, at, width) >= LITERALS, _window(template, at, width))
-                      .otherwise(_window(own, at, width)))
+    """Hash of a window: of its template if it has enough ordinary words, else of its own values too."""
+    template, word = F.col("template"), F.col("word")
+    return F.when(_literals(template, at, width) >= LITERALS, F.xxhash64("reading", _window(template, at, width))).otherwise(
+        F.xxhash64("reading", _window(template, at, width), _window(word, at, width)))
 
 
 def _sampled(width: int, stride: int) -> Column:
@@ -141,7 +168,7 @@ def _sampled(width: int, stride: int) -> Column:
 
 def benchmark_windows(items: DataFrame, width: int) -> DataFrame:
     """(item, at, print) for every window of an item in one reading."""
-    placed = items.select("item", "reading", "template", "own", F.explode(_starts(F.col("filled"), width, 1)).alias("at"))
+    placed = items.select("item", "reading", "template", "word", F.explode(_starts(F.col("filled"), width, 1)).alias("at"))
     return placed.select("item", "at", _print(F.col("at"), width).alias("print"))
 
 
@@ -216,7 +243,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
 
     rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
     rows = rows.withColumn("_row", F.xxhash64("_key", "_text"))
-    tokens = rows.select("_row", _readings(F.col("_text")))
+    tokens = rows.select("_row", _readings(F.col("_text"), filled=False))
     known = windows.select("print").distinct()
     near = tokens.select("_row", F.inline(_sampled(width, stride))).select("_row", "print").join(_bounded(known, count), "print").select("_row").distinct()
     path = scratch_path(docs.sparkSession, "suspects")
@@ -244,23 +271,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
     found = runs.select(
         F.col("_key").alias(key), F.col("_row").alias("row"), "item_id", (F.col("first") + F.col("leak.at")).alias("start"),
         F.col("leak.n").alias("n_tokens"), F.col("leak.exact").alias("exact"))
-    found = found.unionByName(_short_copies(tokens, rows, short, key))
+    found = found.unionByName(_short_copies(rows, short, key))
     longest = found.groupBy(key, "row", "item_id", "start").agg(F.max(F.struct("n_tokens", "exact")).alias("run"))
     return longest.select(key, "row", "item_id", "start", "run.n_tokens", "run.exact")
 
 
-def _short_copies(tokens: DataFrame, rows: DataFrame, short: DataFrame, key: str) -> DataFrame:
+def _short_copies(rows: DataFrame, short: DataFrame, key: str) -> DataFrame:
     """Whole copies, word for word, of items that are shorter than a window: every start of a text is compared."""
     sizes = [r[0] for r in short.select(F.size("filled")).distinct().collect()]  # below the width: a few numbers
-    wanted = short.select(F.col("item").alias("item_id"), F.col("filled").alias("wanted"), F.xxhash64("own").alias("print"))
+    wanted = short.select(F.col("item").alias("item_id"), F.col("filled").alias("wanted"), F.xxhash64("template", "word").alias("print"))
 
     def copies(n: int) -> Column:
-        return F.transform(_starts(F.col("own"), n, 1), lambda i: F.struct(
-            i.alias("start"), F.lit(n).alias("n_tokens"), F.xxhash64(_window(F.col("own"), i, n)).alias("print"),
+        return F.transform(_starts(F.col("word"), n, 1), lambda i: F.struct(
+            i.alias("start"), F.lit(n).alias("n_tokens"), F.xxhash64(_window(F.col("template"), i, n), _window(F.col("word"), i, n)).alias("print"),
             _window(F.col("filled"), i, n).alias("copy")))
 
     none = F.array().cast("array<struct<start:int,n_tokens:int,print:bigint,copy:array<string>>>")
-    plain = tokens.where(F.col("reading") == 2) if sizes else tokens.where(F.lit(False))
+    plain = rows.where(F.lit(bool(sizes))).select("_row", _readings(F.col("_text"))).where(F.col("reading") == 2)
     met = plain.select("_row", F.inline(F.concat(none, *map(copies, sizes)))).join(wanted, "print").where(F.col("copy") == F.col("wanted"))
     named = rows.select("_row", "_key").distinct()
     return met.join(named, "_row").select(
