@@ -10,6 +10,8 @@ from .ordering import CHUNK_ROWS, HOT_GROUP_ROWS, ordered
 from .tracks import tracks
 
 GRID = 8
+# Up to so many boxes a frame, a box meets all of the other frame: fewer rows than copies for every cell.
+SPARSE_FRAME = 32
 
 
 def quality_signals(df: DataFrame, **plan) -> DataFrame:
@@ -39,34 +41,52 @@ def iou():
     return F.when(total > 0, shared / total).otherwise(F.lit(0.0))
 
 
-def overlapping_pairs(boxes: DataFrame, min_iou: float, max_gap: int = 1, **plan) -> DataFrame:
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join of large tables, never sent to the driver.
+
+    The size that Spark knows of a checkpointed table is guessed from compressed files; where the
+    guess is just below the broadcast limit, the rows are several times that.
+    """
+    return df.hint("merge")
+
+
+def overlapping_pairs(
+    boxes: DataFrame, min_iou: float, max_gap: int = 1, sparse: int = SPARSE_FRAME, **plan
+) -> DataFrame:
     """Pairs (box, next_box, gap, iou) that overlap enough, ``gap`` = 1 .. ``max_gap`` observed frames apart.
 
-    Boxes meet only in grid cells both cover, and a pair counts in the one cell
-    that holds the corner of its overlap, so boxes far apart are never paired
-    and no duplicate removal is needed.
+    In videos with a frame of more than ``sparse`` boxes they meet only in grid cells both cover,
+    and a pair counts in the one cell that holds the corner of its overlap, so boxes far apart are
+    never paired and no duplicate removal is needed. In other videos a frame is one cell.
     """
-    frames = boxes.select("video_id", "frame_idx").distinct()
-    numbered = ordered(frames, ["video_id"], ["frame_idx"], pos="frame_pos", size="n_frames", **plan).rows
-    placed = boxes.join(numbered.drop("n_frames"), ["video_id", "frame_idx"])
+    frames = boxes.groupBy("video_id", "frame_idx").agg(F.count(F.lit(1)).alias("_n"))
+    dense = materialize(frames.where(F.col("_n") > sparse).select("video_id").distinct())
+    numbered = ordered(frames.drop("_n"), ["video_id"], ["frame_idx"], pos="frame_pos", size="n_frames", **plan).rows
+    placed = boxes.join(shuffled(numbered.drop("n_frames")), ["video_id", "frame_idx"])
+    if dense.isEmpty():
+        placed = placed.withColumn("_dense", F.lit(False))
+    else:
+        marked = dense.withColumn("_dense", F.lit(True))
+        placed = placed.join(shuffled(marked), "video_id", "left").withColumn("_dense", F.coalesce("_dense", F.lit(False)))
 
     def cells(low: str, high: str):
-        return F.sequence(F.floor(F.col(low) * GRID), F.floor(F.col(high) * GRID))
+        covered = F.sequence(F.floor(F.col(low) * GRID), F.floor(F.col(high) * GRID))
+        return F.when(F.col("_dense"), covered).otherwise(F.array(F.lit(0).cast("long")))
 
     gridded = (
         placed.withColumn("_gx", F.explode(cells("x1", "x2")))
         .withColumn("_gy", F.explode(cells("y1", "y2")))
-        .select("video_id", "frame_pos", "_gx", "_gy", F.struct("box_id", "x1", "y1", "x2", "y2").alias("box"))
+        .select("video_id", "frame_pos", "_gx", "_gy", "_dense", F.struct("box_id", "x1", "y1", "x2", "y2").alias("box"))
     )
     meet = ["video_id", "frame_pos", "_gx", "_gy"]
     left = gridded.withColumnRenamed("box", "a")
     gaps = F.explode(F.sequence(F.lit(1), F.lit(max_gap))).alias("gap")
-    right = gridded.select("*", gaps).withColumn("frame_pos", F.col("frame_pos") - F.col("gap")).withColumnRenamed("box", "b")
+    right = gridded.drop("_dense").select("*", gaps).withColumn("frame_pos", F.col("frame_pos") - F.col("gap")).withColumnRenamed("box", "b")
     corner_x = F.floor(F.greatest(F.col("a.x1"), F.col("b.x1")) * GRID)
     corner_y = F.floor(F.greatest(F.col("a.y1"), F.col("b.y1")) * GRID)
     return (
-        left.join(right, meet)
-        .where((F.col("_gx") == corner_x) & (F.col("_gy") == corner_y))
+        left.join(shuffled(right), meet)
+        .where(~F.col("_dense") | ((F.col("_gx") == corner_x) & (F.col("_gy") == corner_y)))
         .select(F.col("a.box_id").alias("box"), F.col("b.box_id").alias("next_box"), "gap", iou().alias("iou"))
         .where(F.col("iou") >= min_iou)
     )
@@ -88,7 +108,7 @@ def iou_tracks(
     backward = pairs.groupBy("next_box").agg(
         F.max(F.struct(F.col("iou"), (-F.col("box")).alias("n"))).alias("_m")
     ).select("next_box", (-F.col("_m.n")).alias("box"))
-    return chained(boxes, forward.join(backward, ["box", "next_box"])).select(
+    return chained(boxes, forward.join(shuffled(backward), ["box", "next_box"])).select(
         "video_id", "frame_idx", "box_id", "track_id", "age")
 
 
@@ -142,7 +162,7 @@ def chained(boxes: DataFrame, links: DataFrame) -> DataFrame:
     links = links.select(F.col("next_box").alias("box_id"), F.col("box").alias("pointer"),
                          F.col("gap") if "gap" in links.columns else F.lit(1).alias("gap"))
     links = materialize(links)
-    state = materialize(boxes.select("box_id").join(links, "box_id", "left").select(
+    state = materialize(boxes.select("box_id").join(shuffled(links), "box_id", "left").select(
         "box_id",
         F.coalesce("pointer", "box_id").alias("pointer"),
         F.when(F.col("pointer").isNull(), 0).otherwise(1).cast("long").alias("age"),
@@ -154,11 +174,11 @@ def chained(boxes: DataFrame, links: DataFrame) -> DataFrame:
         target = finished.unionByName(unfinished).select(
             F.col("box_id").alias("pointer"), F.col("pointer").alias("_next"),
             F.col("age").alias("_age"), F.col("done").alias("_done"))
-        moved = materialize(unfinished.join(target, "pointer").select(
+        moved = materialize(unfinished.join(shuffled(target), "pointer").select(
             "box_id", F.col("_next").alias("pointer"),
             (F.col("age") + F.col("_age")).alias("age"), F.col("_done").alias("done")))
         finished, unfinished = finished.unionByName(moved.where("done")), moved.where(~F.col("done"))
     return boxes.join(
-        finished.select("box_id", F.col("pointer").alias("track_id"), "age"), "box_id"
-    ).join(links.select("box_id", "gap"), "box_id", "left").select(
+        shuffled(finished.select("box_id", F.col("pointer").alias("track_id"), "age")), "box_id"
+    ).join(shuffled(links.select("box_id", "gap")), "box_id", "left").select(
         "video_id", "frame_idx", "box_id", "track_id", "age", "gap")
