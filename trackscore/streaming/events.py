@@ -17,15 +17,18 @@ from ..schema import TRACK
 EVENT_SCHEMA = "video_id string, target_id int, t_start double, t_end double, peak double, duration double"
 STORE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ROW = np.dtype([("at_ms", "<i8"), ("row_ord", "<i8"), ("timestamp", "<f8"), ("score", "<f8")])
+# State of a track without rows taken: see ``init``.
+EMPTY = (None,) * 9
 
 
 class HysteresisEvents(StatefulProcessor):
     """Per track: rows wait in slots of event time until the watermark has passed the slot,
     are then taken in time order and move a small state (current run, open event).
 
-    Waiting rows are a map from slot to rows, with one timer per slot: a timer reads and
-    removes its own slot and nothing else, however many rows wait. Another timer ends what
-    is open when the track has been silent for ``idle_ms``.
+    Waiting rows are a map from slot to rows. A track has one timer: for its earliest waiting slot, or
+    for the end of what is open when it has been silent for ``idle_ms``. It takes all slots that the
+    watermark has passed, one after the other, and reads no other. Every call of the state is a
+    message to the JVM: a slot costs two on the way in and two on the way out.
     """
 
     def __init__(self, hi: float, lo: float, min_duration: float, idle_ms: int, slot_ms: int):
@@ -37,59 +40,85 @@ class HysteresisEvents(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "slot long", "rows binary")
         self.state = handle.getValueState(
             "state", "run_start double, run_top double, t_start double, last double, peak double, "
-                     "last_ms long, idle_at long, slot long")
+                     "last_ms long, idle_at long, slot long, timer long")
 
     def _slot_end(self, at_ms: int) -> int:
         """First millisecond after the slot of ``at_ms``: no row of the slot arrives once the watermark is there."""
         return (at_ms // self.slot_ms + 1) * self.slot_ms
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for frame in rows:
-            frame = frame[frame["scored"]]
-            if frame.empty:
+            scored = frame["scored"].to_numpy(dtype=bool)
+            if not scored.any():
                 continue
-            packed = np.zeros(len(frame), ROW)
+            packed = np.zeros(int(scored.sum()), ROW)
             for name in ROW.names:
-                packed[name] = frame[name].to_numpy()
+                packed[name] = frame[name].to_numpy()[scored]
             slots = packed["at_ms"] // self.slot_ms
-            for slot in np.unique(slots).tolist():
-                added = packed[slots == slot].tobytes()
-                known = self.waiting.getValue((slot,)) if self.waiting.containsKey((slot,)) else None
-                self.waiting.updateValue((slot,), ((known[0] if known else b"") + added,))
-                if not known:
-                    self.handle.registerTimer((slot + 1) * self.slot_ms)
+            order = np.argsort(slots, kind="stable")
+            packed, slots = packed[order], slots[order]
+            bounds = [0, *(np.flatnonzero(np.diff(slots)) + 1).tolist(), len(slots)]
+            for low, high in zip(bounds, bounds[1:]):
+                slot = int(slots[low])
+                known = self.waiting.getValue((slot,))
+                self.waiting.updateValue((slot,), ((known[0] if known else b"") + packed[low:high].tobytes(),))
+            first = int(slots[0]) if first is None else min(first, int(slots[0]))
+        if first is not None:
+            state = self.state.get() or EMPTY
+            at = (first + 1) * self.slot_ms
+            if state[-1] is None or at < state[-1]:
+                self._set_timer(state[-1], at)
+                self.state.update((*state[:-1], at))
         return iter([])
 
+    def _set_timer(self, old: int | None, new: int) -> None:
+        if old is not None:
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(new)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
-        passed = timerValues.getCurrentWatermarkInMs()
-        found = self._take(at // self.slot_ms - 1, passed) if at % self.slot_ms == 0 else self._silent(at)
+        found = self._advance(at, timerValues.getCurrentWatermarkInMs())
         if found:
             yield pd.DataFrame(
                 [(*key, b, e, p, e - b) for b, e, p in found],
                 columns=["video_id", "target_id", "t_start", "t_end", "peak", "duration"])
 
-    def _silent(self, at: int) -> list[tuple[float, float, float]]:
-        """End what is open, unless rows have moved the idle timer on."""
-        if not self.state.exists():
-            return []
-        _, _, t_start, last, peak, _, idle_at, _ = self.state.get()
-        if idle_at != at:
+    def _advance(self, at: int, passed: int) -> list[tuple[float, float, float]]:
+        """Take the slots that the watermark has passed, end what is silent and set the next timer."""
+        state = self.state.get()
+        if state is None or state[-1] != at:
             return []
-        self.state.clear()
-        return [(t_start, last, peak)] if t_start is not None else []
+        found, state = [], state[:-1]
+        slots = sorted(slot for slot, in self.waiting.keys())
+        due = [slot for slot in slots if (slot + 1) * self.slot_ms <= passed]
+        for slot in due:
+            state = self._take(slot, state, found)
+        later = slots[len(due):]
+        t_start, last, peak, idle_at = state[2], state[3], state[4], state[6]
+        if idle_at is not None and idle_at <= passed:
+            if t_start is not None:
+                found.append((t_start, last, peak))
+            if not later:
+                self.state.clear()
+                return found
+            state = (*EMPTY[:7], state[7])
+            idle_at = None
+        ends = [(slot + 1) * self.slot_ms for slot in later[:1]]
+        timer = min(ends if idle_at is None else [*ends, idle_at])
+        self.handle.registerTimer(timer)
+        self.state.update((*state, timer))
+        return found
 
-    def _take(self, slot: int, passed: int) -> list[tuple[float, float, float]]:
-        """Move the state over the rows of one slot."""
+    def _take(self, slot: int, state: tuple, found: list[tuple[float, float, float]]) -> tuple:
+        """Move the state over the rows of one slot; events that end go to ``found``."""
         rows = np.frombuffer(self.waiting.getValue((slot,))[0], ROW)
         self.waiting.removeKey((slot,))
-        run_start = run_top = t_start = last = peak = last_ms = idle_at = seen = None
-        if self.state.exists():
-            run_start, run_top, t_start, last, peak, last_ms, idle_at, seen = self.state.get()
+        run_start, run_top, t_start, last, peak, last_ms, _, seen = state
         if seen is not None and slot <= seen:
             raise ValueError("slots expired out of order")
-        found = []
-        for at_ms, _, timestamp, score in np.sort(rows, order=["at_ms", "row_ord"]).tolist():
+        for at_ms, _, timestamp, score in rows[np.lexsort((rows["row_ord"], rows["at_ms"]))].tolist():
             silent = last_ms is not None and at_ms - last_ms > self.idle_ms
             last_ms = at_ms
             if silent or score < self.lo:
@@ -107,17 +136,8 @@ class HysteresisEvents(StatefulProcessor):
             if timestamp - run_start >= self.min_duration:
                 t_start = run_start if t_start is None else t_start
                 peak = run_top if peak is None else _greater(peak, run_top)
-        # One past a slot end, so that slots go first and the two kinds of timers differ.
-        new_idle = self._slot_end(last_ms + self.idle_ms) + 1
-        if idle_at is not None and idle_at != new_idle:
-            self.handle.deleteTimer(idle_at)
-        if new_idle <= passed and not self.waiting.exists():  # a timer set for now would wait for the next trigger
-            self.state.clear()
-            return [*found, (t_start, last, peak)] if t_start is not None else found
-        if idle_at != new_idle:
-            self.handle.registerTimer(new_idle)
-        self.state.update((run_start, run_top, t_start, last, peak, last_ms, new_idle, slot))
-        return found
+        # One past a slot end: a slot that ends with the silence is taken before.
+        return run_start, run_top, t_start, last, peak, last_ms, self._slot_end(last_ms + self.idle_ms) + 1, slot
 
     def close(self) -> None:
         pass
