@@ -47,7 +47,7 @@ class HysteresisEvents(StatefulProcessor):
         return (at_ms // self.slot_ms + 1) * self.slot_ms
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        state, first, added = self.state.get(), None, set()
         for frame in rows:
             scored = frame["scored"].to_numpy(dtype=bool)
             if not scored.any():
@@ -61,11 +61,13 @@ class HysteresisEvents(StatefulProcessor):
             bounds = [0, *(np.flatnonzero(np.diff(slots)) + 1).tolist(), len(slots)]
             for low, high in zip(bounds, bounds[1:]):
                 slot = int(slots[low])
-                known = self.waiting.getValue((slot,))
+                # A track without state has nothing waiting.
+                known = self.waiting.getValue((slot,)) if state is not None or slot in added else None
+                added.add(slot)
                 self.waiting.updateValue((slot,), ((known[0] if known else b"") + packed[low:high].tobytes(),))
             first = int(slots[0]) if first is None else min(first, int(slots[0]))
         if first is not None:
-            state = self.state.get() or EMPTY
+            state = state or EMPTY
             at = (first + 1) * self.slot_ms
             if state[-1] is None or at < state[-1]:
                 self._set_timer(state[-1], at)
